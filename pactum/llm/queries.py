@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pactum.llm import quality, warc
+from pactum.llm import packing, quality, tokenfile, warc
 from pactum.llm.common import table
 
 
@@ -28,5 +30,19 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(payload) AS payload_dig
 FROM g
 """
 
-QUERIES = {"op7_quality_rules": op7_quality_rules, "op8_warc": op8_warc}
+def byte_bpe() -> str:
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), byte_bpe(), end_id=0).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), byte_bpe()).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+QUERIES = {
+    "op1_packing": op1_packing,
+    "op10_token_file": op10_token_file, "op7_quality_rules": op7_quality_rules, "op8_warc": op8_warc}
 SQL = {"op8_warc": OP8_SQL}
