@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactum.llm import packing, quality, tokenfile, warc
+from pactum.llm import minhash, packing, quality, tokenfile, warc
 from pactum.llm.common import table
 
 
@@ -42,7 +42,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), byte_bpe()).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
+    "op9_minhash": op9_minhash,
     "op1_packing": op1_packing,
     "op10_token_file": op10_token_file, "op7_quality_rules": op7_quality_rules, "op8_warc": op8_warc}
 SQL = {"op8_warc": OP8_SQL}
