@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactum.llm import minhash, packing, quality, tokenfile, warc
+from pactum.llm import langid, minhash, packing, quality, tokenfile, warc
 from pactum.llm.common import table
 
 
@@ -46,7 +46,14 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.learn(langid.training_rows(docs))
+    return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
+    "op2_language_id": op2_language_id,
     "op9_minhash": op9_minhash,
     "op1_packing": op1_packing,
     "op10_token_file": op10_token_file, "op7_quality_rules": op7_quality_rules, "op8_warc": op8_warc}
