@@ -187,8 +187,8 @@ def _pack(path: str, end_id: int, k: Packing, batches: Iterator[pa.RecordBatch])
     for batch in batches:
         for first in range(0, batch.num_rows, SLICE):
             piece = batch.slice(first, SLICE)
-            for key, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
-                stream.add(key, np.concatenate([encoder.ids(text), end]))
+            for key, ids in zip(piece.column(0).to_pylist(), encoder.ids_of_many(piece.column(1).to_pylist()), strict=True):
+                stream.add(key, np.concatenate([ids, end]))
                 if stream.held >= k.buffer:
                     yield stream.cut(last=False)
     if (rest := stream.cut(last=True)) is not None:

@@ -116,8 +116,7 @@ def _encode_blocks(path: str, end_id: int, batches: Iterator[pa.RecordBatch]) ->
     for batch in batches:
         for first in range(0, batch.num_rows, SLICE):
             piece = batch.slice(first, SLICE)
-            for doc_id, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
-                ids = encoder.ids(text)
+            for doc_id, ids in zip(piece.column(0).to_pylist(), encoder.ids_of_many(piece.column(1).to_pylist()), strict=True):
                 docs.append(NO_ID if doc_id is None else doc_id)
                 counts.append(len(ids) + 1)
                 parts += [ids, end]

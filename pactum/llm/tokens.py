@@ -9,31 +9,21 @@ those of `Tokenizer.encode(text, add_special_tokens=False)`.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterable
 
 import numpy as np
 
 #: The pre-tokenizer pattern of the vocabulary, as its file's ByteLevel step with use_regex has it. Fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces that a worker remembers, and the most bytes of UTF-8 that are cut at once.
-REMEMBERED = 300_000
-LONGEST_REMEMBERED = 24
-
-
-class _Pieces(dict):
-    """The ids of pieces as little-endian bytes; what is missing is asked from the library."""
-
-    def __init__(self, tokenizer, kind: str):
-        super().__init__()
-        self.tokenizer, self.kind = tokenizer, kind
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype=self.kind).tobytes()
-        if len(piece) <= LONGEST_REMEMBERED:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[piece] = ids
-        return ids
+#: The same for texts in which BEYOND_LATIN finds nothing: the classes are written out, which the standard module matches faster.
+_LETTERS = "a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+LATIN_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+"
+BEYOND_LATIN = rf"[^\t-\r -~{_LETTERS}]"
+#: Pieces that a worker remembers (twice at most: those in use, and those before), and their greatest length.
+REMEMBERED, LONGEST_REMEMBERED = 150_000, 24
+#: Characters that are cut at once, about. A longer text is cut in parts, where a piece is sure to begin.
+CHARACTERS = 1 << 19
 
 
 class Encoder:
@@ -53,8 +43,13 @@ class Encoder:
         step = config.get("pre_tokenizer") or {}
         self.special = [x["content"] for x in config.get("added_tokens", [])]
         self.by_piece = not config.get("normalizer") and step.get("type") == "ByteLevel" and step.get("use_regex", True) and not step.get("add_prefix_space")
-        self.cut = regex.compile(PATTERN).findall
-        self.pieces = _Pieces(self.tokenizer, self.kind)
+        self.cut_any, self.cut_latin, self.beyond_latin = regex.compile(PATTERN).findall, re.compile(LATIN_PATTERN).findall, re.compile(BEYOND_LATIN).search
+        self.part_end = regex.compile(r"(?<=\S) (?=\p{L})").search
+        self.after_blank = np.zeros(self.size + 1, bool)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
+            self.after_blank[i] = token.startswith("\u0120")  # a blank, as byte-level vocabularies write it
+        self.pieces: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -63,13 +58,83 @@ class Encoder:
             cls._open[path] = cls(path)
         return cls._open[path]
 
+    def cut(self, text: str) -> list[str]:
+        return self.cut_any(text) if self.beyond_latin(text) else self.cut_latin(text)
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind)
+
+    def _learn(self, missing: list[str]) -> None:
+        """Put the ids of missing pieces into `pieces`. Words after a blank are encoded in one text: a blank begins each."""
+        new = []
+        for w in missing:
+            ids = self.before.get(w)
+            if ids is None:
+                new.append(w)
+            else:
+                self.pieces[w] = ids
+        words = [w for w in new if w[0] == " " and w[1:].isalpha()]
+        ids = self.tokenizer.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids if words else []
+        flat = np.array(ids, self.kind)
+        starts = np.flatnonzero(self.after_blank[flat])
+        if len(starts) == len(words):
+            held, width = flat.tobytes(), flat.itemsize
+            bounds = (np.append(starts, len(flat)) * width).tolist()
+            for w, a, b in zip(words, bounds, bounds[1:], strict=False):
+                self.pieces[w] = held[a:b]
+        for w in new:
+            if w not in self.pieces:
+                self.pieces[w] = self._whole(w).tobytes()
+
+    def _forget(self) -> None:
+        if len(self.pieces) > REMEMBERED:
+            self.before, self.pieces = self.pieces, {}
+
+    def ids_of_many(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text, of dtype `kind`; null has none."""
+        out, group, size = [], [], 0
+        for text in texts:
+            group.append(text or "")
+            size += len(group[-1])
+            if size >= CHARACTERS:
+                out += self._group(group)
+                group, size = [], 0
+        return out + self._group(group)
+
+    def _group(self, texts: list[str]) -> list[np.ndarray]:
+        if not self.by_piece:
+            return [self._whole(x) for x in texts]
+        out: list = [None] * len(texts)
+        cut: list[tuple[int, list[str]]] = []
+        for i, text in enumerate(texts):
+            if any(x in text for x in self.special):
+                out[i] = self._whole(text)
+            elif len(text) > 2 * CHARACTERS and len(parts := list(self._parts(text))) > 1:
+                out[i] = np.concatenate([self._group([part])[0] for part in parts])
+            else:
+                cut.append((i, self.cut(text)))
+        known = self.pieces
+        if missing := set().union(*(p for _, p in cut)).difference(known):
+            self._learn(list(missing))
+        for i, pieces in cut:
+            out[i] = np.frombuffer(b"".join(map(known.__getitem__, pieces)), self.kind)
+        for p in missing:
+            if len(p) > LONGEST_REMEMBERED:
+                del known[p]
+        self._forget()
+        return out
+
+    def _parts(self, text: str) -> Iterable[str]:
+        """Parts of about CHARACTERS, each of which begins with a blank before a letter, after what is not blank."""
+        at = 0
+        while at < len(text):
+            found = self.part_end(text, at + CHARACTERS) if at + CHARACTERS < len(text) else None
+            end = found.start() if found else len(text)
+            yield text[at:end]
+            at = end
+
     def ids(self, text: str | None) -> np.ndarray:
-        """The ids of a text, of dtype `kind`; null has none."""
-        if not text:
-            return np.empty(0, self.kind)
-        if not self.by_piece or any(x in text for x in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind)
-        return np.frombuffer(b"".join(map(self.pieces.__getitem__, self.cut(text))), self.kind)
+        return self.ids_of_many([text])[0]
 
     def decode(self, ids: Iterable[int]) -> str:
         return self.tokenizer.decode(list(ids), skip_special_tokens=False)

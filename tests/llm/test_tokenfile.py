@@ -58,3 +58,22 @@ def test_null_keys_repeats_and_empty(spark):
     got = sorted((r.doc_id if r.doc_id is not None else -1, r.start, r.n_tokens) for r in tokenfile.round_trip(spark.createDataFrame(rows, SCHEMA), VOCABULARY).collect())
     assert got == [(-1, 0, 3), (1, 3, 1), (5, 4, 2), (5, 6, 2)]
     assert tokenfile.round_trip(spark.createDataFrame([], SCHEMA), VOCABULARY).count() == 0
+
+
+@given(st.lists(st.sampled_from(["a", "é", "ÿ", "×", " ", "  ", "\n", "\t", "\x0b", "\x1c", "\x85", "\xa0", "'s", "'", "1", "²", "ª", "!", "ß", "漢", "_", "don't"]), max_size=30))
+@settings(max_examples=400, deadline=None)
+def test_encoder_at_the_edges_of_its_classes(parts):
+    text = "".join(parts)
+    assert Encoder.of(VOCABULARY).ids(text).tolist() == Encoder.of(VOCABULARY).tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_encoder_forgets_and_cuts_long_texts(monkeypatch):
+    from pactum.llm import tokens
+
+    monkeypatch.setattr(tokens, "REMEMBERED", 40)
+    monkeypatch.setattr(tokens, "CHARACTERS", 200)
+    e = Encoder(VOCABULARY)
+    text = " ".join(f"wörd{i % 77} x{'y' * (i % 30)}, ''  12" for i in range(400)) + "z" * 2000
+    for _ in range(2):
+        assert e.ids(text).tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+    assert [x.tolist() for x in e.ids_of_many([None, "", "a b"])] == [[], [], e.tokenizer.encode("a b").ids]
