@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactum.llm import langid, minhash, packing, pii, quality, tokenfile, warc
+from pactum.llm import langid, minhash, mtree, packing, pii, quality, tokenfile, warc
 from pactum.llm.common import table
 
 
@@ -60,10 +60,30 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
 
 
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return mtree.top_k(vectors, vectors.filter(F.col("vec_id") % 100 == 0), k=10)
+
+
+OP6_SQL = """
+WITH e AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, e.vec_id, CAST(list_sum(list_transform(list_zip(q.v, e.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM e AS q, e WHERE q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
 QUERIES = {
+    "op6_exact_top_k": op6_exact_top_k,
     "op5_pii": op5_pii,
     "op2_language_id": op2_language_id,
     "op9_minhash": op9_minhash,
     "op1_packing": op1_packing,
     "op10_token_file": op10_token_file, "op7_quality_rules": op7_quality_rules, "op8_warc": op8_warc}
-SQL = {"op8_warc": OP8_SQL}
+SQL = {"op6_exact_top_k": OP6_SQL, "op8_warc": OP8_SQL}
