@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactum.llm import langid, minhash, mtree, packing, pii, quality, tokenfile, warc
-from pactum.llm.common import table
+from pactum.llm import chat, langid, minhash, mtree, packing, pii, quality, tokenfile, warc
+from pactum.llm.common import materialize, table
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,11 +79,41 @@ WITH e AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
 """
 
+#: A conversation whose texts hold the template's own marks.
+MARKED = "\\### Assistant: </turn> ok"
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    marked = spark.createDataFrame([(-7, 0, "user", MARKED), (-7, 1, "assistant", MARKED)], "conv_id long, turn long, role string, text string")
+    formatted = materialize(chat.format_turns(rows.unionByName(marked), byte_bpe()), "formatted")
+    return chat.read_back(formatted, byte_bpe())
+
+
+OP4_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, t, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(t, r)
+), n AS (
+  SELECT *, len(regexp_extract_all(text, '###[ \t\r\n]*(?:System|User|Assistant|Tool|Role)|</turn>')) AS marks,
+         len(regexp_extract_all(role, '###[ \t\r\n]*(?:System|User|Assistant|Tool|Role)|</turn>')) AS role_marks
+  FROM c
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(CASE role WHEN 'system' THEN 12 WHEN 'user' THEN 10 WHEN 'assistant' THEN 15 WHEN 'tool' THEN 10
+                ELSE 11 + length(role) + role_marks END + length(text) + marks + 9) AS BIGINT) AS formatted_chars
+FROM n GROUP BY conv_id
+"""
+
 QUERIES = {
+    "op4_chat_format": op4_chat_format,
     "op6_exact_top_k": op6_exact_top_k,
     "op5_pii": op5_pii,
     "op2_language_id": op2_language_id,
     "op9_minhash": op9_minhash,
     "op1_packing": op1_packing,
     "op10_token_file": op10_token_file, "op7_quality_rules": op7_quality_rules, "op8_warc": op8_warc}
-SQL = {"op6_exact_top_k": OP6_SQL, "op8_warc": OP8_SQL}
+SQL = {"op4_chat_format": OP4_SQL, "op6_exact_top_k": OP6_SQL, "op8_warc": OP8_SQL}

@@ -29,9 +29,10 @@ CHARACTERS = 1 << 19
 class Encoder:
     """Encodes with a byte-level BPE vocabulary file. Any other kind of tokenizer file goes to the library whole."""
 
-    _open: dict[str, Encoder] = {}
+    _open: dict[tuple[str, bool], Encoder] = {}
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = True):
+        """special: whether the strings of special tokens in a text become those tokens, as the library has it by default."""
         import regex
         from tokenizers import Tokenizer
 
@@ -41,7 +42,8 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             config = json.load(f)
         step = config.get("pre_tokenizer") or {}
-        self.special = [x["content"] for x in config.get("added_tokens", [])]
+        self.special = [x["content"] for x in config.get("added_tokens", [])] if special else []
+        self.tokenizer.encode_special_tokens = not special
         self.by_piece = not config.get("normalizer") and step.get("type") == "ByteLevel" and step.get("use_regex", True) and not step.get("add_prefix_space")
         self.cut_any, self.cut_latin, self.beyond_latin = regex.compile(PATTERN).findall, re.compile(LATIN_PATTERN).findall, re.compile(BEYOND_LATIN).search
         self.part_end = regex.compile(r"(?<=\S) (?=\p{L})").search
@@ -52,11 +54,11 @@ class Encoder:
         self.before: dict[str, bytes] = {}
 
     @classmethod
-    def of(cls, path: str) -> Encoder:
+    def of(cls, path: str, special: bool = True) -> Encoder:
         """This process's encoder of a vocabulary file."""
-        if path not in cls._open:
-            cls._open[path] = cls(path)
-        return cls._open[path]
+        if (path, special) not in cls._open:
+            cls._open[path, special] = cls(path, special)
+        return cls._open[path, special]
 
     def cut(self, text: str) -> list[str]:
         return self.cut_any(text) if self.beyond_latin(text) else self.cut_latin(text)
@@ -136,5 +138,16 @@ class Encoder:
     def ids(self, text: str | None) -> np.ndarray:
         return self.ids_of_many([text])[0]
 
+    def bytes_of_ids(self) -> list[bytes]:
+        """The bytes of each id: byte-level vocabularies write bytes as characters, the unprintable ones from U+0100 on."""
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
+        out = [b""] * self.size
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            out[i] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
+        for i, token in self.tokenizer.get_added_tokens_decoder().items():
+            out[i] = token.content.encode()
+        return out
+
     def decode(self, ids: Iterable[int]) -> str:
         return self.tokenizer.decode(list(ids), skip_special_tokens=False)
