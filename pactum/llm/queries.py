@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactum.llm import chat, langid, minhash, mtree, packing, pii, quality, tokenfile, warc
+from pactum.llm import chat, langid, lattice, minhash, mtree, packing, pii, quality, tokenfile, warc
 from pactum.llm.common import materialize, table
 
 
@@ -90,6 +90,17 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(formatted, byte_bpe())
 
 
+def piece_bpe() -> str:
+    return str(public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = lattice.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), piece_bpe())
+    read = lattice.decode(encoded, piece_bpe())
+    joined = F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")
+    return read.select("doc_id", "sample", "n_pieces", "log_prob", "inclusion", F.crc32(joined).alias("ids_crc32"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 OP4_SQL = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -109,6 +120,7 @@ FROM n GROUP BY conv_id
 """
 
 QUERIES = {
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_chat_format": op4_chat_format,
     "op6_exact_top_k": op6_exact_top_k,
     "op5_pii": op5_pii,
