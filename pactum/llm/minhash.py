@@ -9,13 +9,16 @@ a linked pair shares no bucket with a probability of (1 - 0.75**6)**64, about 4e
 
 Documents with the same words form one node (equal 128-bit digests of the words).
 No bucket is expanded into pairs:
-1. Every member is compared with its bucket's least node, exactly, and components
-   of the confirmed links are found. A bucket within one component is done.
+1. Every member is compared with its bucket's least node, and components of the
+   confirmed links are found. A bucket within one component is done.
 2. In a bucket that spans components, only members of different components are
-   paired. The Jaccard distance is a metric, so members whose confirmed distances to
-   the bucket's least node differ by more than 0.25 cannot be linked, nor can sets
-   whose sizes differ too much; the other pairs are compared exactly.
-Both steps are exact for all pairs that share a bucket; nothing is capped.
+   paired.
+Pairs are confirmed on the full sets. Before that, pairs that cannot be linked are
+left out by two exact bounds: their sizes, and their parity sketches. A sketch has a
+bit for each of 2048 classes of hashes, set if the class holds an odd number of the
+set's shingles; two sketches differ in no more bits than the sets in shingles. The
+second step's join works the bounds out as part of its condition, so a pair that
+they rule out is never made. Nothing is capped.
 
 Defined results: null or empty text, and text of white space, has no shingles and
 links with nothing; fewer than five words are one shingle; rows that repeat a
@@ -43,6 +46,7 @@ from pactum.llm.components import components
 WORDS = 5
 SLICE = 256
 UNIVERSE_BITS = 22
+PARITY_BITS = 2048
 #: Words whose hashes a worker remembers, and shingles whose table rows are read at once.
 REMEMBERED, ROWS_AT_ONCE = 400_000, 1024
 
@@ -108,6 +112,11 @@ class Signer:
         s *= self.odd[WORDS]
         return np.unique(s)
 
+    def parity(self, hashes: np.ndarray) -> np.ndarray:
+        """The parity sketch, as 64-bit integers."""
+        odd = np.bincount((hashes % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
+        return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
     def bands(self, hashes: np.ndarray) -> np.ndarray:
         places = (hashes >> np.uint64(64 - UNIVERSE_BITS)).astype(np.int64)
         least = np.full(self.size, 1 << 31, np.uint32)
@@ -122,23 +131,25 @@ class Signer:
 
 
 def _sign(m: MinHash, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    signer = Signer.of(m)
+    signer, longs = Signer.of(m), pa.list_(pa.int64())
     for batch in batches:
         for first in range(0, batch.num_rows, SLICE):
             piece = batch.slice(first, SLICE)
-            sizes, digests, bands = [], [], []
+            sizes, digests, bands, parities = [], [], [], []
             for text in piece.column(1).to_pylist():
                 words = words_of(text)
                 if not words:
                     sizes.append(0)
                     digests.append(None)
                     bands.append([])
+                    parities.append([])
                     continue
                 hashes = signer.hashes(words)
                 sizes.append(len(hashes))
                 digests.append(blake2b(b" ".join(words), digest_size=16).digest())
                 bands.append(signer.bands(hashes))
-            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n", "digest", "bands"])
+                parities.append(signer.parity(hashes))
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, longs), pa.array(parities, longs)], names=["doc_id", "n", "digest", "bands", "parity"])
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,45 +183,51 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
     joined = pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb")
-    return materialize(joined.mapInArrow(_compare, "a long, b long, common long, union long"), "compared")
+    return joined.mapInArrow(_compare, "a long, b long, common long, union long")
+
+
+def _may_link(one: str, two: str, m: MinHash):
+    """Whether sets of these sizes can be linked: the smaller is within the larger at best. The arguments are prefixes of columns."""
+    return 100 * F.least(F.col(f"{one}n"), F.col(f"{two}n")) >= m.percent * F.greatest(F.col(f"{one}n"), F.col(f"{two}n"))
 
 
-def _may_link(x: str, y: str, m: MinHash):
-    return 100 * F.least(F.col(x), F.col(y)) >= m.percent * F.greatest(F.col(x), F.col(y))
+def _parities_allow(one: str, two: str, m: MinHash):
+    """Whether the sketches differ in few enough bits: linked sets differ in (100 - percent) / (100 + percent) of their shingles at most."""
+    bits = [F.bit_count(F.get(F.col(f"{one}parity"), i).bitwiseXOR(F.get(F.col(f"{two}parity"), i))) for i in range(PARITY_BITS // 64)]
+    return (100 + m.percent) * sum(bits[1:], bits[0]) <= (100 - m.percent) * (F.col(f"{one}n") + F.col(f"{two}n"))
 
 
 def near_duplicates(docs: DataFrame, m: MinHash = MinHash(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each row of docs: doc_id, n_shingles, component_id, kept."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = materialize(rows.mapInArrow(partial(_sign, m), "doc_id long, n long, digest binary, bands array<long>"), "signed")
+    signed = materialize(rows.mapInArrow(partial(_sign, m), "doc_id long, n long, digest binary, bands array<long>, parity array<long>"), "signed")
     usable = signed.filter("n > 0 and doc_id is not null")
     # The rows of a digest have the same words, so the same signature: any of them will do, and each task sends one.
-    nodes = materialize(usable.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
+    nodes = materialize(usable.groupBy("digest").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in ("n", "bands", "parity")]), "nodes")
     slots = nodes.select(F.explode("bands").alias("key"), "node", "n")
     least = slots.groupBy("key").agg(F.min(F.struct("node", "n")).alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("key", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"))
     members = materialize(slots.join(least, "key"), "members")
 
     needed = rows.filter("doc_id is not null")
-    star = members.filter((F.col("node") != F.col("hub")) & _may_link("n", "hub_n", m)).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    near_hub = _verify(star, needed)
+    facts = nodes.select("node", "n", "parity")
+    side = lambda name: facts.select(*[F.col(c).alias(f"{name}_{c}") for c in facts.columns])
+    star = members.filter((F.col("node") != F.col("hub")) & _may_link("", "hub_", m)).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    likely = star.join(side("a"), F.col("a") == F.col("a_node")).join(side("b"), (F.col("b") == F.col("b_node")) & _parities_allow("a_", "b_", m)).select("a", "b").distinct()
     linked = (100 * F.col("common") >= m.percent * F.col("union")) & (F.col("union") > 0)
-    first_links = near_hub.filter(linked).select("a", "b")
     # Rows of one doc_id with different texts are nodes of the same number already.
-    first = materialize(components(first_links), "components")
+    first = components(_verify(likely, needed).filter(linked).select("a", "b"))
 
-    distance = near_hub.groupBy("a", "b").agg(F.min(1 - F.col("common") / F.col("union")).alias("d"))
     labelled = members.join(first.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
-    open_rows = materialize(
-        labelled.join(mixed, "key").filter("node <> hub").join(distance.select(F.col("a").alias("node"), F.col("b").alias("hub"), "d"), ["node", "hub"], "left").select("key", "node", "n", "label", "d"), "open"
-    )
-    other = open_rows.select("key", *[F.col(c).alias(f"{c}_2") for c in ("node", "n", "label", "d")])
-    slack = 1 - m.percent / 100 + 1e-9
-    apart = (F.col("label") != F.col("label_2")) & (F.col("node") > F.col("node_2")) & _may_link("n", "n_2", m) & (F.abs(F.coalesce(F.col("d") - F.col("d_2"), F.lit(0.0))) <= slack)
-    pairs = open_rows.join(other, "key").filter(apart).select(F.col("node").alias("a"), F.col("node_2").alias("b")).distinct()
+    open_rows = materialize(labelled.join(mixed, "key").filter("node <> hub").join(facts.drop("n"), "node").select("key", "node", "n", "label", "parity"), "open")
+    end = lambda name: open_rows.select("key", *[F.col(c).alias(f"{name}_{c}") for c in ("node", "n", "label", "parity")])
+    possible = (F.col("a_label") != F.col("b_label")) & (F.col("a_node") > F.col("b_node")) & _may_link("a_", "b_", m) & _parities_allow("a_", "b_", m)
+    one, two = end("a"), end("b").withColumnRenamed("key", "b_key")
+    pairs = one.join(two, (F.col("key") == F.col("b_key")) & possible).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
     more = _verify(pairs, needed).filter(linked).select("a", "b")
 
-    final = materialize(components(first_links.unionByName(more)), "components")
+    # Within a component of the first step it does not matter which of its links are known.
+    final = components(more.unionByName(first.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     out = signed.select("doc_id", "n", "digest").join(nodes.select("digest", "node"), "digest", "left").join(final, "node", "left")
     found = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), found.alias("component_id"), F.coalesce(F.col("doc_id") == found, F.lit(True)).alias("kept"))
