@@ -1,6 +1,6 @@
 """One query for each operator, over the driver's tables."""
 
-from pactum.queries import expressions
+from pactum.queries import collections, expressions, relationships
 from pactum.queries.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "expressions"]
+__all__ = ["QUERIES", "SQL", "collections", "expressions", "relationships"]
