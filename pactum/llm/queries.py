@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactum.llm import chat, langid, lattice, minhash, mtree, packing, pii, quality, tokenfile, warc
+from pactum.llm import chat, langid, lattice, minhash, mtree, packing, pii, quality, sql, tokenfile, warc
 from pactum.llm.common import materialize, table
 
 
@@ -128,4 +128,4 @@ QUERIES = {
     "op9_minhash": op9_minhash,
     "op1_packing": op1_packing,
     "op10_token_file": op10_token_file, "op7_quality_rules": op7_quality_rules, "op8_warc": op8_warc}
-SQL = {"op4_chat_format": OP4_SQL, "op6_exact_top_k": OP6_SQL, "op8_warc": OP8_SQL}
+SQL = {"op7_quality_rules": sql.OP7, "op9_minhash": sql.OP9, "op4_chat_format": OP4_SQL, "op6_exact_top_k": OP6_SQL, "op8_warc": OP8_SQL}
