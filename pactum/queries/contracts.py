@@ -398,6 +398,68 @@ def _(t):
     return r.evaluate(t.part, PART, ["p_partkey"]).select("p_partkey", *settable)
 
 
+DOC = F.to_json(F.struct(F.col("p_name").alias("name"), F.col("p_size").alias("size"), F.struct(F.col("p_brand").alias("brand")).alias("in")))
+
+
+def written(t, form) -> DataFrame:
+    """Each part's document in a form that a driver-side text function gives, in Arrow batches."""
+    import json
+
+    import pandas as pd
+
+    @F.pandas_udf("string")
+    def write(docs: pd.Series) -> pd.Series:
+        return docs.map(lambda d: form(json.loads(d)))
+
+    return t.part.select("p_partkey", write(DOC).alias("text"))
+
+
+@query("snk_indented_json", """SELECT p_partkey, '{' || chr(10) || '  "name": "' || p_name || '",' || chr(10) || '  "size": ' || p_size || ',' || chr(10) || '  "in": {' || chr(10) || '    "brand": "' || p_brand || '"' || chr(10) || '  }' || chr(10) || '}' AS text FROM part""")
+def _(t):
+    return written(t, emit.indented)
+
+
+@query("snk_yaml", """SELECT p_partkey, 'name: ' || CASE WHEN contains(p_name, '#') THEN '"' || p_name || '"' ELSE p_name END || chr(10) || 'size: ' || p_size || chr(10) || 'in:' || chr(10) || '  brand: "' || p_brand || '"' || chr(10) AS text FROM part""")
+def _(t):
+    return written(t, emit.yaml)
+
+
+@query("snk_template", "SELECT p_partkey, 'part ' || p_name || CASE WHEN p_size > 25 THEN ' (large)' ELSE '' END || ': ' || CASE WHEN p_size % 3 = 0 THEN 'none' WHEN p_size % 3 = 1 THEN '0' ELSE '0, 1' END AS text FROM part")
+def _(t):
+    from pactum.plans import template as templates
+
+    text = "part {{ name }}{% if size > 25 %} (large){% endif %}: {% for i in 0..<size % 3 %}{{ i }}{% if !loop.last %}, {% endif %}{% else %}none{% endfor %}"
+    return t.part.select("p_partkey", templates.render_column(text, DOC).alias("text"))
+
+
+@query("src_yaml", "SELECT p_partkey, p_name AS name, p_size::BIGINT AS size FROM part")
+def _(t):
+    import json
+
+    import pandas as pd
+
+    from pactum.sources import yamldoc
+
+    @F.pandas_udf("string")
+    def read(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: json.dumps(yamldoc.read(x)))
+
+    doc = F.concat(F.lit("# a part\nname: "), F.col("p_name"), F.lit("\nsizes:\n  - 0\n  - "), F.col("p_size").cast("string"), F.lit("\n"))
+    json_text = read(doc)
+    return t.part.select("p_partkey", json_text.alias("j")).select("p_partkey", F.get_json_object("j", "$.name").alias("name"), F.get_json_object("j", "$.sizes[1]").cast("bigint").alias("size"))
+
+
+@query("snk_round_trip", "SELECT p_partkey, TRUE AS same FROM part")
+def _(t):
+    doc = {"name": col("p_name", "string"), "half": std.float_of(col("p_size", "int")) / 2.0, "size": col("p_size", "int")}
+    texts = t.part.select("p_partkey", emit.canonical(doc).alias("doc"))
+    got = jsondoc.nodes(texts, "doc", ["p_partkey", "doc"])
+    pick = lambda name, kind: F.max(F.when(F.col("key") == name, jsondoc.typed(kind)))
+    bound = got.groupBy("p_partkey", "doc").agg(pick("name", "string").alias("name"), pick("half", "float").alias("half"), pick("size", "int").alias("size"))
+    again = emit.canonical({"name": col("name", "string"), "half": col("half", "float"), "size": col("size", "int")})
+    return bound.select("p_partkey", (again == F.col("doc")).alias("same"))
+
+
 # -- diagnostics -------------------------------------------------------------------
 
 
