@@ -44,14 +44,20 @@ def _delete_written() -> None:
             return
 
 
-def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: this cuts lineage and outlives lost executors."""
+#: Rows of a few numbers that make a file worth writing.
+ROWS_PER_FILE = 250_000
+
+
+def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it back: this cuts lineage and outlives lost executors.
+
+    rows: how many rows of a few numbers df has at most, where that is known: a small table then makes few files.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

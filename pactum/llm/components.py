@@ -35,8 +35,8 @@ def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node with a link to another: the least node that it reaches. links: columns a, b."""
     now = materialize(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     state = _state(now)
-    while True:
-        now = materialize(_small(_large(now)), "links")
+    while state[0]:
+        now = materialize(_small(_large(now)), "links", rows=state[0])  # a round never adds links
         before, state = state, _state(now)
         if state == before:
             break
