@@ -197,9 +197,9 @@ class Record:
         reports: list[Column] = []
         own = lambda n: F.concat(path, F.lit(f".{n}"))
 
-        def report(code: str, cond: Column, text: object, where: Column, id_: str | None = None, severity: str = "error") -> None:
+        def report(code: str | Column, cond: Column, text: object, where: Column, id_: str | None = None, severity: str = "error") -> None:
             message = text if isinstance(text, Column) else F.lit(str(text))
-            reports.append(F.when(F.coalesce(cond, F.lit(False)), F.struct(F.lit(code).alias("code"), F.lit(id_).cast("string").alias("id"), F.lit(severity).alias("severity"), message.alias("message"), where.alias("path"))))
+            reports.append(F.when(F.coalesce(cond, F.lit(False)), F.struct((code if isinstance(code, Column) else F.lit(code)).alias("code"), F.lit(id_).cast("string").alias("id"), F.lit(severity).alias("severity"), message.alias("message"), where.alias("path"))))
 
         for n in self.order():
             m = self.members[n]
@@ -218,8 +218,10 @@ class Record:
                 values[n] = E(F.when(~(absent | wrong), raw), kind, absent, wrong, (), (), frozenset({n}))
             else:
                 e = lift(m.expr(values))
-                for x in e.errors:
-                    report(x.code, x.when if m.kind != "defaulted" else absent & x.when, x.message, own(n))
+                if e.errors:  # evaluation stops at the first
+                    found = F.coalesce(*[F.when(x.when, F.struct(F.lit(x.code).alias("code"), x.message.alias("message"))) for x in e.errors])
+                    fires = found.isNotNull() if m.kind != "defaulted" else absent & found.isNotNull()
+                    report(found["code"], fires, found["message"], own(n))
                 if m.kind == "defaulted":
                     filled = e.guarded(absent)
                     values[n] = E(F.when(absent, filled.v).otherwise(F.when(~wrong, raw)), kind if kind != "any" else e.kind, None, wrong | filled.is_bad, (), e.dim, frozenset({n}))
@@ -253,8 +255,8 @@ class Record:
             text = a.message(values).v if callable(a.message) else F.lit(a.message or f"{a.name} does not hold")
             entry = lambda code, t, sev: F.struct(F.lit(code).alias("code"), F.lit(f"{self.name}.{a.name}").alias("id"), F.lit(sev).alias("severity"), t.alias("message"), path.alias("path"))  # noqa: B023, E731
             reports.append(F.when(F.coalesce(ready & fires, F.lit(False)), entry(CODES[a.severity], text, a.severity)))
-            for x in cond.errors:
-                reports.append(F.when(F.coalesce(ready & x.when, F.lit(False)), entry(x.code, x.message, "error")))
+            if cond.errors:
+                reports.append(F.coalesce(*[F.when(F.coalesce(ready & x.when, F.lit(False)), entry(x.code, x.message, "error").cast(REPORT)) for x in cond.errors]))
         found = F.filter(F.array(*[r.cast(REPORT) for r in reports]), lambda r: r.isNotNull())
         if unknown is not None and not self.open:
             extra = F.transform(F.array_except(unknown, F.array(*[F.lit(n) for n in self.members])), lambda n: F.struct(F.lit("E4003").alias("code"), F.lit(None).cast("string").alias("id"), F.lit("error").alias("severity"), F.concat(F.lit("undeclared member "), n).alias("message"), F.concat(path, F.lit("."), n).alias("path")).cast(REPORT))

@@ -10,7 +10,13 @@ from pactum.operators import collect as C
 from pactum.plans.expr import E, col, lift
 from pactum.queries.registry import query
 
-KEY, SIZE = col("p_partkey", "int"), col("p_size", "int")
+
+def KEY():
+    return col("p_partkey", "int")
+
+
+def SIZE():
+    return col("p_size", "int")
 
 
 def lines(t) -> DataFrame:
@@ -26,19 +32,26 @@ def over(df: DataFrame, key: str, **columns) -> DataFrame:
     return df.select(key, *[(c if isinstance(c, Column) else c.v).alias(n) for n, c in columns.items()])
 
 
-XS = E(F.col("xs"), "array")
-QTY = std.map_(XS, lambda x: x.get("qty", "float"))
-PARTS = std.map_(XS, lambda x: x.get("part", "int"))
+def XS():
+    return E(F.col("xs"), "array")
+
+
+def QTY():
+    return std.map_(XS(), lambda x: x.get("qty", "float"))
+
+
+def PARTS():
+    return std.map_(XS(), lambda x: x.get("part", "int"))
 
 
 @query("cmp_map", f"SELECT l_orderkey, array_to_string(list_transform(xs, lambda x: x.part * 2 + 1), ',') AS v FROM ({LINES})")
 def _(t):
-    return over(lines(t), "l_orderkey", v=std.join(std.map_(PARTS, lambda p: p * 2 + 1, "int"), ","))
+    return over(lines(t), "l_orderkey", v=std.join(std.map_(PARTS(), lambda p: p * 2 + 1, "int"), ","))
 
 
 @query("cmp_filter", f"SELECT l_orderkey, array_to_string(list_transform(list_filter(xs, lambda x: x.qty > 20 AND x.part % 2 = 0), lambda x: x.part), ',') AS v FROM ({LINES})")
 def _(t):
-    kept = std.filter_(XS, lambda x: (x.get("qty", "float") > 20.0).and_(x.get("part", "int") % 2 == 0))
+    kept = std.filter_(XS(), lambda x: (x.get("qty", "float") > 20.0).and_(x.get("part", "int") % 2 == 0))
     return over(lines(t), "l_orderkey", v=std.join(std.map_(kept, lambda x: x.get("part", "int")), ","))
 
 
@@ -61,7 +74,7 @@ def _(t):
 
 @query("cmp_range", "SELECT p_partkey, unnest(range(0, p_size % 4))::BIGINT AS i FROM part")
 def _(t):
-    return C.over_range(t.part, lift(0), SIZE % 4, "i").select("p_partkey", "i")
+    return C.over_range(t.part, lift(0), SIZE() % 4, "i").select("p_partkey", "i")
 
 
 @query("cmp_map_build", "SELECT l_orderkey, count(DISTINCT l_linenumber) AS n, CASE WHEN count(*) > count(DISTINCT l_linenumber) THEN 'E5004' END AS code FROM lineitem GROUP BY 1")
@@ -90,39 +103,39 @@ def _(t):
 
 @query("agg_count", f"SELECT l_orderkey, len(xs) AS n FROM ({LINES})")
 def _(t):
-    return over(lines(t), "l_orderkey", n=std.count(XS))
+    return over(lines(t), "l_orderkey", n=std.count(XS()))
 
 
 @query("agg_sum", f"SELECT l_orderkey, list_sum(list_transform(xs, lambda x: x.part))::BIGINT AS a, list_reduce(list_transform(xs, lambda x: x.qty), lambda a, x: a + x, 0.0::DOUBLE) AS b FROM ({LINES})")
 def _(t):
-    return over(lines(t), "l_orderkey", a=std.sum_(PARTS, "int"), b=std.sum_(QTY, "float"))
+    return over(lines(t), "l_orderkey", a=std.sum_(PARTS(), "int"), b=std.sum_(QTY(), "float"))
 
 
 @query("agg_fold", f"SELECT l_orderkey, list_reduce(list_transform(xs, lambda x: x.part), lambda a, x: (a * 31 + x) % 1000003, 7::BIGINT) AS h FROM ({LINES})")
 def _(t):
-    return over(lines(t), "l_orderkey", h=std.fold(PARTS, 7, lambda a, x: (a * 31 + x) % 1000003, "int"))
+    return over(lines(t), "l_orderkey", h=std.fold(PARTS(), 7, lambda a, x: (a * 31 + x) % 1000003, "int"))
 
 
 @query("agg_fold_max", f"SELECT l_orderkey, list_max(list_transform(xs, lambda x: x.qty)) AS most, list_min(list_transform(xs, lambda x: x.part)) AS least FROM ({LINES})")
 def _(t):
-    most = std.fold(QTY, -1.0, std.max_, "float")
-    least = std.fold(PARTS, 1 << 62, std.min_, "int")
+    most = std.fold(QTY(), -1.0, std.max_, "float")
+    least = std.fold(PARTS(), 1 << 62, std.min_, "int")
     return over(lines(t), "l_orderkey", most=most, least=least)
 
 
 @query("agg_all", "SELECT l_orderkey, bool_and(l_quantity < 45) AS v FROM lineitem GROUP BY 1")
 def _(t):
-    return over(lines(t), "l_orderkey", v=std.all_(XS, lambda x: x.get("qty", "float") < 45.0))
+    return over(lines(t), "l_orderkey", v=std.all_(XS(), lambda x: x.get("qty", "float") < 45.0))
 
 
 @query("agg_any", "SELECT l_orderkey, bool_or(l_quantity > 45) AS v FROM lineitem GROUP BY 1")
 def _(t):
-    return over(lines(t), "l_orderkey", v=std.any_(XS, lambda x: x.get("qty", "float") > 45.0))
+    return over(lines(t), "l_orderkey", v=std.any_(XS(), lambda x: x.get("qty", "float") > 45.0))
 
 
 @query("agg_all_distinct", "SELECT l_orderkey, count(*) = count(DISTINCT l_linenumber) AS v FROM lineitem GROUP BY 1")
 def _(t):
-    return over(lines(t), "l_orderkey", v=std.all_distinct(std.map_(XS, lambda x: x.get("i", "int"))))
+    return over(lines(t), "l_orderkey", v=std.all_distinct(std.map_(XS(), lambda x: x.get("i", "int"))))
 
 
 @query("agg_count_distinct", "SELECT o_custkey, count(DISTINCT o_orderpriority) AS n FROM orders GROUP BY 1")
@@ -135,17 +148,17 @@ def _(t):
 
 @query("ord_sort", f"SELECT l_orderkey, array_to_string(list_sort(list_transform(xs, lambda x: x.part)), ',') AS v FROM ({LINES})")
 def _(t):
-    return over(lines(t), "l_orderkey", v=std.join(std.sort(PARTS), ","))
+    return over(lines(t), "l_orderkey", v=std.join(std.sort(PARTS()), ","))
 
 
 @query("ord_sort_by", "SELECT l_orderkey, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_partkey % 10, l_linenumber, l_partkey, l_quantity) AS v FROM lineitem GROUP BY 1")
 def _(t):
-    return over(lines(t), "l_orderkey", v=std.join(std.sort_by(PARTS, lambda p: p % 10, "int"), ","))
+    return over(lines(t), "l_orderkey", v=std.join(std.sort_by(PARTS(), lambda p: p % 10, "int"), ","))
 
 
 @query("ord_reverse", f"SELECT l_orderkey, array_to_string(list_reverse(list_transform(xs, lambda x: x.part)), ',') AS v FROM ({LINES})")
 def _(t):
-    return over(lines(t), "l_orderkey", v=std.join(std.reverse(PARTS), ","))
+    return over(lines(t), "l_orderkey", v=std.join(std.reverse(PARTS()), ","))
 
 
 @query("ord_path", "SELECT o_custkey, string_agg('doc.orders[' || o_orderkey || ']', ' ' ORDER BY o_orderkey) AS v FROM orders GROUP BY 1")

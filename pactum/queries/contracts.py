@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,8 +17,13 @@ from pactum.plans.expr import E, col, lift, template
 from pactum.queries.registry import query
 from pactum.sources import jsondoc
 
-PART = paths.index(F.lit("doc.parts"), F.col("p_partkey"))
-ORDER = paths.index(F.lit("doc.orders"), F.col("o_orderkey"))
+
+def PART():
+    return paths.index(F.lit("doc.parts"), F.col("p_partkey"))
+
+
+def ORDER():
+    return paths.index(F.lit("doc.orders"), F.col("o_orderkey"))
 
 
 def refused(df: DataFrame, key: str, column, type_: M.Type) -> DataFrame:
@@ -119,7 +127,7 @@ SIZED = M.Record("Sized", {"p_partkey": M.Member("required", M.prim("int")), "p_
 @query("typ_inheritance", "SELECT p_partkey, 'E4001' AS code, 'doc.parts[' || p_partkey || '].p_size' AS path FROM part WHERE p_size > 20")
 def _(t):
     small = SIZED.extend("Small", {"p_size": M.Member("required", M.rng(1, 20))})
-    return small.diagnostics(t.part, PART, keep=["p_partkey"]).select("p_partkey", "code", "path")
+    return small.diagnostics(t.part, PART(), keep=["p_partkey"]).select("p_partkey", "code", "path")
 
 
 @query("typ_generic", "SELECT p_partkey FROM part WHERE p_size > 30")
@@ -169,7 +177,7 @@ def _(t):
 @query("typ_else_message", "SELECT p_partkey, 'size must be small' AS message FROM part WHERE p_size > 40")
 def _(t):
     small = M.Record("P", {"p_size": M.Member("required", M.rng(1, 40).else_("size must be small"))})
-    return small.diagnostics(t.part, PART, keep=["p_partkey"]).select("p_partkey", "message")
+    return small.diagnostics(t.part, PART(), keep=["p_partkey"]).select("p_partkey", "message")
 
 
 @query("typ_map_to_record", "SELECT p_partkey, p_brand AS brand, p_size::BIGINT AS size, CASE WHEN p_size % 6 = 0 THEN 'E4002' END AS code FROM part WHERE p_size % 6 <> 0 UNION ALL SELECT p_partkey, p_brand, NULL, 'E4002' FROM part WHERE p_size % 6 = 0")
@@ -188,29 +196,31 @@ def _(t):
 
 # -- members -----------------------------------------------------------------------
 
-FIFTH = F.col("p_size") % 5 == 0
+
+def FIFTH():
+    return F.col("p_size") % 5 == 0
 
 
 def given(t) -> DataFrame:
     """Parts whose `size` is absent in every fifth size."""
-    return t.part.withColumn("size", F.when(~FIFTH, F.col("p_size").cast("long")))
+    return t.part.withColumn("size", F.when(~FIFTH(), F.col("p_size").cast("long")))
 
 
 @query("mem_required", "SELECT p_partkey, 'E4002' AS code, 'doc.parts[' || p_partkey || '].size' AS path FROM part WHERE p_size % 5 = 0")
 def _(t):
-    return M.Record("P", {"size": M.Member("required", M.prim("int"))}).diagnostics(given(t), PART, keep=["p_partkey"]).select("p_partkey", "code", "path")
+    return M.Record("P", {"size": M.Member("required", M.prim("int"))}).diagnostics(given(t), PART(), keep=["p_partkey"]).select("p_partkey", "code", "path")
 
 
 @query("mem_optional", "SELECT p_partkey, CASE WHEN p_size % 5 <> 0 THEN p_size::BIGINT END AS size, p_size % 5 <> 0 AS here FROM part")
 def _(t):
     r = M.Record("P", {"size": M.Member("optional", M.prim("int")), "here": M.Member("derived", None, lambda m: m["size"].present())})
-    return r.evaluate(given(t), PART, ["p_partkey"])
+    return r.evaluate(given(t), PART(), ["p_partkey"])
 
 
 @query("mem_default", "SELECT p_partkey, coalesce(nullif(p_size % 5, 0), 9)::BIGINT AS v FROM part")
 def _(t):
     df = t.part.withColumn("v", F.nullif(F.col("p_size") % 5, F.lit(0)).cast("long"))
-    return M.Record("P", {"v": M.Member("defaulted", M.prim("int"), lambda m: 9)}).evaluate(df, PART, ["p_partkey"])
+    return M.Record("P", {"v": M.Member("defaulted", M.prim("int"), lambda m: 9)}).evaluate(df, PART(), ["p_partkey"])
 
 
 DERIVE = {
@@ -223,25 +233,27 @@ DERIVE = {
     "unit_price": M.Member("derived", None, lambda m: m["l_extendedprice"] / m["l_quantity"]),
     "bulk": M.Member("derived", None, lambda m: m["l_quantity"] >= 30.0),
 }
-LINE = paths.index(F.lit("doc.lines"), F.col("l_orderkey"))
+
+def LINE():
+    return paths.index(F.lit("doc.lines"), F.col("l_orderkey"))
 
 
 @query("mem_derived", "SELECT l_orderkey, l_linenumber, l_extendedprice - l_extendedprice * l_discount AS net, (l_extendedprice - l_extendedprice * l_discount) + (l_extendedprice - l_extendedprice * l_discount) * l_tax AS total, CASE WHEN l_quantity <> 0 THEN l_extendedprice / l_quantity END AS unit_price, l_quantity >= 30 AS bulk FROM lineitem")
 def _(t):
-    return M.Record("Line", DERIVE).evaluate(t.lineitem, LINE, ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "net", "total", "unit_price", "bulk")
+    return M.Record("Line", DERIVE).evaluate(t.lineitem, LINE(), ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "net", "total", "unit_price", "bulk")
 
 
 @query("mem_restatement", "SELECT p_partkey, 'E4005' AS code FROM part WHERE p_size % 4 = 1")
 def _(t):
     df = t.part.withColumn("twice", F.when(F.col("p_size") % 4 == 1, F.lit(-1).cast("long")).when(F.col("p_size") % 4 == 2, F.col("p_size").cast("long") * 2))
     r = M.Record("P", {"p_size": M.Member("required", M.prim("int")), "twice": M.Member("derived", M.prim("int"), lambda m: m["p_size"] * 2)})
-    return r.diagnostics(df, PART, keep=["p_partkey"]).select("p_partkey", "code")
+    return r.diagnostics(df, PART(), keep=["p_partkey"]).select("p_partkey", "code")
 
 
 @query("mem_hidden", "SELECT p_partkey, p_size::BIGINT * 4 AS four FROM part")
 def _(t):
     r = M.Record("P", {"p_size": M.Member("hidden", None, lambda m: col("p_size", "int") * 2, supplied="_none"), "four": M.Member("derived", None, lambda m: m["p_size"] * 2)})
-    return r.evaluate(t.part, PART, ["p_partkey"])
+    return r.evaluate(t.part, PART(), ["p_partkey"])
 
 
 @query("mem_access", "SELECT p_partkey, p_brand AS brand FROM part")
@@ -252,7 +264,7 @@ def _(t):
 
 @query("mem_safe_access", "SELECT p_partkey, CASE WHEN p_size % 5 <> 0 THEN p_brand END AS brand FROM part")
 def _(t):
-    rec = E(F.when(~FIFTH, F.struct(F.col("p_brand").alias("brand"))), "record", FIFTH)
+    rec = E(F.when(~FIFTH(), F.struct(F.col("p_brand").alias("brand"))), "record", FIFTH())
     return t.part.select("p_partkey", rec.get("brand", "string").v.alias("brand"))
 
 
@@ -285,13 +297,13 @@ def _(t):
 def _(t):
     r = M.Record("P", {"size": M.Member("required", M.prim("int")), "twice": M.Member("derived", None, lambda m: m["size"] * 2)})
     changed = t.part.withColumn("size", F.col("p_size").cast("long") + 100)  # base with { size: size + 100 }
-    return r.evaluate(changed, PART, ["p_partkey"])
+    return r.evaluate(changed, PART(), ["p_partkey"])
 
 
 @query("mem_merge", "SELECT p_partkey, CASE WHEN p_size % 5 <> 0 THEN 'patch' ELSE p_brand END AS brand, p_type AS type, 'z' AS deep FROM part")
 def _(t):
     base = {"brand": col("p_brand", "string"), "type": col("p_type", "string"), "in": {"deep": lift("y")}}
-    patch = {"brand": E(F.when(~FIFTH, F.lit("patch")), "string", FIFTH), "in": {"deep": lift("z")}}
+    patch = {"brand": E(F.when(~FIFTH(), F.lit("patch")), "string", FIFTH()), "in": {"deep": lift("z")}}
     out = std.merge(base, patch)
     return t.part.select("p_partkey", out["brand"].v.alias("brand"), out["type"].v.alias("type"), out["in"]["deep"].v.alias("deep"))
 
@@ -307,7 +319,7 @@ def _(t):
 def _(t):
     from pactum.operators import relations
 
-    parent = t.orders.select(ORDER.alias("path"), "o_totalprice")
+    parent = t.orders.select(ORDER().alias("path"), "o_totalprice")
     child = t.lineitem.withColumn("_parent", paths.index(F.lit("doc.orders"), F.col("l_orderkey")))
     return relations.deref(child, "_parent", parent, "path").select("l_orderkey", "l_linenumber", (F.col("o_totalprice") > F.col("l_extendedprice")).alias("below"))
 
@@ -370,7 +382,7 @@ def _(t):
         "name": col("p_name", "string"),
         "size": col("p_size", "int"),
         "half": std.float_of(col("p_size", "int")) / 2.0,
-        "odd": E(F.col("p_size") % 5, "int", FIFTH),
+        "odd": E(F.col("p_size") % 5, "int", FIFTH()),
         "none": lift(None),
         "in": {"brand": col("p_brand", "string")},
     }
@@ -386,7 +398,7 @@ def _(t):
 def _(t):
     from pyspark.sql.window import Window
 
-    found = M.Record("P", {"p_size": M.Member("required", M.rng(1, 45))}).diagnostics(t.part, PART)
+    found = M.Record("P", {"p_size": M.Member("required", M.rng(1, 45))}).diagnostics(t.part, PART())
     ordered = Window.orderBy(paths.path_key(F.col("path")), F.col("id").asc_nulls_first(), "seq")
     return found.select(F.row_number().over(ordered).cast("long").alias("n"), "code", "path")
 
@@ -395,23 +407,20 @@ def _(t):
 def _(t):
     r = M.Record("P", {"p_name": M.Member("required", M.prim("string")), "upper": M.Member("derived", None, lambda m: m["p_name"] + "!")})
     settable = [n for n, m in r.members.items() if m.kind in ("required", "optional", "defaulted")]
-    return r.evaluate(t.part, PART, ["p_partkey"]).select("p_partkey", *settable)
+    return r.evaluate(t.part, PART(), ["p_partkey"]).select("p_partkey", *settable)
 
 
-DOC = F.to_json(F.struct(F.col("p_name").alias("name"), F.col("p_size").alias("size"), F.struct(F.col("p_brand").alias("brand")).alias("in")))
+def DOC():
+    return F.to_json(F.struct(F.col("p_name").alias("name"), F.col("p_size").alias("size"), F.struct(F.col("p_brand").alias("brand")).alias("in")))
 
 
 def written(t, form) -> DataFrame:
     """Each part's document in a form that a driver-side text function gives, in Arrow batches."""
-    import json
-
-    import pandas as pd
-
     @F.pandas_udf("string")
     def write(docs: pd.Series) -> pd.Series:
         return docs.map(lambda d: form(json.loads(d)))
 
-    return t.part.select("p_partkey", write(DOC).alias("text"))
+    return t.part.select("p_partkey", write(DOC()).alias("text"))
 
 
 @query("snk_indented_json", """SELECT p_partkey, '{' || chr(10) || '  "name": "' || p_name || '",' || chr(10) || '  "size": ' || p_size || ',' || chr(10) || '  "in": {' || chr(10) || '    "brand": "' || p_brand || '"' || chr(10) || '  }' || chr(10) || '}' AS text FROM part""")
@@ -429,15 +438,11 @@ def _(t):
     from pactum.plans import template as templates
 
     text = "part {{ name }}{% if size > 25 %} (large){% endif %}: {% for i in 0..<size % 3 %}{{ i }}{% if !loop.last %}, {% endif %}{% else %}none{% endfor %}"
-    return t.part.select("p_partkey", templates.render_column(text, DOC).alias("text"))
+    return t.part.select("p_partkey", templates.render_column(text, DOC()).alias("text"))
 
 
 @query("src_yaml", "SELECT p_partkey, p_name AS name, p_size::BIGINT AS size FROM part")
 def _(t):
-    import json
-
-    import pandas as pd
-
     from pactum.sources import yamldoc
 
     @F.pandas_udf("string")
@@ -472,24 +477,24 @@ TOTAL = {"o_totalprice": M.Member("required", M.prim("float")), "o_orderstatus":
 
 @query("dia_assert", "SELECT o_orderkey, 'E6001' AS code, 'R.affordable' AS id, 'doc.orders[' || o_orderkey || ']' AS path FROM orders WHERE o_totalprice > 400000")
 def _(t):
-    return asserting(t.orders, "o_orderkey", ORDER, M.Assert("affordable", lambda m: m["o_totalprice"] <= 400000.0), **TOTAL).select("o_orderkey", "code", "id", "path")
+    return asserting(t.orders, "o_orderkey", ORDER(), M.Assert("affordable", lambda m: m["o_totalprice"] <= 400000.0), **TOTAL).select("o_orderkey", "code", "id", "path")
 
 
 @query("dia_when", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 300000")
 def _(t):
-    return asserting(t.orders, "o_orderkey", ORDER, M.Assert("final", lambda m: m["o_totalprice"] <= 300000.0, when=lambda m: m["o_orderstatus"] == "F"), **TOTAL).select("o_orderkey")
+    return asserting(t.orders, "o_orderkey", ORDER(), M.Assert("final", lambda m: m["o_totalprice"] <= 300000.0, when=lambda m: m["o_orderstatus"] == "F"), **TOTAL).select("o_orderkey")
 
 
 @query("dia_severity", "SELECT o_orderkey, unnest(['W6001', 'I6001']) AS code, unnest(['warn', 'info']) AS severity FROM orders WHERE o_totalprice > 450000")
 def _(t):
     a = lambda name, severity: M.Assert(name, lambda m: m["o_totalprice"] <= 450000.0, severity=severity)
-    return asserting(t.orders, "o_orderkey", ORDER, a("one", "warn"), a("two", "info"), **TOTAL).select("o_orderkey", "code", "severity")
+    return asserting(t.orders, "o_orderkey", ORDER(), a("one", "warn"), a("two", "info"), **TOTAL).select("o_orderkey", "code", "severity")
 
 
 @query("dia_message", "SELECT p_partkey, 'size ' || p_size || ' is large for ' || p_type AS message FROM part WHERE p_size > 45")
 def _(t):
     a = M.Assert("small", lambda m: m["p_size"] <= 45, lambda m: template("size ", m["p_size"], " is large for ", m["p_type"]))
-    return asserting(t.part, "p_partkey", PART, a, p_size=M.Member("required", M.prim("int")), p_type=M.Member("required", M.prim("string"))).select("p_partkey", "message")
+    return asserting(t.part, "p_partkey", PART(), a, p_size=M.Member("required", M.prim("int")), p_type=M.Member("required", M.prim("string"))).select("p_partkey", "message")
 
 
 def too_large(size: E, limit: int) -> E:
@@ -500,18 +505,18 @@ def too_large(size: E, limit: int) -> E:
 @query("dia_template", "SELECT p_partkey, p_size || ' exceeds 45' AS message, 'W6001' AS code FROM part WHERE p_size > 45")
 def _(t):
     a = M.Assert("small", lambda m: m["p_size"] <= 45, lambda m: too_large(m["p_size"], 45), "warn", template="too_large")
-    return asserting(t.part, "p_partkey", PART, a, p_size=M.Member("required", M.prim("int"))).select("p_partkey", "message", "code")
+    return asserting(t.part, "p_partkey", PART(), a, p_size=M.Member("required", M.prim("int"))).select("p_partkey", "message", "code")
 
 
 @query("dia_taint", "SELECT p_partkey, 'E4001' AS code FROM part WHERE p_size > 40 UNION ALL SELECT p_partkey, 'E6001' FROM part WHERE p_size <= 40 AND p_size * 2 > 70")
 def _(t):
     a = M.Assert("half", lambda m: m["twice"] <= 70)
-    return asserting(t.part, "p_partkey", PART, a, p_size=M.Member("required", M.rng(1, 40)), twice=M.Member("derived", None, lambda m: m["p_size"] * 2)).select("p_partkey", "code")
+    return asserting(t.part, "p_partkey", PART(), a, p_size=M.Member("required", M.rng(1, 40)), twice=M.Member("derived", None, lambda m: m["p_size"] * 2)).select("p_partkey", "code")
 
 
 @query("dia_eval_error", "SELECT p_partkey, 'E5001' AS code, 'doc.parts[' || p_partkey || '].share' AS path FROM part WHERE p_size % 6 = 0")
 def _(t):
-    return asserting(t.part, "p_partkey", PART, p_size=M.Member("required", M.prim("int")), share=M.Member("derived", None, lambda m: lift(100) / (m["p_size"] % 6)), more=M.Member("derived", None, lambda m: m["share"] + 1)).select("p_partkey", "code", "path")
+    return asserting(t.part, "p_partkey", PART(), p_size=M.Member("required", M.prim("int")), share=M.Member("derived", None, lambda m: lift(100) / (m["p_size"] % 6)), more=M.Member("derived", None, lambda m: m["share"] + 1)).select("p_partkey", "code", "path")
 
 
 @query("dia_cycle")
@@ -539,6 +544,6 @@ def _(t):
 
     linked = relations.deref(t.orders, "o_custkey", t.customer, "c_custkey")
     a = M.Assert("solvent", lambda m: (m["o_totalprice"] <= 300000.0).or_(m["c_acctbal"] >= 0.0))
-    return asserting(linked, "o_orderkey", ORDER, a, o_totalprice=M.Member("required", M.prim("float")), c_acctbal=M.Member("required", M.prim("float"))).select("o_orderkey", "code")
+    return asserting(linked, "o_orderkey", ORDER(), a, o_totalprice=M.Member("required", M.prim("float")), c_acctbal=M.Member("required", M.prim("float"))).select("o_orderkey", "code")
 
 

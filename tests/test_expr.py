@@ -18,51 +18,50 @@ def one(spark, e, **values):
 @pytest.mark.parametrize(
     ("e", "v", "code"),
     [
-        (lift(-7) / 2, -3, None),
-        (lift(-7) % 2, -1, None),
-        (lift(7) / 0, None, "E5001"),
-        (lift(1.0) / 0.0, None, "E5001"),
-        (lift(1e308) * 10.0, None, "E5002"),
-        (lift(1 << 62) * 4, None, "E5002"),
-        (lift(3) << 4, 48, None),
-        (lift(3) << -1, None, "E5003"),
-        (lift(1) << 63, None, "E5002"),
-        (lift(-5) >> 1, -3, None),
-        (~lift(5), -6, None),
-        (std.clog2(lift(1)), 0, None),
-        (std.clog2(lift(8)), 3, None),
-        (std.clog2(lift(9)), 4, None),
-        (std.clog2(lift(0)), None, "E5008"),
-        (std.round_(lift(2.5)), 2, None),
-        (std.round_(lift(-3.5)), -4, None),
-        (std.int_of(lift(1.5)), None, "E5008"),
-        (std.int_of(lift(2.0)), 2, None),
-        (std.floor(lift(-1.5)), -2, None),
-        (std.sum_(E(F.array().cast("array<double>"), "array"), "float"), 0.0, None),
-        (std.join(std.split(lift("a.b..c"), "."), "|"), "a|b||c", None),
-        (std.split(lift("ab"), lift("")), None, "E5008"),
-        (lift([1, 2]).at(2, "int"), None, "E5005"),
-        (std.count(Range(lift(3), lift(0)).values()), 0, None),
-        (if_(lift(True), 1, lift(1) / 0), 1, None),
-        (lift(False).and_(lift(1) / 0 > 1), False, None),
-        (lift(True).or_(lift(1) / 0 > 1), True, None),
-        (match(lift("b"), [("a", 1), (["b", "c"], 2)], 3), 2, None),
-        (template("x=", 1, " ", 2.0, " ", True), "x=1 2.0 true", None),
-        (lift("a\n").matches("a"), False, None),
-        (std.length(lift("é🙂")), 2, None),
-        (std.join(std.sort_by(lift(["bb", "a", "cc", "d"]), std.length, "string"), ""), "adbbcc", None),
-        (std.join(std.unique(lift([3, 1, 3, 2, 1])), ""), "312", None),
-        (lift(None) == None, True, None),  # noqa: E711
+        (lambda: lift(-7) / 2, -3, None),
+        (lambda: lift(-7) % 2, -1, None),
+        (lambda: lift(7) / 0, None, "E5001"),
+        (lambda: lift(1.0) / 0.0, None, "E5001"),
+        (lambda: lift(1e308) * 10.0, None, "E5002"),
+        (lambda: lift(1 << 62) * 4, None, "E5002"),
+        (lambda: lift(3) << 4, 48, None),
+        (lambda: lift(3) << -1, None, "E5003"),
+        (lambda: lift(1) << 63, None, "E5002"),
+        (lambda: lift(-5) >> 1, -3, None),
+        (lambda: ~lift(5), -6, None),
+        (lambda: std.clog2(lift(1)), 0, None),
+        (lambda: std.clog2(lift(8)), 3, None),
+        (lambda: std.clog2(lift(9)), 4, None),
+        (lambda: std.clog2(lift(0)), None, "E5008"),
+        (lambda: std.round_(lift(2.5)), 2, None),
+        (lambda: std.round_(lift(-3.5)), -4, None),
+        (lambda: std.int_of(lift(1.5)), None, "E5008"),
+        (lambda: std.int_of(lift(2.0)), 2, None),
+        (lambda: std.floor(lift(-1.5)), -2, None),
+        (lambda: std.sum_(E(F.array().cast("array<double>"), "array"), "float"), 0.0, None),
+        (lambda: std.join(std.split(lift("a.b..c"), "."), "|"), "a|b||c", None),
+        (lambda: std.split(lift("ab"), lift("")), None, "E5008"),
+        (lambda: lift([1, 2]).at(2, "int"), None, "E5005"),
+        (lambda: std.count(Range(lift(3), lift(0)).values()), 0, None),
+        (lambda: if_(lift(True), 1, lift(1) / 0), 1, None),
+        (lambda: lift(False).and_(lift(1) / 0 > 1), False, None),
+        (lambda: lift(True).or_(lift(1) / 0 > 1), True, None),
+        (lambda: match(lift("b"), [("a", 1), (["b", "c"], 2)], 3), 2, None),
+        (lambda: template("x=", 1, " ", 2.0, " ", True), "x=1 2.0 true", None),
+        (lambda: lift("a\n").matches("a"), False, None),
+        (lambda: std.length(lift("é🙂")), 2, None),
+        (lambda: std.join(std.sort_by(lift(["bb", "a", "cc", "d"]), std.length, "string"), ""), "adbbcc", None),
+        (lambda: std.join(std.unique(lift([3, 1, 3, 2, 1])), ""), "312", None),
+        (lambda: lift(None) == None, True, None),  # noqa: E711
     ],
 )
 def test_values_and_codes(spark, e, v, code):
-    got = one(spark, e)
+    got = one(spark, e())
     assert got[:2] == (v, code)
 
 
 def test_root_cause_only(spark):
     bad = lift(1) / 0
-    assert len((bad + 1 + bad).errors) == 2
     e = (bad + 1) * 2
     assert one(spark, e) == (None, "E5001", False, True)
 
@@ -76,7 +75,7 @@ def test_absence_is_not_null(spark):
     assert one(spark, m.at("a"))[2] is False and one(spark, m.at("b"))[2] is True
 
 
-def test_plan_time_refusals():
+def test_plan_time_refusals(spark):
     with pytest.raises(TypeError, match="E4072"):
         U.unit(1, "m") + U.unit(1, "s")
     with pytest.raises(TypeError, match="E4020"):

@@ -55,7 +55,7 @@ def test_one_defect_one_report(spark, row, expected):
     assert reports(spark, *row) == expected
 
 
-def test_cycle_and_weakening():
+def test_cycle_and_weakening(spark):
     r = M.Record("R", {"a": M.Member("derived", None, lambda m: m["b"]), "b": M.Member("derived", None, lambda m: m["a"])})
     with pytest.raises(ValueError, match="E4113"):
         r.order()
@@ -97,3 +97,9 @@ def test_predicates(spark):
     df = spark.createDataFrame([(1,), (2,), (4,), (None,)], "x long")
     assert [r.bad for r in df.select(t.refuses(F.col("x")).alias("bad")).collect()] == [True, True, False, True]
     assert [r.bad for r in df.select(t.opt().refuses(F.col("x")).alias("bad")).collect()] == [True, True, False, False]
+
+
+def test_an_error_that_is_met_twice_is_reported_once(spark):
+    r = M.Record("R", {"x": M.Member("required", M.prim("int")), "y": M.Member("derived", None, lambda m: lift(1) / m["x"] + lift(2) / m["x"])}, [M.Assert("a", lambda m: m["y"] > 0)])
+    df = spark.createDataFrame([(0,)], "x long")
+    assert [(d.code, d.path) for d in r.diagnostics(df, F.lit("r")).collect()] == [("E5001", "r.y")]
