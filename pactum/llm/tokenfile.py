@@ -52,49 +52,37 @@ SLICE = 256
 def pack_codes(codes: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and code bytes of unsigned 32-bit codes."""
     n = len(codes)
-    padded = np.zeros(-(-n // 4) * 4, "<u4")
+    kind, width = ("<u2", 2) if codes.max(initial=0) <= 0xFFFF else ("<u4", 4)
+    padded = np.zeros(-(-n // 4) * 4, kind)
     padded[:n] = codes
-    more = (padded > 0xFF).astype(np.uint8) + (padded > 0xFFFF) + (padded > 0xFFFFFF)
-    control = (more.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8)
-    used = np.arange(4, dtype=np.uint8) <= more[:n, None]
-    return control.tobytes(), padded[:n].view(np.uint8).reshape(-1, 4)[used].tobytes()
+    used = np.ones((len(padded), width), bool)  # which of a code's bytes are written
+    for byte in range(1, width):
+        used[:, byte] = padded >= 1 << 8 * byte
+    more = used[:, 1:].sum(axis=1, dtype=np.uint8).reshape(-1, 4) if width > 2 else used[:, 1].astype(np.uint8).reshape(-1, 4)
+    control = more[:, 0] | more[:, 1] << 2 | more[:, 2] << 4 | more[:, 3] << 6
+    return control.tobytes(), padded[:n].view(np.uint8)[used[:n].reshape(-1)].tobytes()
 
 
 @lru_cache(maxsize=1)
 def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """For each control byte: the place of each of 16 output bytes among its code bytes (16: none), and their number."""
-    places, sizes = np.full((256, 16), 16, np.int64), np.zeros(256, np.int64)
-    for control in range(256):
-        at = 0
-        for code in range(4):
-            for byte in range((control >> 2 * code & 3) + 1):
-                places[control, 4 * code + byte] = at
-                at += 1
-        sizes[control] = at
-    return places, sizes
+    """For each control byte the sizes of its four codes; for each size the bits that a code of it has."""
+    sizes = (np.arange(256, dtype=np.uint8)[:, None] >> np.array([0, 2, 4, 6], np.uint8) & 3) + np.uint8(1)
+    return sizes, np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], "<u4")
 
 
 def unpack_codes(control: bytes, data: bytes, n: int) -> np.ndarray:
-    """The n codes, by table lookup."""
-    places, sizes = _tables()
-    c = np.frombuffer(control, np.uint8)
-    held = np.frombuffer(data, np.uint8)
-    out = np.empty((len(c), 16), np.uint8)
-    for first in range(0, len(c), 1 << 16):
-        part = c[first : first + (1 << 16)]
-        size = sizes[part]
-        start = np.cumsum(size) - size
-        end = int(size.sum()) if first + len(part) < len(c) else len(held)
-        source = np.concatenate([held[:end], np.zeros(17, np.uint8)])
-        where = places[part]
-        out[first : first + len(part)] = np.where(where < 16, source[np.minimum(start[:, None] + where, end)], 0)
-        held = held[end:]
-    return out.reshape(-1).view("<u4")[:n]
+    """The n codes, by table lookup: control bytes give sizes, their sums places, and each place four bytes to mask."""
+    sizes, bits = _tables()
+    size = sizes[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
+    place = np.cumsum(size, dtype=np.int64) - size
+    held = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(4, np.uint8)])
+    words = np.lib.stride_tricks.as_strided(held.view("<u4") if len(held) % 4 == 0 else held[: len(held) // 4 * 4].view("<u4"), (len(held) - 3,), (1,))
+    return words[place] & bits[size]
 
 
 # --- encoding -----------------------------------------------------------------
 
-_RAW = T.StructType([T.StructField(n, t) for n, t in (("shard", T.IntegerType()), ("block", T.IntegerType()), ("before", T.LongType()), ("n_ids", T.LongType()), ("doc_ids", T.BinaryType()), ("counts", T.BinaryType()), ("ids", T.BinaryType()))])
+_RAW = T.StructType([T.StructField(n, t) for n, t in (("shard", T.IntegerType()), ("block", T.IntegerType()), ("before", T.LongType()), ("n_ids", T.LongType()), ("doc_ids", T.BinaryType()), ("counts", T.BinaryType()), ("ids", T.BinaryType()), ("seen", T.BinaryType()), ("times", T.BinaryType()))])
 
 
 def _encode_blocks(path: str, end_id: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,8 +97,10 @@ def _encode_blocks(path: str, end_id: int, batches: Iterator[pa.RecordBatch]) ->
 
     def close() -> pa.RecordBatch:
         ids = np.concatenate(parts)
-        row = [shard, block, before, len(ids), np.array(docs, "<i8").tobytes(), np.array(counts, "<i8").tobytes(), ids.tobytes()]
-        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=_RAW.names)
+        times = np.bincount(ids)
+        seen = np.flatnonzero(times)
+        row = [shard, block, before, len(ids), np.array(docs, "<i8").tobytes(), np.array(counts, "<i8").tobytes(), ids.tobytes(), seen.astype("<u4").tobytes(), times[seen].astype("<i8").tobytes()]
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 5), strict=True)], names=_RAW.names)
 
     held = 0
     for batch in batches:
@@ -139,14 +129,15 @@ def encode_sorted(docs: DataFrame, path: str, end_id: int, key: str = "doc_id",
 # --- files --------------------------------------------------------------------
 
 
-def _count_ids(kind: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's sums of its blocks' counts."""
     total = np.zeros(0, np.int64)
     for batch in batches:
-        for ids in batch.column(0):
-            found = np.bincount(np.frombuffer(ids.as_buffer(), kind))
-            if len(found) > len(total):
-                total = np.concatenate([total, np.zeros(len(found) - len(total), np.int64)])
-            total[: len(found)] += found
+        for seen, times in zip(*batch.columns, strict=True):
+            ids = np.frombuffer(seen.as_buffer(), "<u4")
+            if len(ids) and ids[-1] >= len(total):
+                total = np.concatenate([total, np.zeros(int(ids[-1]) + 1 - len(total), np.int64)])
+            total[ids] += np.frombuffer(times.as_buffer(), "<i8")
     used = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
 
@@ -167,7 +158,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, key: str
     spark = docs.sparkSession
     encoder = Encoder.of(vocabulary)
     raw = materialize(encode_sorted(docs, vocabulary, end_id, key, text), "raw_ids")
-    counts = raw.select("ids").mapInArrow(partial(_count_ids, encoder.kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = raw.select("seen", "times").mapInArrow(_count_ids, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     # As many rows as the vocabulary has ids, whatever the corpus holds.
     order = [r.id for r in counts.orderBy(F.desc("n"), "id").select("id").collect()]
     spark.createDataFrame([(bytes(np.array(order, "<u4").tobytes()),)], "ids binary").coalesce(1).write.parquet(f"{path}/ranks")
@@ -176,7 +167,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, key: str
     # One number for each shard, and a shard for each task that encoded.
     shards = raw.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     base = shards.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("base"))
-    blocks = raw.join(F.broadcast(base), "shard").mapInArrow(partial(_write_blocks, encoder.kind, spark.sparkContext.broadcast(ranks.tobytes())), "shard int, bytes binary")
+    blocks = raw.drop("seen", "times").join(F.broadcast(base), "shard").mapInArrow(partial(_write_blocks, encoder.kind, spark.sparkContext.broadcast(ranks.tobytes())), "shard int, bytes binary")
     # The text writer puts a value's bytes into the file as they are.
     blocks.select("shard", F.col("bytes").cast("string").alias("value")).write.partitionBy("shard").text(f"{path}/ids")
 

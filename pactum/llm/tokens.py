@@ -11,19 +11,21 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterable
+from itertools import islice
 
 import numpy as np
 
 #: The pre-tokenizer pattern of the vocabulary, as its file's ByteLevel step with use_regex has it. Fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: The same for texts in which BEYOND_LATIN finds nothing: the classes are written out, which the standard module matches faster.
+#: The same for texts in which BEYOND_LATIN finds nothing: the classes are written out and the
+#: usual ones come first, which the standard module matches faster.
 _LETTERS = "a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
-LATIN_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+"
+LATIN_PATTERN = rf" [{_LETTERS}]+|[{_LETTERS}]+| ?[0-9]+|'(?:[stmd]|re|ve|ll)| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+"
 BEYOND_LATIN = rf"[^\t-\r -~{_LETTERS}]"
-#: Pieces that a worker remembers (twice at most: those in use, and those before), and their greatest length.
-REMEMBERED, LONGEST_REMEMBERED = 150_000, 24
+#: Pieces that a worker remembers at most, and their greatest length.
+REMEMBERED, LONGEST_REMEMBERED = 400_000, 60
 #: Characters that are cut at once, about. A longer text is cut in parts, where a piece is sure to begin.
-CHARACTERS = 1 << 19
+CHARACTERS = 1 << 17
 
 
 class Encoder:
@@ -50,8 +52,8 @@ class Encoder:
         self.after_blank = np.zeros(self.size + 1, bool)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.after_blank[i] = token.startswith("\u0120")  # a blank, as byte-level vocabularies write it
+        self.line_end = (self.tokenizer.encode("\n", add_special_tokens=False).ids or [-1])[0]
         self.pieces: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str, special: bool = True) -> Encoder:
@@ -66,31 +68,35 @@ class Encoder:
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind)
 
-    def _learn(self, missing: list[str]) -> None:
-        """Put the ids of missing pieces into `pieces`. Words after a blank are encoded in one text: a blank begins each."""
-        new = []
+    def _together(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+
+    def _learn(self, missing: list[str]) -> dict[str, bytes]:
+        """The ids of pieces. Words after a blank are encoded in one text, as a blank begins each; words without one, line by line."""
+        learnt: dict[str, bytes] = {}
+
+        def split(words: list[str], flat: np.ndarray, starts: np.ndarray, gap: int) -> None:
+            """words begin at starts, and end `gap` ids before the next. If there are not as many starts, none is learnt."""
+            if len(starts) == len(words):
+                held, width = flat.tobytes(), flat.itemsize
+                begins, ends = (starts * width).tolist(), ((np.append(starts[1:], len(flat) + gap) - gap) * width).tolist()
+                learnt.update(zip(words, map(held.__getitem__, map(slice, begins, ends)), strict=True))
+
+        if words := [w for w in missing if w[0] == " " and w[1:].isalpha()]:
+            flat = self._together("".join(words))
+            split(words, flat, np.flatnonzero(self.after_blank[flat]), 0)
+        if words := [w for w in missing if w.isalpha()]:
+            flat = self._together("\n".join(words))
+            split(words, flat, np.append(0, np.flatnonzero(flat == self.line_end) + 1), 1)
         for w in missing:
-            ids = self.before.get(w)
-            if ids is None:
-                new.append(w)
-            else:
-                self.pieces[w] = ids
-        words = [w for w in new if w[0] == " " and w[1:].isalpha()]
-        ids = self.tokenizer.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids if words else []
-        flat = np.array(ids, self.kind)
-        starts = np.flatnonzero(self.after_blank[flat])
-        if len(starts) == len(words):
-            held, width = flat.tobytes(), flat.itemsize
-            bounds = (np.append(starts, len(flat)) * width).tolist()
-            for w, a, b in zip(words, bounds, bounds[1:], strict=False):
-                self.pieces[w] = held[a:b]
-        for w in new:
-            if w not in self.pieces:
-                self.pieces[w] = self._whole(w).tobytes()
+            if w not in learnt:
+                learnt[w] = self._whole(w).tobytes()
+        return learnt
 
     def _forget(self) -> None:
+        """Drop the older half of what is remembered, when it is too much. What is in use soon comes back."""
         if len(self.pieces) > REMEMBERED:
-            self.before, self.pieces = self.pieces, {}
+            self.pieces = dict(islice(self.pieces.items(), len(self.pieces) - REMEMBERED // 2, None))
 
     def ids_of_many(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text, of dtype `kind`; null has none."""
@@ -107,22 +113,27 @@ class Encoder:
         if not self.by_piece:
             return [self._whole(x) for x in texts]
         out: list = [None] * len(texts)
-        cut: list[tuple[int, list[str]]] = []
+        cut: list[tuple[int, list[str], list[bytes | None], list[int]]] = []
+        known = self.pieces
         for i, text in enumerate(texts):
             if any(x in text for x in self.special):
                 out[i] = self._whole(text)
             elif len(text) > 2 * CHARACTERS and len(parts := list(self._parts(text))) > 1:
                 out[i] = np.concatenate([self._group([part])[0] for part in parts])
+                known = self.pieces
             else:
-                cut.append((i, self.cut(text)))
-        known = self.pieces
-        if missing := set().union(*(p for _, p in cut)).difference(known):
-            self._learn(list(missing))
-        for i, pieces in cut:
-            out[i] = np.frombuffer(b"".join(map(known.__getitem__, pieces)), self.kind)
-        for p in missing:
-            if len(p) > LONGEST_REMEMBERED:
-                del known[p]
+                pieces = self.cut(text)
+                ids = list(map(known.get, pieces))
+                cut.append((i, pieces, ids, [k for k, x in enumerate(ids) if x is None]))
+        missing = list(dict.fromkeys(pieces[k] for _, pieces, _, gaps in cut for k in gaps))
+        learnt = self._learn(missing) if missing else {}
+        for i, pieces, ids, gaps in cut:
+            for k in gaps:
+                ids[k] = learnt[pieces[k]]
+            out[i] = np.frombuffer(b"".join(ids), self.kind)
+        if learnt and max(map(len, learnt)) > LONGEST_REMEMBERED:
+            learnt = {w: x for w, x in learnt.items() if len(w) <= LONGEST_REMEMBERED}
+        known.update(learnt)
         self._forget()
         return out
 
