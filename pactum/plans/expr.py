@@ -58,6 +58,8 @@ class E:
     def _with(self, v: Column, kind: str, *others: E, fail: Sequence[tuple[str, Column, str]] = (), dim=()) -> E:
         """An expression of value v over self and others; fail: own errors, tested where no operand is bad."""
         operands = (self, *others)
+        if unsure := [o for o in operands if o.absent is not None]:
+            raise TypeError(f"E4050: {sorted(set().union(*(o.reads for o in unsure)))} may be absent: test it with present() and read it with known(), or use else_()")
         missing = _or(*[_or(o.bad, o.absent) for o in operands])
         own = [Error(code, ~_false(missing) & F.coalesce(cond, F.lit(False)), F.lit(text)) for code, cond, text in fail]
         bad = _or(missing, *[e.when for e in own])
@@ -196,6 +198,10 @@ class E:
         """Whether an optional member has a value (null is one)."""
         return E(~self.is_absent & ~self.is_bad, "bool", None, self.bad, self.errors, (), self.reads)
 
+    def known(self) -> E:
+        """self where a test has shown that it is present; elsewhere it is bad, which the test's guard keeps silent."""
+        return E(self.v, self.kind, None, _or(self.bad, self.absent), self.errors, self.dim, self.reads)
+
     def matches(self, pattern: str) -> E:
         return self._with(self.v.rlike(whole(pattern)), "bool")
 

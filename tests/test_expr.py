@@ -75,6 +75,15 @@ def test_absence_is_not_null(spark):
     assert one(spark, m.at("a"))[2] is False and one(spark, m.at("b"))[2] is True
 
 
+def test_absence_must_be_narrowed(spark):
+    x = optional("x", "int")
+    with pytest.raises(TypeError, match="E4050"):
+        x + 1
+    e = x.present().and_(x.known() > 3)
+    assert one(spark, e, x=("int", None))[0] is False and one(spark, e, x=("int", 5))[0] is True
+    assert one(spark, if_(x.present(), x.known() * 2, 0), x=("int", None))[0] == 0
+
+
 def test_plan_time_refusals(spark):
     with pytest.raises(TypeError, match="E4072"):
         U.unit(1, "m") + U.unit(1, "s")
