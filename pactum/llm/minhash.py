@@ -212,7 +212,8 @@ def near_duplicates(docs: DataFrame, m: MinHash = MinHash(), key: str = "doc_id"
     facts = nodes.select("node", "n", "parity")
     side = lambda name: facts.select(*[F.col(c).alias(f"{name}_{c}") for c in facts.columns])
     star = members.filter((F.col("node") != F.col("hub")) & _may_link("", "hub_", m)).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    likely = star.join(side("a"), F.col("a") == F.col("a_node")).join(side("b"), (F.col("b") == F.col("b_node")) & _parities_allow("a_", "b_", m)).select("a", "b").distinct()
+    # Nothing here asks for the rows of a hub together, so a hub's many rows can be split.
+    likely = star.join(side("a"), F.col("a") == F.col("a_node")).join(side("b"), (F.col("b") == F.col("b_node")) & _parities_allow("a_", "b_", m)).select("a", "b")
     linked = (100 * F.col("common") >= m.percent * F.col("union")) & (F.col("union") > 0)
     # Rows of one doc_id with different texts are nodes of the same number already.
     first = components(_verify(likely, needed).filter(linked).select("a", "b"))
