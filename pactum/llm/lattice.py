@@ -43,10 +43,10 @@ from pyspark.sql import functions as F
 BLANK = "▁"
 WORD = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 #: Characters that are handled at once, about, and states of words that a worker remembers.
-SLICE_CHARS, ROOM = 300_000, 400_000
+SLICE_CHARS, ROOM = 300_000, 800_000
 #: Below this a set's probability given its state is rounding.
 LEAST = 1e-6
-SCHEMA = "doc_id long, sample int, n_pieces long, log_prob double, score double, inclusion double, ids array<int>"
+SCHEMA = "doc_id long, sample int, n_pieces long, log_prob double, score double, inclusion double, ids binary"
 _U = np.uint64
 
 
@@ -83,6 +83,12 @@ class Vocabulary:
         rank = np.minimum(np.abs([model.get_score(int(i)) for i in self.ids]), self.size)
         self.weight = -alpha * np.log1p(rank)
         self.lost = -alpha * np.log1p(4.0 * self.size)  # a character that becomes bytes
+        self.weight_of = np.full(self.size + 1, self.lost)  # the last, and bytes: a character that is lost
+        self.weight_of[self.ids] = self.weight
+        spelt = [bytes([self.byte_of[i]]) if i in self.byte_of else p.replace(BLANK, " ").encode() for i, p in enumerate(self.pieces)]
+        self.sizes = np.fromiter(map(len, spelt), np.int64, self.size)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.spelt = np.frombuffer(b"".join(spelt), np.uint8)
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.hashes >> _U(44)).astype(np.int64)] = True
         self.lattices = Lattices(self)
@@ -100,21 +106,13 @@ class Vocabulary:
             h ^= h >> 31
         return h
 
-    def decode(self, ids: list[int]) -> str:
-        """The text of pieces: bytes join to characters, the first blank is the encoder's own."""
-        out: list[str] = []
-        held = bytearray()
-        for i in ids:
-            if i in self.byte_of:
-                held.append(self.byte_of[i])
-                continue
-            if held:
-                out.append(held.decode("utf-8", "replace"))
-                held.clear()
-            out.append(self.pieces[i])
-        if held:
-            out.append(held.decode("utf-8", "replace"))
-        return "".join(out).replace(BLANK, " ").removeprefix(" ")
+    def decode(self, ids: np.ndarray) -> str:
+        """The text of pieces: their bytes, gathered from a table; the first blank is the encoder's own."""
+        size = self.sizes[ids]
+        end = np.cumsum(size)
+        total = int(end[-1]) if len(end) else 0
+        place = np.repeat(self.starts[ids] - (end - size), size) + np.arange(total)
+        return self.spelt[place].tobytes().decode("utf-8", "replace").removeprefix(" ")
 
 
 def words_of(text: str, longest: int) -> list[str]:
@@ -131,8 +129,8 @@ class Lattices:
 
     first: each known word's first state. left[state]: the characters to the word's
     end. chance[state, l]: the probability that a path at the state takes an arc of at
-    most l + 1 characters. piece[state, l]: that arc's piece, or minus the code point
-    of a character that becomes several bytes. When the room is used up, all words
+    most l + 1 characters. piece[state, l]: that arc's piece, or -1 for a character
+    that becomes several bytes, which is then in points. When the room is used up, all words
     are forgotten, and those in use are built again.
     """
 
@@ -143,9 +141,9 @@ class Lattices:
     def _clear(self, room: int) -> None:
         self.first: dict[str, int] = {}
         self.used, self.room = 0, room
-        self.left, self.after = np.zeros(room, np.int64), np.zeros(room)
-        self.weight, self.chance = np.empty((room, self.v.longest), np.float32), np.empty((room, self.v.longest), np.float32)
-        self.piece = np.empty((room, self.v.longest), np.int32)
+        self.left, self.after, self.points = np.zeros(room, np.int32), np.zeros(room), np.zeros(room, np.int32)
+        self.chance = np.empty((room, self.v.longest), np.float32)
+        self.piece = np.empty((room, self.v.longest), np.int16 if self.v.size < 1 << 15 else np.int32)
 
     def learn(self, words: list[str]) -> None:
         """Build what is missing of the words."""
@@ -161,7 +159,8 @@ class Lattices:
 
     def _build(self, words: list[str], room: slice) -> None:
         v = self.v
-        left, after, weight, piece = self.left[room], self.after[room], self.weight[room], self.piece[room]
+        left, after, piece = self.left[room], self.after[room], self.piece[room]
+        weight = np.full(piece.shape, -np.inf, np.float32)
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         first = np.cumsum(sizes + 1) - sizes - 1
         self.first.update(zip(words, (first + room.start).tolist(), strict=True))
@@ -170,7 +169,7 @@ class Lattices:
         inside[first + sizes] = False
         points[inside] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
         left[:] = np.repeat(first + sizes, sizes + 1) - np.arange(len(left))
-        weight[:] = -np.inf
+        self.points[room] = points
         at = np.flatnonzero(inside)
         h = np.zeros(len(at), np.uint64)
         for n in range(v.longest):
@@ -191,7 +190,7 @@ class Lattices:
                 none[hit] = False
                 weight[at[none], 0] = v.lost
                 lost = points[at[none]]
-                piece[at[none], 0] = np.where(lost < 128, v.byte_ids[np.minimum(lost, 127)], -lost)
+                piece[at[none], 0] = np.where(lost < 128, v.byte_ids[np.minimum(lost, 127)], -1)
         self._sum_backward(left, after, weight, self.chance[room])
 
     @staticmethod
@@ -212,7 +211,7 @@ class Lattices:
 
     def logs(self, state: np.ndarray, arc: np.ndarray) -> np.ndarray:
         """The log probabilities of arcs, each given its state."""
-        return np.minimum(self.weight[state, arc] + self.after[state + arc + 1] - self.after[state], 0.0)
+        return np.minimum(self.v.weight_of[self.piece[state, arc]] + self.after[state + arc + 1] - self.after[state], 0.0)
 
 
 def _times(r: int, odd: int) -> np.uint64:
@@ -353,7 +352,9 @@ def sample_texts(keys: list[int], texts: list[str | None], v: Vocabulary, s: Sam
                 continue
             state = int(of.states[at])
             width = min(lattices.chance.shape[1], int(lattices.left[state]))
-            row = np.exp(lattices.logs(np.full(width, state), np.arange(width)))
+            arcs = np.flatnonzero(np.diff(lattices.chance[state, :width], prepend=0.0) > 0)
+            row = np.zeros(width)
+            row[arcs] = np.exp(lattices.logs(np.full(len(arcs), state), arcs))
             gone = of.taken.setdefault(at, [int(of.arcs[at])])
             row[gone] = 0.0
             left = row.sum()
@@ -380,10 +381,10 @@ def sample_texts(keys: list[int], texts: list[str | None], v: Vocabulary, s: Sam
     for d in range(n):
         rows = []
         for p in paths[d]:
-            found = lattices.piece[p.states, p.arcs]
+            found = lattices.piece[p.states, p.arcs].astype(np.int32)
             if (found < 0).any():
                 lost = np.flatnonzero(found < 0)
-                spelt = [[v.byte_id[b] for b in chr(-x).encode("utf-8", "surrogatepass")] for x in found[lost].tolist()]
+                spelt = [[v.byte_id[b] for b in chr(x).encode("utf-8", "surrogatepass")] for x in lattices.points[p.states[lost]].tolist()]
                 pieces = np.split(found, lost)
                 found = np.concatenate([pieces[0], *[x for one, rest in zip(spelt, pieces[1:], strict=True) for x in (one, rest[1:])]])
             gap = p.log - kappa[d]
@@ -394,32 +395,34 @@ def sample_texts(keys: list[int], texts: list[str | None], v: Vocabulary, s: Sam
 
 def _encode(path: str, s: Sampling, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     v = Vocabulary.of(path, s.alpha)
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.int32()))
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.binary())
     names = ["doc_id", "sample", "n_pieces", "log_prob", "score", "inclusion", "ids"]
 
     def run(keys: list, texts: list) -> pa.RecordBatch:
         columns: tuple[list, ...] = tuple([] for _ in names)
         for key, rows in zip(keys, sample_texts([-1 if k is None else k for k in keys], texts, v, s), strict=True):
             for i, (ids, log, score, inclusion) in enumerate(rows, 1):
-                for c, x in zip(columns, (key, i, len(ids), log, score, inclusion, ids), strict=True):
+                for c, x in zip(columns, (key, i, len(ids), log, score, inclusion, ids.astype("<u4").tobytes()), strict=True):
                     c.append(x)
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
     for batch in batches:
-        keys, texts, size = [], [], 0
-        for i in range(batch.num_rows):
-            keys.append(batch.column(0)[i].as_py())
-            texts.append(batch.column(1)[i].as_py())
-            size += len(texts[-1] or "") + 1
-            if size >= SLICE_CHARS:
+        for first in range(0, batch.num_rows, 256):
+            piece = batch.slice(first, 256)
+            keys, texts, size = [], [], 0
+            for key, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
+                keys.append(key)
+                texts.append(text)
+                size += len(text or "") + 1
+                if size >= SLICE_CHARS:
+                    yield run(keys, texts)
+                    keys, texts, size = [], [], 0
+            if keys:
                 yield run(keys, texts)
-                keys, texts, size = [], [], 0
-        if keys:
-            yield run(keys, texts)
 
 
 def encode(docs: DataFrame, model: str, sampling: Sampling = Sampling(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """k rows, or as many as there are segmentations, for each row of docs. Nothing shuffles."""
+    """k rows, or as many as there are segmentations, for each row of docs; ids are little-endian unsigned 32-bit integers. Nothing shuffles."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(partial(_encode, model, sampling), SCHEMA)
 
@@ -429,7 +432,7 @@ def _decode(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
     for batch in batches:
         for first in range(0, batch.num_rows, 256):
             piece = batch.slice(first, 256)
-            texts = pa.array([v.decode(ids or []) for ids in piece.column("ids").to_pylist()], pa.string())
+            texts = pa.array([v.decode(np.frombuffer(ids or b"", "<u4")) for ids in piece.column("ids").to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*piece.columns, texts], names=[*piece.schema.names, "decoded"])
 
 

@@ -97,8 +97,7 @@ def piece_bpe() -> str:
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = lattice.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), piece_bpe())
     read = lattice.decode(encoded, piece_bpe())
-    joined = F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")
-    return read.select("doc_id", "sample", "n_pieces", "log_prob", "inclusion", F.crc32(joined).alias("ids_crc32"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return read.select("doc_id", "sample", "n_pieces", "log_prob", "inclusion", F.crc32("ids").alias("ids_crc32"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 OP4_SQL = r"""

@@ -74,7 +74,7 @@ def test_rows_round_trip_and_do_not_depend_on_dealing(spark):
     texts = ["Hello  world", "", None, "tab\tx\n new   ", "漢字🙂 été ﬁ ² Ａ\x00\r", " ", "a" * 700, "words and words " * 900, "x"]
     rows = [(i, t, "clash") for i, t in enumerate(texts * 4)] + [(None, "null key", ""), (3, texts[3], "")]
     frame = spark.createDataFrame(rows, SCHEMA)
-    read = lambda f: sorted(((r.doc_id if r.doc_id is not None else -1), r.sample, r.n_pieces, round(r.log_prob, 6), tuple(r.ids), r.decoded) for r in lattice.decode(lattice.encode(f, MODEL), MODEL).collect())
+    read = lambda f: sorted(((r.doc_id if r.doc_id is not None else -1), r.sample, r.n_pieces, round(r.log_prob, 6), bytes(r.ids), r.decoded) for r in lattice.decode(lattice.encode(f, MODEL), MODEL).collect())
     got = read(frame)
     assert got == read(frame.repartition(5))
     text_of = {i: t for i, t, _ in rows}
