@@ -30,7 +30,8 @@ def documents():
     rows[402] = (" ".join(f"w{i}ord### x*** &&&" for i in range(60)), "en", "web")
     rows[403] = (" ".join(str(100 + 7 * i % 9000) for i in range(40)), None, "web")  # no letters
     rows[404] = (None, None, None)
-    rows[405] = (rows[3][0] + " write to ann.lee@mail.example.com or +1 (437) 555-0689 card 4111111111111111 at 10.1.2.3 today", "de", "web")
+    own = text("de", 90)
+    rows[405] = (own + " write to ann.lee@mail.example.com or +1 (437) 555-0689 card 4111111111111111 at 10.1.2.3 today", "de", "web")
     return rows
 
 
@@ -44,7 +45,7 @@ def test_planted_documents(spark):
     found = components(list(kept.items()))
     kept = {k: t for k, t in kept.items() if found[k][1] == k}
     assert {r.doc_id for r in pieces} == set(kept) and 405 in kept
-    kept[405] = rows[3][0] + " write to [EMAIL] or [PHONE] card [CARD] at [IP] today"
+    kept[405] = rows[405][0].split(" write to ")[0] + " write to [EMAIL] or [PHONE] card [CARD] at [IP] today"
     import zlib
 
     by_doc, size = defaultdict(list), defaultdict(int)
