@@ -191,12 +191,22 @@ class Record:
             visit(n)
         return done
 
-    def compile(self, path: Column, columns: Sequence[str]) -> tuple[dict[str, E], list[Column]]:
-        """The members' expressions, and the reports of binding and evaluation."""
+    def compile(self, df: DataFrame, path: Column) -> tuple[DataFrame, dict[str, E], list[Column]]:
+        """df with a column for each member that is worked out, the members' expressions, and the reports of binding and evaluation.
+
+        A member that others read is a column of its own, so that its expression is worked out once.
+        """
+        columns = df.columns
         values: dict[str, E] = {}
         reports: list[Column] = []
         own = lambda n: F.concat(path, F.lit(f".{n}"))
 
+        def settle(n: str, e: E) -> None:
+            nonlocal df
+            made = {f"_v_{n}": e.v} | ({f"_b_{n}": e.is_bad} if e.bad is not None else {}) | ({f"_a_{n}": e.is_absent} if e.absent is not None else {})
+            df = df.withColumns(made)
+            values[n] = E(F.col(f"_v_{n}"), e.kind, F.col(f"_a_{n}") if e.absent is not None else None, F.col(f"_b_{n}") if e.bad is not None else None, (), e.dim, frozenset({n}))
+
         def report(code: str | Column, cond: Column, text: object, where: Column, id_: str | None = None, severity: str = "error") -> None:
             message = text if isinstance(text, Column) else F.lit(str(text))
             reports.append(F.when(F.coalesce(cond, F.lit(False)), F.struct((code if isinstance(code, Column) else F.lit(code)).alias("code"), F.lit(id_).cast("string").alias("id"), F.lit(severity).alias("severity"), message.alias("message"), where.alias("path"))))
@@ -224,7 +234,7 @@ class Record:
                     report(found["code"], fires, found["message"], own(n))
                 if m.kind == "defaulted":
                     filled = e.guarded(absent)
-                    values[n] = E(F.when(absent, filled.v).otherwise(F.when(~wrong, raw)), kind if kind != "any" else e.kind, None, wrong | filled.is_bad, (), e.dim, frozenset({n}))
+                    settle(n, E(F.when(absent, filled.v).otherwise(F.when(~wrong, raw)), kind if kind != "any" else e.kind, None, wrong | filled.is_bad, (), e.dim))
                     continue
                 if given and m.kind == "derived":
                     report("E4005", ~absent & ~e.is_bad & ~wrong & ~raw.eqNullSafe(e.v), "restated value differs", own(n))
@@ -234,17 +244,17 @@ class Record:
                     out = ~e.is_bad & m.type.refuses(e.v)
                     report("E4001", out, m.type.message or f"not a value of {m.type.name}", own(n))
                     e = E(F.when(~out, e.v), e.kind, None, e.is_bad | out, (), e.dim, e.reads)
-                values[n] = E(e.v, e.kind, e.absent, e.bad, (), e.dim, frozenset({n}))
-        return values, reports
+                settle(n, e)
+        return df, values, reports
 
     def evaluate(self, df: DataFrame, path: Column, keep: Sequence[str] = ()) -> DataFrame:
         """Completed values: `keep`, then every member that is not hidden; a bad or absent one is null."""
-        values, _ = self.compile(path, df.columns)
+        df, values, _ = self.compile(df, path)
         return df.select(*keep, *[values[n].v.alias(n) for n, m in self.members.items() if m.kind != "hidden"])
 
     def diagnostics(self, df: DataFrame, path: Column, unknown: Column | None = None, keep: Sequence[str] = ()) -> DataFrame:
         """A row for each report. unknown: an array of undeclared member names, refused by a closed record."""
-        values, reports = self.compile(path, df.columns)
+        df, values, reports = self.compile(df, path)
         for a in self.asserts:
             guard = a.when(values) if a.when else None
             cond = a.holds(values)
