@@ -10,6 +10,12 @@ repetitions make a thousand edges and not half a million. Loopy belief propagati
 gives each mention its belief; base spans are observed, so they stay, and a mention
 between them with a label's belief over one half becomes a further span.
 
+A mention that repeats a base span of its document is not known to be no personal
+data, so its shape says nothing about it: it is left out of the tables of shapes and
+its own potential is flat. Its group's common node is observed where all base spans
+of the group are of one kind. So neither the number of mentions of its shape in the
+corpus nor that of its repetitions in the document outweighs the base span.
+
 The tables are trained piecewise on all documents: each is the logarithm of smoothed
 counts, and counts of tasks add up. A message passes at most `rounds` times.
 
@@ -147,8 +153,18 @@ class Field:
     rounds: int = 20
 
 
-#: The largest reward of a skip potential, and how near neighbours must be to share a chain potential.
-MOST_SKIP, NEAR = 6.0, 64
+#: The pairs of mentions with equal keys that count as seen with equal labels before any is, and how near neighbours must
+#: be to share a chain potential. A hundred pairs outweigh two neighbours' chain potentials in a corpus without such pairs.
+ALIKE, NEAR = 100, 64
+
+
+def repeated(found: list[tuple[int, int, int]], keys: list[str]) -> dict[str, set[int]]:
+    """The kinds of the base spans of each key that has some."""
+    out: dict[str, set[int]] = {}
+    for (_, _, kind), key in zip(found, keys, strict=True):
+        if kind != OTHER:
+            out.setdefault(key, set()).add(kind)
+    return out
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,17 +175,24 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if not text:
                     continue
                 found = mentions(text, base_spans(text))
-                labels: dict[str, list[int]] = {}
-                for start, end, kind in found:
+                keys = [same_key(text[start:end]) for start, end, _ in found]
+                base = repeated(found, keys)
+                firsts: dict[str, tuple[int, int]] = {}
+                known = []  # each mention's label, or None
+                for (start, end, kind), key in zip(found, keys, strict=True):
+                    kinds = base.get(key)
+                    if kind == OTHER and kinds:
+                        known.append(next(iter(kinds)) if len(kinds) == 1 else None)
+                        continue
+                    known.append(kind)
                     counts[f"shape {shape(text[start:end])}", kind] += 1
                     if kind != OTHER:
-                        labels.setdefault(same_key(text[start:end]), []).append(kind)
-                for (_, a, k), (b, _, j) in zip(found, found[1:], strict=False):
-                    if b - a <= NEAR:
+                        first_end, first_kind = firsts.setdefault(key, (end, kind))
+                        if start >= first_end:  # not another reading of the same stretch
+                            counts["skip", kind == first_kind] += 1
+                for (_, a, _), (b, _, _), k, j in zip(found, found[1:], known, known[1:], strict=False):
+                    if b - a <= NEAR and k is not None and j is not None:
                         counts["chain", k == j] += 1
-                for kinds in labels.values():
-                    for k in kinds[1:]:
-                        counts["skip", k == kinds[0]] += 1
     keys = list(counts)
     yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.string()), pa.array([int(v) for _, v in keys], pa.int32()), pa.array([counts[k] for k in keys], pa.int64())], names=["table", "label", "n"])
 
@@ -180,13 +203,13 @@ def train(docs: DataFrame, text: str = "text") -> Field:
     tables: dict[str, Counter] = {}
     for r in counts.collect():
         tables.setdefault(r.table, Counter())[r.label] += r.n
-    pair = lambda name: math.log((tables.get(name, {}).get(1, 0) + 1) / (tables.get(name, {}).get(0, 0) + 1))
+    pair = lambda name, alike: math.log((tables.get(name, {}).get(1, 0) + alike) / (tables.get(name, {}).get(0, 0) + 1))
     shapes = {}
     for name, c in tables.items():
         if name.startswith("shape "):
             total = sum(c.values())
             shapes[name[6:]] = tuple(math.log((c.get(k, 0) + 0.1) / (total + 0.1 * (OTHER + 1))) for k in range(OTHER + 1))
-    return Field(shapes, max(0.0, min(1.0, pair("chain"))), max(0.0, min(MOST_SKIP, pair("skip"))))
+    return Field(shapes, max(0.0, min(1.0, pair("chain", 1))), max(0.0, pair("skip", ALIKE)))
 
 
 # --- inference ----------------------------------------------------------------
@@ -219,6 +242,8 @@ def _messages(own: np.ndarray, edges: np.ndarray, reward: np.ndarray, rounds: in
 def label(texts: list[str | None], field: Field) -> list[list[tuple[int, int, int, bool]]]:
     """For each text its spans (start, end, kind, whether it is a base span). The documents' fields are solved side by side."""
     unseen = tuple([math.log(0.1 / 1.1)] * OTHER + [math.log(1 / 1.1)])
+    flat = (0.0,) * (OTHER + 1)
+    observed = [tuple(0.0 if k == kind else -math.inf for k in range(OTHER + 1)) for kind in range(OTHER)]
     out: list[list[tuple[int, int, int, bool]]] = []
     own, edges, reward, asked = [], [], [], []
     for i, text in enumerate(texts):
@@ -230,22 +255,25 @@ def label(texts: list[str | None], field: Field) -> list[list[tuple[int, int, in
         found = mentions(text, spans)
         if len(found) == len(spans):
             continue  # every mention is observed
+        keys = [same_key(text[start:end]) for start, end, _ in found]
+        base = repeated(found, keys)
         groups: dict[str, list[int]] = {}
         for m, (start, end, kind) in enumerate(found):
             node = len(own)
             if kind == OTHER:
-                own.append(field.shapes.get(shape(text[start:end]), unseen))
+                own.append(flat if keys[m] in base else field.shapes.get(shape(text[start:end]), unseen))
                 asked.append((node, i, start, end))
             else:
-                own.append(tuple(0.0 if k == kind else -40.0 for k in range(OTHER + 1)))
+                own.append(observed[kind])
             if m and start - found[m - 1][1] <= NEAR:
                 edges.append((node - 1, node))
                 reward.append(field.chain)
-            groups.setdefault(same_key(text[start:end]), []).append(node)
-        for nodes in groups.values():
+            groups.setdefault(keys[m], []).append(node)
+        for key, nodes in groups.items():
             if len(nodes) > 1:
                 hub = len(own)
-                own.append((0.0,) * (OTHER + 1))
+                kinds = base.get(key, ())
+                own.append(observed[next(iter(kinds))] if len(kinds) == 1 else flat)
                 edges += [(node, hub) for node in nodes]
                 reward += [field.skip] * len(nodes)
     if asked:

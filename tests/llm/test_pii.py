@@ -68,3 +68,17 @@ def test_many_repetitions(spark):
     text = "4111111111111111 4111111111111111 x " * 3000
     spans = pii.label([text], pii.Field({pii.shape("4111111111111111"): (-5, -5, -0.1, -5, -2)}, 0.1, 6.0))[0]
     assert len(spans) == 6000 and not any(s[3] for s in spans)
+
+
+def test_repetitions_do_not_depend_on_the_corpus(spark):
+    """Thousands of numbers of a shape that is never a base span; a base span's repetitions in that shape are still found."""
+    many = ["or, from here, " + ", ".join(f"({200 + i % 700}) {100 + i % 890}-{(i * 10 + j) % 10000:04}" for j in range(10)) for i in range(1000)]
+    once = "call +1 (437) 555-0689 or, from here, (437) 555-0689 or (437) 555-0688"
+    often = "+1 (437) 555-0689 is " + "ref 1234567, (437) 555-0689, ref 1234568, " * 40
+    for others in ([], many[:1], many[:20], many):
+        texts = [once, often, *others]
+        docs = spark.createDataFrame([(i, t, "", 0) for i, t in enumerate(texts)], SCHEMA)
+        got = {r.doc_id: [(s.kind, texts[r.doc_id][s.start : s.end]) for s in r.spans] for r in pii.find(docs, pii.train(docs)).collect()}
+        assert got[0] == [("phone", "+1 (437) 555-0689"), ("phone", "(437) 555-0689")]
+        assert got[1] == [("phone", "+1 (437) 555-0689")] + [("phone", "(437) 555-0689")] * 40
+        assert not any(got[i] for i in range(2, len(texts)))
