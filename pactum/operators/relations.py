@@ -69,3 +69,23 @@ def settle(start: DataFrame, step: Callable[[DataFrame], DataFrame], most: int =
             return now, n, "E5009"
         seen.append(mark)
     return now, most, "E5009"
+
+
+def on_cycles(waits: DataFrame, place: str, ref: str) -> DataFrame:
+    """The places that are reached again from themselves, where each place refers to one other at most.
+
+    Each round doubles the number of references that an edge stands for, and keeps the
+    places at which an edge ends. What refers to a cycle from outside goes, so the rounds
+    grow with the logarithm of the longest way into a cycle. If none goes, every place
+    that is left is the end of exactly one edge, and so on a cycle. Each round is written,
+    never larger than the last; only counts come to the driver.
+    """
+    now = materialize(waits.select(F.col(place).alias("a"), F.col(ref).alias("b")).filter("a is not null and b is not null").distinct(), "cycle")
+    left = now.count()
+    while left:
+        kept = now.join(now.select(F.col("b").alias("a")).distinct(), "a", "left_semi")
+        now = materialize(kept.join(now.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b")), "cycle")
+        before, left = left, now.count()
+        if left == before:
+            break
+    return now.select(F.col("a").alias(place))

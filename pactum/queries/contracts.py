@@ -519,18 +519,26 @@ def _(t):
     return asserting(t.part, "p_partkey", PART(), p_size=M.Member("required", M.prim("int")), share=M.Member("derived", None, lambda m: lift(100) / (m["p_size"] % 6)), more=M.Member("derived", None, lambda m: m["share"] + 1)).select("p_partkey", "code", "path")
 
 
-@query("dia_cycle")
-def _(t):
-    from pactum.operators import relations
+# Each part names the next by a rule over all parts; a value that waits for itself is E5007.
+CYCLE = """
+WITH RECURSIVE waits AS (
+  SELECT p_partkey AS a, (p_partkey * p_partkey + 1) % (SELECT count(*) FROM part) AS b FROM part
+), walk(a, b) AS (
+  SELECT a, b FROM waits
+  UNION
+  SELECT walk.a, waits.b FROM walk JOIN waits ON waits.a = walk.b
+)
+SELECT a, 'E5007' AS code FROM walk WHERE a = b
+"""
 
-    # Each part names the next by a rule; a value that waits for itself is E5007. Iteration is bounded by the settling rounds.
-    edges = t.part.select(F.col("p_partkey").alias("a"), (F.col("p_partkey") * 7 % 50 + 1).alias("b")).filter("a <= 50")
 
-    def step(pairs):
-        further = pairs.alias("x").join(edges.alias("y"), F.col("x.b") == F.col("y.a")).select(F.col("x.a").alias("a"), F.col("y.b").alias("b"))
-        return pairs.unionByName(further).distinct()
+@query("dia_cycle", CYCLE)
+def _(t):
+    from pactum.operators import relations
 
-    return relations.settle(edges, step, most=60)[0].filter("a = b").select("a", F.lit("E5007").alias("code"))
+    key = F.col("p_partkey")
+    waits = t.part.select(key.alias("a"), ((key * key + 1) % F.lit(t.part.count())).alias("b"))
+    return relations.on_cycles(waits, "a", "b").select("a", F.lit("E5007").alias("code"))
 
 
 @query("dia_unique", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
