@@ -13,10 +13,6 @@ from pyspark.sql import functions as F
 from pactum.llm import langid, minhash, packing, pii, quality
 from pactum.llm.common import new_path, table
 
-#: The least cosine with a language's prototype. Text in a learned language, however short, lies above it by far more than
-#: chance does: unrelated vectors of 512 places have cosines of about 0.04.
-LEAST_LANGUAGE_SCORE = 0.05
-
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
@@ -24,8 +20,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the corpus teaches."""
-    return langid.filter_documents(docs, LEAST_LANGUAGE_SCORE)
+    """Documents in a language that the corpus teaches, by the limit that its own training rows give."""
+    return langid.filter_documents(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

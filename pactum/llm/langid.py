@@ -11,6 +11,11 @@ Text is lower-cased, and what lies between letters counts as one blank. Prototyp
 are sums of integers (unit vectors scaled and rounded), so they are the same for any
 order and dealing of the rows.
 
+Text in a language that was not learned has a greatest cosine well above chance, as
+it shares n-grams and blanks with the others. What still counts as a language is
+therefore learned from the cosines of its own training rows (`limits`), each with
+the prototype of the others.
+
 Defined results: null text, and text without a letter, is `und` with score 0; rows
 with a null label teach nothing; equal cosines go to the smaller label; where nothing
 is learned all is `und`; rows that repeat a key are judged one by one; an empty table
@@ -19,6 +24,7 @@ gives an empty result; other columns are kept by `predict`.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache, partial
@@ -33,6 +39,8 @@ SLICE = 256
 #: n-gram vectors that a worker remembers.
 REMEMBERED = 40_000
 SCALE = 1 << 20
+#: The share of a language's training rows that may lie below its limit, the rows from which it is read, and the steps of a cosine.
+LOW, ENOUGH, STEPS = 0.01, 100, 1000
 
 
 @dataclass(frozen=True)
@@ -139,6 +147,23 @@ def _bundle(space: Space, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([pa.array([label]), pa.array([total], pa.list_(pa.int64()))], names=["lang", "total"])
 
 
+def _own_cosines(space: Space, labels: list[str], sums, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    b, place = Bundler.of(space), {label: i for i, label in enumerate(labels)}
+    counts: Counter[tuple[str, int]] = Counter()
+    for batch in batches:
+        for first in range(0, batch.num_rows, SLICE):
+            piece = batch.slice(first, SLICE)
+            for label, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
+                unit = b.unit(text)
+                if unit is None:
+                    continue
+                others = sums.value[place[label]] - np.rint(unit * SCALE)
+                if norm := np.linalg.norm(others):
+                    counts[label, int(np.floor(np.rint(others @ unit / norm * 1e9) / 1e9 * STEPS))] += 1
+    keys = list(counts)
+    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.string()), pa.array([v for _, v in keys], pa.int32()), pa.array([counts[k] for k in keys], pa.int64())], names=["lang", "step", "n"])
+
+
 def _predict(space: Space, labels: list[str], prototypes, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     b = Bundler.of(space)
     p = prototypes.value
@@ -163,11 +188,12 @@ def _predict(space: Space, labels: list[str], prototypes, batches: Iterator[pa.R
 
 @dataclass(frozen=True)
 class Model:
-    """labels, ascending, and their unit prototypes: a vector for each language of the training rows."""
+    """labels, ascending, and their unit prototypes: a vector for each language of the training rows. sums: before they were made units."""
 
     space: Space
     labels: list[str]
     prototypes: np.ndarray
+    sums: np.ndarray
 
 
 def learn(labelled: DataFrame, space: Space = Space(), text: str = "text", lang: str = "lang") -> Model:
@@ -178,7 +204,33 @@ def learn(labelled: DataFrame, space: Space = Space(), text: str = "text", lang:
     by_lang = totals.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("place", "x"))).alias("xs"))
     found = sorted((r.lang, [v.x for v in r.xs]) for r in by_lang.collect())
     p = np.array([v for _, v in found], np.float64).reshape(len(found), space.size)
-    return Model(space, [label for label, _ in found], p / np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-300))
+    return Model(space, [label for label, _ in found], p / np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-300), p)
+
+
+def limits(labelled: DataFrame, model: Model, text: str = "text", lang: str = "lang") -> dict[str, float]:
+    """The least cosine for each language, from the rows that model was learned from.
+
+    It is the low quantile of the rows' cosines with the other rows' prototype, less one
+    standard deviation of chance, and up to another the fewer rows tell the quantile. A language of few rows takes the quantile of all
+    languages' rows. The driver gets counts, whose number the steps of a cosine bound.
+    """
+    rows = labelled.filter(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    shared = labelled.sparkSession.sparkContext.broadcast(model.sums)
+    counts = rows.mapInArrow(partial(_own_cosines, model.space, model.labels, shared), "lang string, step int, n long").groupBy("lang", "step").agg(F.sum("n").alias("n"))
+    own: dict[str, Counter] = {label: Counter() for label in model.labels}
+    for r in counts.collect():
+        own[r.lang][r.step] += r.n
+    everything = sum(own.values(), Counter())
+
+    def low(c: Counter) -> float:
+        rank, seen = int(LOW * c.total()), 0
+        for step in sorted(c):
+            seen += c[step]
+            if seen > rank:
+                return step / STEPS - model.space.size**-0.5 * (1 + (ENOUGH / c.total()) ** 0.5)
+        return 0.0
+
+    return {label: low(c if c.total() >= ENOUGH else everything) for label, c in own.items()}
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -199,8 +251,13 @@ def training_rows(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.filter(F.crc32(F.col(key).cast("string")) % 3 != 1)
 
 
-def filter_documents(docs: DataFrame, min_score: float, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """The rows of docs in a learned language, by a cosine of at least min_score, with their own columns."""
-    model = learn(training_rows(docs, key), text=text, lang=lang)
+def filter_documents(docs: DataFrame, min_score: float | None = None, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of docs in a learned language, with their own columns: by a cosine of at least min_score, or of the language's own limit."""
+    taught = training_rows(docs, key)
+    model = learn(taught, text=text, lang=lang)
     judged = predict(docs.select(F.struct("*").alias("_row"), F.col(text).alias("_t")), model, "_t")
-    return judged.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select("_row.*")
+    least = F.lit(min_score)
+    if min_score is None:
+        known = limits(taught, model, text, lang)
+        least = F.element_at(F.create_map(*[F.lit(x) for pair in known.items() for x in pair]), F.col("lang_pred")) if known else F.lit(0.0)
+    return judged.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("_row.*")

@@ -71,3 +71,17 @@ def test_empty(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, "").count() == 0
+
+
+def test_unlearned_languages_are_left_out(spark):
+    """Text in a language of the same script without training rows, and letter junk, go; text in learned languages stays."""
+    rng = random.Random(5)
+    words = WORDS | {"fr": "le la les des une dans pour que qui avec sur est".split(), "pl": "nie to jest na do jak tak ale co czy przez tylko".split()}
+    prose = lambda lang: " ".join(rng.choice(words[lang]) for _ in range(rng.randint(30, 90)))
+    junk = lambda: " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(rng.randint(2, 9))) for _ in range(60))
+    rows = [(i, prose(lang), lang, "web", 0) for i in range(600) for lang in [("en", "de")[i % 2]]]
+    rows += [(1000 + i, prose(("fr", "pl")[i % 2]), None, "web", 0) for i in range(100)] + [(2000 + i, junk(), None, "web", 0) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [r.doc_id for r in corpus_pipeline.language_id(spark, docs, "").collect()]
+    assert sum(k < 1000 for k in kept) >= 590
+    assert sum(k >= 1000 for k in kept) <= 4
