@@ -1,8 +1,8 @@
 """Byte-level BPE ids of texts, by the tokenizers library.
 
 The pre-tokenizer of such a vocabulary cuts a text by one pattern, and each piece
-is encoded by itself. `Encoder` cuts with the same pattern and lets the library
-encode each different piece once, keeping the ids of recent pieces; the ids are
+is encoded by itself. `Encoder` cuts with the same pattern and lets the library's
+model encode each different piece once, keeping the ids of recent pieces; the ids are
 those of `Tokenizer.encode(text, add_special_tokens=False)`.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterable
 from itertools import islice
 
@@ -22,12 +23,43 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 _LETTERS = "a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 LATIN_PATTERN = rf" [{_LETTERS}]+|[{_LETTERS}]+| ?[0-9]+|'(?:[stmd]|re|ve|ll)| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+"
 BEYOND_LATIN = rf"[^\t-\r -~{_LETTERS}]"
-#: Pieces that a worker remembers at most, and their greatest length.
-REMEMBERED, LONGEST_REMEMBERED = 400_000, 60
+#: Pieces that a worker remembers at most, about, and their greatest length.
+REMEMBERED, LONGEST_REMEMBERED = 800_000, 60
 #: Characters that are cut at once, about. A longer text is cut in parts, where a piece is sure to begin.
 CHARACTERS = 1 << 17
 
 
+def byte_characters() -> dict[int, str]:
+    """How byte-level vocabularies write each byte: the printable ones as they are, the others as characters from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+class Pieces(dict):
+    """The ids of pieces, as bytes. A piece that is not there is handed to the library's model, and remembered."""
+
+    def __init__(self, model, code: str):
+        self.tokenize, self.code, self.spelling = model.tokenize, code, byte_characters()
+
+    def __missing__(self, piece: str) -> bytes:
+        if piece.isascii() and piece.isprintable():
+            spelt = piece.replace(" ", self.spelling[32])
+        else:
+            spelt = piece.encode("utf-8").decode("latin-1").translate(self.spelling)
+        ids = array(self.code, [t.id for t in self.tokenize(spelt)]).tobytes()
+        if len(piece) <= LONGEST_REMEMBERED:
+            self[piece] = ids
+        return ids
+
+    def forget(self) -> None:
+        """Drop the older half, when it is too much. What is in use soon comes back."""
+        if len(self) > REMEMBERED:
+            kept = dict(islice(self.items(), len(self) - REMEMBERED // 2, None))
+            self.clear()
+            self.update(kept)
+
+
 class Encoder:
     """Encodes with a byte-level BPE vocabulary file. Any other kind of tokenizer file goes to the library whole."""
 
@@ -49,11 +81,7 @@ class Encoder:
         self.by_piece = not config.get("normalizer") and step.get("type") == "ByteLevel" and step.get("use_regex", True) and not step.get("add_prefix_space")
         self.cut_any, self.cut_latin, self.beyond_latin = regex.compile(PATTERN).findall, re.compile(LATIN_PATTERN).findall, re.compile(BEYOND_LATIN).search
         self.part_end = regex.compile(r"(?<=\S) (?=\p{L})").search
-        self.after_blank = np.zeros(self.size + 1, bool)
-        for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
-            self.after_blank[i] = token.startswith("\u0120")  # a blank, as byte-level vocabularies write it
-        self.line_end = (self.tokenizer.encode("\n", add_special_tokens=False).ids or [-1])[0]
-        self.pieces: dict[str, bytes] = {}
+        self.pieces = Pieces(self.tokenizer.model, "H" if self.kind == "<u2" else "I")
 
     @classmethod
     def of(cls, path: str, special: bool = True) -> Encoder:
@@ -68,74 +96,18 @@ class Encoder:
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind)
 
-    def _together(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
-
-    def _learn(self, missing: list[str]) -> dict[str, bytes]:
-        """The ids of pieces. Words after a blank are encoded in one text, as a blank begins each; words without one, line by line."""
-        learnt: dict[str, bytes] = {}
-
-        def split(words: list[str], flat: np.ndarray, starts: np.ndarray, gap: int) -> None:
-            """words begin at starts, and end `gap` ids before the next. If there are not as many starts, none is learnt."""
-            if len(starts) == len(words):
-                held, width = flat.tobytes(), flat.itemsize
-                begins, ends = (starts * width).tolist(), ((np.append(starts[1:], len(flat) + gap) - gap) * width).tolist()
-                learnt.update(zip(words, map(held.__getitem__, map(slice, begins, ends)), strict=True))
-
-        if words := [w for w in missing if w[0] == " " and w[1:].isalpha()]:
-            flat = self._together("".join(words))
-            split(words, flat, np.flatnonzero(self.after_blank[flat]), 0)
-        if words := [w for w in missing if w.isalpha()]:
-            flat = self._together("\n".join(words))
-            split(words, flat, np.append(0, np.flatnonzero(flat == self.line_end) + 1), 1)
-        for w in missing:
-            if w not in learnt:
-                learnt[w] = self._whole(w).tobytes()
-        return learnt
-
-    def _forget(self) -> None:
-        """Drop the older half of what is remembered, when it is too much. What is in use soon comes back."""
-        if len(self.pieces) > REMEMBERED:
-            self.pieces = dict(islice(self.pieces.items(), len(self.pieces) - REMEMBERED // 2, None))
-
     def ids_of_many(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text, of dtype `kind`; null has none."""
-        out, group, size = [], [], 0
-        for text in texts:
-            group.append(text or "")
-            size += len(group[-1])
-            if size >= CHARACTERS:
-                out += self._group(group)
-                group, size = [], 0
-        return out + self._group(group)
-
-    def _group(self, texts: list[str]) -> list[np.ndarray]:
-        if not self.by_piece:
-            return [self._whole(x) for x in texts]
-        out: list = [None] * len(texts)
-        cut: list[tuple[int, list[str], list[bytes | None], list[int]]] = []
-        known = self.pieces
-        for i, text in enumerate(texts):
-            if any(x in text for x in self.special):
-                out[i] = self._whole(text)
-            elif len(text) > 2 * CHARACTERS and len(parts := list(self._parts(text))) > 1:
-                out[i] = np.concatenate([self._group([part])[0] for part in parts])
-                known = self.pieces
-            else:
-                pieces = self.cut(text)
-                ids = list(map(known.get, pieces))
-                cut.append((i, pieces, ids, [k for k, x in enumerate(ids) if x is None]))
-        missing = list(dict.fromkeys(pieces[k] for _, pieces, _, gaps in cut for k in gaps))
-        learnt = self._learn(missing) if missing else {}
-        for i, pieces, ids, gaps in cut:
-            for k in gaps:
-                ids[k] = learnt[pieces[k]]
-            out[i] = np.frombuffer(b"".join(ids), self.kind)
-        if learnt and max(map(len, learnt)) > LONGEST_REMEMBERED:
-            learnt = {w: x for w, x in learnt.items() if len(w) <= LONGEST_REMEMBERED}
-        known.update(learnt)
-        self._forget()
-        return out
+        return [self.ids(text) for text in texts]
+
+    def ids(self, text: str | None) -> np.ndarray:
+        text = text or ""
+        if not self.by_piece or any(x in text for x in self.special):
+            return self._whole(text)
+        parts = self._parts(text) if len(text) > 2 * CHARACTERS else [text]
+        found = b"".join(b"".join(map(self.pieces.__getitem__, self.cut(part))) for part in parts)
+        self.pieces.forget()
+        return np.frombuffer(found, self.kind)
 
     def _parts(self, text: str) -> Iterable[str]:
         """Parts of about CHARACTERS, each of which begins with a blank before a letter, after what is not blank."""
@@ -146,13 +118,9 @@ class Encoder:
             yield text[at:end]
             at = end
 
-    def ids(self, text: str | None) -> np.ndarray:
-        return self.ids_of_many([text])[0]
-
     def bytes_of_ids(self) -> list[bytes]:
-        """The bytes of each id: byte-level vocabularies write bytes as characters, the unprintable ones from U+0100 on."""
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
+        """The bytes of each id."""
+        byte_of = {c: b for b, c in byte_characters().items()}
         out = [b""] * self.size
         for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
             out[i] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
