@@ -39,6 +39,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pactum.llm.common import free_name
+
 KINDS = ("email", "ip", "card", "phone")
 OTHER = len(KINDS)
 SLICE = 256
@@ -54,7 +56,7 @@ _DIGIT = re.compile(r"[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 # What the field looks at between base spans.
 _NUMBERS = re.compile(r"\(?[0-9](?:[ ().-]{0,2}[0-9])+")
-_AT = re.compile(r"[^\s@]+@[^\s@]+")
+_RUN = re.compile(r"[^\s@]+")
 
 
 def luhn(digits: str) -> bool:
@@ -78,12 +80,17 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, last))
 
 
+def _octet(digits: str) -> bool:
+    value = digits.lstrip("0")
+    return len(value) < 4 and int(value or "0") <= 255
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, end, kind), ordered by start and then kind. Spans of different kinds may overlap."""
     found = [(a, b, 0) for a, b in _emails(text)] if "@" in text else []
     if _DIGIT.search(text):
         if "." in text:
-            found += [(*m.span(), 1) for m in _IP.finditer(text) if all(len(x.lstrip("0")) < 4 and int(x) <= 255 for x in m.group().split("."))]
+            found += [(*m.span(), 1) for m in _IP.finditer(text) if all(map(_octet, m.group().split(".")))]
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 14 and 14 <= len(d := _NOT_DIGIT.sub("", m.group())) <= 19 and luhn(d):
                 found.append((*m.span(), 2))
@@ -105,6 +112,19 @@ def _between(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int
         yield at, len(text)
 
 
+def _around_at(text: str, first: int, end: int) -> Iterator[tuple[int, int]]:
+    """The runs without white space that hold an @, leftmost and without overlap. Each character is passed twice at most, as an @ ends a run."""
+    last, at = first, text.find("@", first, end)
+    while at >= 0:
+        start = at
+        while start > last and text[start - 1] != "@" and not text[start - 1].isspace():
+            start -= 1
+        if start < at and (m := _RUN.match(text, at + 1, end)):
+            yield start, m.end()
+            last = m.end()
+        at = text.find("@", max(at + 1, last), end)
+
+
 def mentions(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """(start, end, kind or OTHER): the base spans, and what looks like one between them."""
     out = list(spans)
@@ -118,7 +138,7 @@ def mentions(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, in
                         parts = [(m.start() + w.start(), m.start() + w.end()) for w in re.finditer(r"[^ ]+", m.group())]
                     out += [(a, b, OTHER) for a, b in parts if len(_NOT_DIGIT.sub("", text[a:b])) >= 7]
             if has_at:
-                out += [(*m.span(), OTHER) for m in _AT.finditer(text, first, end)]
+                out += [(a, b, OTHER) for a, b in _around_at(text, first, end)]
     return sorted(out, key=lambda s: (s[0], s[2], s[1]))
 
 
@@ -128,7 +148,7 @@ def shape(s: str) -> str:
         return f"at {bool(_DOMAIN.search(s, s.index('@')))}"
     digits = _NOT_DIGIT.sub("", s)
     dots, groups = s.count("."), len(re.findall(r"[0-9]+", s))
-    quad = dots == 3 and groups == 4 and all(int(x) <= 255 for x in re.findall(r"[0-9]+", s) if len(x) < 9)
+    quad = dots == 3 and groups == 4 and all(map(_octet, re.findall(r"[0-9]+", s)))
     return f"{min(len(digits), 20)} {'+' if s.startswith('+') else '('if '(' in s else ''} {min(groups, 5)} {'quad' if quad else ''} {14 <= len(digits) <= 19 and luhn(digits)}"
 
 
@@ -306,34 +326,37 @@ def _masked(text: str | None, spans: list[tuple[int, int, int, bool]]) -> str |
 
 
 def _find(field, masked: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The columns of each batch, of which the last, a text, gives way to what is found in it."""
     for batch in batches:
         for first in range(0, batch.num_rows, SLICE):
             piece = batch.slice(first, SLICE)
-            texts = piece.column("_text").to_pylist()
+            texts = piece.column(piece.num_columns - 1).to_pylist()
             found = label(texts, field.value)
             if masked:
                 added = pa.array([_masked(t, s) for t, s in zip(texts, found, strict=True)], pa.string())
             else:
                 added = pa.array([[{"kind": KINDS[k], "start": a, "end": b, "base": base} for a, b, k, base in spans] for spans in found], _ARROW_SPANS)
-            kept = [(c, n) for c, n in zip(piece.columns, piece.schema.names, strict=True) if n != "_text"]
-            yield pa.RecordBatch.from_arrays([*[c for c, _ in kept], added], names=[*[n for _, n in kept], "_found"])
+            yield pa.RecordBatch.from_arrays([*piece.columns[:-1], added], names=piece.schema.names)
 
 
-def _apply(docs: DataFrame, field: Field, text: str, masked: bool, kept: list[str]) -> DataFrame:
-    rows = docs.select(*kept, F.col(text).alias("_text"))
-    schema = T.StructType([*docs.select(*kept).schema.fields, T.StructField("_found", T.StringType() if masked else SPANS)])
+def _apply(docs: DataFrame, field: Field, text: str, masked: bool, name: str) -> DataFrame:
+    """docs and what is found in their text, as a last column of that name."""
+    rows = docs.withColumn(name, F.col(text))
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.StringType() if masked else SPANS)])
     return rows.mapInArrow(partial(_find, docs.sparkSession.sparkContext.broadcast(field), masked), schema)
 
 
 def find(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
     """docs with its columns and `spans`: (kind, start, end, base) by start, in code points; replaces a column of that name."""
-    return _apply(docs, field, text, False, [c for c in docs.columns if c != "spans"]).withColumnRenamed("_found", "spans")
+    own = free_name(docs, "found")
+    return _apply(docs, field, text, False, own).select(*[c for c in docs.columns if c != "spans"], F.col(own).alias("spans"))
 
 
 def mask(docs: DataFrame, field: Field, text: str = "text", n_chars: str = "n_chars") -> DataFrame:
     """docs with its columns, every span in its text replaced by its kind in brackets; `n_chars`, if there, counts anew."""
-    out = _apply(docs, field, text, True, [c for c in docs.columns if c != text])
-    changed = {text: F.col("_found")} | ({n_chars: F.length("_found").cast(docs.schema[n_chars].dataType)} if n_chars in docs.columns else {})
+    own = free_name(docs, "found")
+    out = _apply(docs, field, text, True, own)
+    changed = {text: F.col(own)} | ({n_chars: F.length(own).cast(docs.schema[n_chars].dataType)} if n_chars in docs.columns else {})
     return out.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
 
 

@@ -1,7 +1,9 @@
 """Base spans against the patterns themselves, and what the field adds."""
 
+import itertools
 import re
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -36,10 +38,50 @@ def test_base_spans_are_those_of_the_patterns(parts):
 
 
 def test_long_runs_are_linear():
-    for text in ("1" * 300_000, "a" * 300_000, "1." * 100_000, "+1" * 100_000, "a@" * 100_000, "1 " * 200_000, "+1" + " " * 200_000):
+    for text in ("1" * 300_000, "a" * 300_000, "1." * 100_000, "+1" * 100_000, "a@" * 100_000, "1 " * 200_000, "+1" + " " * 200_000, "x" * 1_000_000 + " a@b", "y." * 500_000 + "@", "@" * 300_000, "a@" + "x" * 500_000 + "@ " + "z" * 500_000):
         pii.mentions(text, pii.base_spans(text))
 
 
+def test_octets_of_any_length():
+    for text in ("0" * 5000 + "1.2.3.4", "1" * 5000 + ".2.3.4", "1.2.3." + "0" * 6000, "(" + "9" * 4400 + ".1.1.1"):
+        spans = pii.base_spans(text)
+        assert [s[:2] for s in spans if s[2] == 1] == ([] if text[:5] == "11111" or text[0] == "(" else [(0, len(text))])
+        pii.label([text, None, ""], pii.Field({}))
+
+
+@given(st.lists(st.sampled_from(["a", "@", " ", "\n", "\x1c", "\xa0", "b.c", "é"]), max_size=30), st.integers(0, 6), st.integers(0, 40))
+@settings(max_examples=800, deadline=None)
+def test_runs_around_an_at(parts, first, end):
+    text = "".join(parts)
+    end = max(min(end, len(text)), min(first, len(text)))
+    assert list(pii._around_at(text, first, end)) == [m.span() for m in re.compile(r"[^\s@]+@[^\s@]+").finditer(text, first, end)]
+
+
+@given(st.integers(0, 10**6))
+@settings(max_examples=60, deadline=None)
+def test_beliefs_of_a_tree_are_those_of_all_labellings(seed):
+    rng = np.random.default_rng(seed)
+    n, k = int(rng.integers(1, 6)), pii.OTHER + 1
+    own = np.log(rng.random((n, k)) + 0.01)
+    if n > 1:
+        own[0] = [0.0 if j == 2 else -np.inf for j in range(k)]  # observed
+    edges = np.array([(int(rng.integers(0, j)), j) for j in range(1, n)], np.int64).reshape(-1, 2)
+    reward = rng.random(len(edges)) * 5
+    total = np.zeros((n, k))
+    for labels in itertools.product(range(k), repeat=n):
+        weight = np.exp(sum(own[i, x] for i, x in enumerate(labels)) + sum(r for (a, b), r in zip(edges, reward, strict=True) if labels[a] == labels[b]))
+        for i, x in enumerate(labels):
+            total[i, x] += weight
+    assert np.allclose(pii._messages(own, edges, reward, 200), total / total.sum(axis=1, keepdims=True), atol=1e-4)
+
+
+def test_clashing_names_and_repeats(spark):
+    docs = spark.createDataFrame([(1, "a@b.de", "x", "y"), (1, "a@b.de", "x", "y"), (None, None, None, None)], "doc_id long, text string, _text string, found string")
+    field = pii.train(docs)
+    assert [(r._text, r.found, [(s.kind, s.start, s.end) for s in r.spans]) for r in pii.find(docs, field).collect()] == [("x", "y", [("email", 0, 6)])] * 2 + [(None, None, [])]
+    assert [tuple(r) for r in pii.mask(docs, field).collect()] == [(1, "[EMAIL]", "x", "y")] * 2 + [(None, None, None, None)]
+
+
 def test_repeated_numbers_share_a_label(spark):
     card, other = "4111111111111111", "5500005555555559"
     assert pii.luhn(card) and pii.luhn(other)
