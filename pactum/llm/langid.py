@@ -34,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pactum.llm.common import free_name
+
 UNKNOWN = "und"
 SLICE = 256
 #: n-gram vectors that a worker remembers.
@@ -41,6 +43,8 @@ REMEMBERED = 40_000
 SCALE = 1 << 20
 #: The share of a language's training rows that may lie below its limit, the rows from which it is read, and the steps of a cosine.
 LOW, ENOUGH, STEPS = 0.01, 100, 1000
+#: Labels that a model can have, a vector each on the driver: there are fewer languages.
+MOST_LABELS = 10_000
 
 
 @dataclass(frozen=True)
@@ -165,13 +169,14 @@ def _own_cosines(space: Space, labels: list[str], sums, batches: Iterator[pa.Rec
 
 
 def _predict(space: Space, labels: list[str], prototypes, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The columns of each batch, of which the last, a text, gives way to its language and score."""
     b = Bundler.of(space)
     p = prototypes.value
     for batch in batches:
         for first in range(0, batch.num_rows, SLICE):
             piece = batch.slice(first, SLICE)
             found, scores = [], []
-            for text in piece.column("_text").to_pylist():
+            for text in piece.column(piece.num_columns - 1).to_pylist():
                 unit = b.unit(text) if labels else None
                 if unit is None:
                     found.append(UNKNOWN)
@@ -181,9 +186,7 @@ def _predict(space: Space, labels: list[str], prototypes, batches: Iterator[pa.R
                 best = int(cosines.argmax())
                 found.append(labels[best])
                 scores.append(float(min(1.0, max(0.0, cosines[best]))))
-            columns = [piece.column(i) for i, name in enumerate(piece.schema.names) if name != "_text"]
-            names = [name for name in piece.schema.names if name != "_text"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*piece.columns[:-1], pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=[*piece.schema.names[:-1], "lang_pred", "score"])
 
 
 @dataclass(frozen=True)
@@ -197,12 +200,14 @@ class Model:
 
 
 def learn(labelled: DataFrame, space: Space = Space(), text: str = "text", lang: str = "lang") -> Model:
-    """Bundle all rows of labelled. Each task sends one vector for each language, and the driver gets one for each language."""
+    """Bundle all rows of labelled. Each task sends one vector for each language, and the driver gets one for each language: more than MOST_LABELS fail."""
     rows = labelled.filter(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     sums = rows.mapInArrow(partial(_bundle, space), "lang string, total array<long>")
     totals = sums.select("lang", F.posexplode("total").alias("place", "x")).groupBy("lang", "place").agg(F.sum("x").alias("x"))
     by_lang = totals.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("place", "x"))).alias("xs"))
-    found = sorted((r.lang, [v.x for v in r.xs]) for r in by_lang.collect())
+    found = sorted((r.lang, [v.x for v in r.xs]) for r in by_lang.limit(MOST_LABELS + 1).collect())
+    if len(found) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels: the column does not hold languages")
     p = np.array([v for _, v in found], np.float64).reshape(len(found), space.size)
     return Model(space, [label for label, _ in found], p / np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-300), p)
 
@@ -236,7 +241,7 @@ def limits(labelled: DataFrame, model: Model, text: str = "text", lang: str = "l
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with its columns, `lang_pred` and `score`; columns of docs with these names are replaced."""
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    rows = docs.select(*kept, F.col(text).alias("_text"))
+    rows = docs.select(*kept, F.col(text).alias(free_name(docs, "of")))  # the last column, as _predict has it
     schema = docs.select(*kept).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
     shared = docs.sparkSession.sparkContext.broadcast(model.prototypes)
     return rows.mapInArrow(partial(_predict, model.space, model.labels, shared), schema)

@@ -1,5 +1,6 @@
 """Prototypes and cosines against a direct calculation, and accuracy on rows that taught nothing."""
 
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -59,3 +60,29 @@ def test_nulls_repeats_and_empty(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert langid.filter_documents(empty, 0.05).count() == 0
     assert {r.lang_pred for r in langid.predict(docs, langid.learn(empty)).collect()} == {"und"}
+
+
+def test_predictions_against_a_direct_calculation(spark):
+    rows = [*corpus(90, 9), (200, "das", "de", ""), (201, "", "en", ""), (202, None, "fr", "")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = langid.learn(langid.training_rows(docs))
+    space, unit = langid.Space(), lambda v: v / np.linalg.norm(v)
+    sums = {}
+    for key, text, lang, _ in rows:
+        if zlib.crc32(str(key).encode()) % 3 != 1 and text and any(c.isalpha() for c in text):
+            sums[lang] = sums.get(lang, 0) + np.rint(unit(direct(text, space)) * langid.SCALE)
+    prototypes = {lang: unit(v) for lang, v in sums.items()}
+    for r in langid.predict(docs, model).collect():
+        if not r.text:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        cosines = {lang: float(p @ unit(direct(r.text, space))) for lang, p in prototypes.items()}
+        best = max(sorted(cosines), key=lambda x: round(cosines[x], 9))
+        assert r.lang_pred == best and abs(r.score - min(1.0, max(0.0, cosines[best]))) < 1e-6
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(i, t, lang, 0.5, "of", "row") for i, t, lang, _ in corpus(30, 5)], "doc_id long, text string, lang string, score double, of string, _row string")
+    out = langid.predict(docs, langid.learn(docs))
+    assert out.columns == ["doc_id", "text", "lang", "of", "_row", "lang_pred", "score"] and {r.of for r in out.collect()} == {"of"}
+    assert langid.filter_documents(docs, 0.0).columns == docs.columns and langid.filter_documents(docs, 0.0).count() == 30
