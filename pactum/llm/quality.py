@@ -3,14 +3,16 @@
 Each document gets counts (DataFrame functions only). For each ratio of counts a
 mergeable quantile sketch is kept per (language, source): logarithmic buckets with
 counts, so that sketches merge by adding counts, in any order and with the same
-result. A group's thresholds are Tukey fences read from its sketch; a group with
-too few documents takes those of its language, then those of all documents, whose
-sketches are the sums of the finer ones. The verdict joins documents with thresholds.
+result. A group's thresholds are Tukey fences read from its sketch, to which that of
+its language is added with the weight of `prior` documents; to that one, in turn,
+that of all documents is added so. The coarser sketches are the sums of the finer
+ones. The verdict joins documents with thresholds. Weights are whole numbers, so
+thresholds are the same in any order of summing.
 
 Defined results: null text has no words and fails the base rules; null lang or
 source form groups of their own; rows that repeat a doc_id are judged one by one;
-an empty table gives an empty result; other columns are ignored by `score` and
-kept by `filter_documents`.
+an empty table gives an empty result; other columns, whatever their names, are
+ignored by `score` and kept by `filter_documents`.
 """
 
 from __future__ import annotations
@@ -50,12 +52,13 @@ RATIOS = (
 
 @dataclass(frozen=True)
 class Rules:
-    """Base limits, and how fences are drawn: quartiles plus `reach` times their distance (or slack)."""
+    """Base limits, and how fences are drawn: quartiles plus `reach` times their distance (or slack). A document weighs `unit`."""
 
     min_words: int = 10
     max_repeat_percent: int = 20
     reach: float = 3.0
-    min_docs: int = 200
+    prior: int = 200
+    unit: int = 1000
     accuracy: float = 0.01
     smallest: float = 1e-4
     broadcast_rows: int = 50_000
@@ -67,12 +70,12 @@ def _count(text: Column, other: str) -> Column:
 
 
 def features(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with its counts beside its own columns, named `_q_<count>`. Nothing shuffles.
+    """`row`, which holds the columns of docs, and beside it the counts, named `_q_<count>`. Nothing shuffles.
 
     The steps stand in columns of their own, so that each is worked out once a row.
     """
     k = WORDS_PER_WINDOW
-    t = docs.withColumn("_q_text", text_or_empty(text))
+    t = docs.select(F.struct("*").alias("row"), text_or_empty(text).alias("_q_text"))
     t = t.withColumns(
         {
             "_q_words": F.array_remove(F.split("_q_text", f"{SPACES}+"), ""),
@@ -112,7 +115,7 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_dup_lines": (F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))).cast("long"),
         "n_repeat_words": F.when(F.col("_q_keyed").isNull(), F.lit(0)).otherwise(covered).cast("long"),
     }
-    return t.select(*docs.columns, *[c.alias(f"_q_{n}") for n, c in counts.items()])
+    return t.select("row", *[c.alias(f"_q_{n}") for n, c in counts.items()])
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_shouts", "n_capitals", "n_lines", "n_dup_lines", "n_repeat_words")
@@ -127,35 +130,52 @@ def _value(r: Ratio) -> Column:
 
 
 def sketches(counted: DataFrame, rules: Rules, lang: str = "lang", source: str = "source") -> DataFrame:
-    """(lang, source, ratio, bucket, n): the mergeable sketches, of documents that pass the base rules.
+    """(lang, source, ratio, bucket, n): the mergeable sketches, of documents that pass the base rules. lang and source are columns of `row`.
 
     Bucket 0 holds values up to `smallest`, bucket i those up to smallest * gamma ** i.
     Counts are summed on the map side first, so a hot group sends each task's buckets only.
     """
     gamma = (1 + rules.accuracy) / (1 - rules.accuracy)
     entries = F.array(*[F.struct(F.lit(i).alias("ratio"), F.greatest(F.lit(0), F.ceil(F.log(F.greatest(_value(r), F.lit(rules.smallest)) / rules.smallest) / math.log(gamma))).cast("int").alias("bucket")) for i, r in enumerate(RATIOS)])
-    rows = counted.filter(~base_failed(rules)).select(F.col(lang).alias("lang"), F.col(source).alias("source"), F.explode(entries).alias("e"))
+    rows = counted.filter(~base_failed(rules)).select(F.col("row")[lang].alias("lang"), F.col("row")[source].alias("source"), F.explode(entries).alias("e"))
     return rows.groupBy("lang", "source", F.col("e.ratio").alias("ratio"), F.col("e.bucket").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _fences(sketch: DataFrame, keys: list[str], rules: Rules) -> DataFrame:
-    """A row for each group: the fences of every ratio, read from the sketch's cumulative counts."""
+def _blended(sketch: DataFrame, coarser: DataFrame | None, keys: list[str], rules: Rules) -> DataFrame:
+    """(keys, ratio, bucket, w): the sketches of the groups that keys tell apart, with `prior` documents' worth of the coarser one.
+
+    Rows are groups times buckets, whatever the number of documents.
+    """
+    own = sketch.groupBy(*keys, "ratio", "bucket").agg((F.sum("n") * rules.unit).alias("w"))
+    if coarser is None:
+        return own
+    up = keys[:-1]
+    total = F.sum("w").over(Window.partitionBy(*up, "ratio"))  # as many rows as a sketch has buckets
+    share = coarser.withColumn("of", total).select(*[F.col(k).alias(f"c_{k}") for k in up], "ratio", "bucket", F.expr(f"(CAST({rules.prior * rules.unit} AS DECIMAL(20,0)) * CAST(w AS DECIMAL(18,0))) div of").alias("w"))
+    groups = own.select(*keys).distinct()
+    on = [F.col(k).eqNullSafe(F.col(f"c_{k}")) for k in up]
+    added = groups.join(share, on or F.lit(True)).select(*keys, "ratio", "bucket", "w")
+    return own.unionByName(added).groupBy(*keys, "ratio", "bucket").agg(F.sum("w").alias("w"))
+
+
+def _fences(merged: DataFrame, keys: list[str], rules: Rules) -> DataFrame:
+    """A row for each group: the fences of every ratio, read from the sketch's cumulative weights."""
     gamma = (1 + rules.accuracy) / (1 - rules.accuracy)
-    merged = sketch.groupBy(*keys, "ratio", "bucket").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*keys, "ratio")  # as many rows as a sketch has buckets
-    summed = merged.withColumns({"upto": F.sum("n").over(group.orderBy("bucket")), "docs": F.sum("n").over(group)})
+    summed = merged.withColumns({"upto": F.sum("w").over(group.orderBy("bucket")), "of": F.sum("w").over(group)})
     value = F.when(F.col("bucket") == 0, F.lit(0.0)).otherwise(F.lit(rules.smallest) * F.pow(F.lit(gamma), F.col("bucket")))
-    quart = lambda q: F.min(F.when(F.col("upto") >= q * F.col("docs"), value))
-    read = summed.groupBy(*keys, "ratio").agg(quart(0.25).alias("q1"), quart(0.75).alias("q3"), F.max("docs").alias("docs"))
+    quart = lambda n: F.min(F.when(4 * F.col("upto") >= n * F.col("of"), value))
+    read = summed.groupBy(*keys, "ratio").agg(quart(1).alias("q1"), quart(3).alias("q3"))
     slack = F.element_at(F.array(*[F.lit(r.slack) for r in RATIOS]), F.col("ratio") + 1)
     width = rules.reach * F.greatest(F.col("q3") - F.col("q1"), slack)
-    fences = read.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("ratio", F.struct((F.col("q1") - width).alias("low"), (F.col("q3") + width).alias("high"))))).alias("fences"), F.max("docs").alias("docs"))
-    return fences.filter(F.col("docs") >= rules.min_docs).drop("docs") if keys else fences.drop("docs")
+    return read.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("ratio", F.struct((F.col("q1") - width).alias("low"), (F.col("q3") + width).alias("high"))))).alias("fences"))
 
 
 def thresholds(sketch: DataFrame, rules: Rules) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The fences by (lang, source), by lang, and of everything; the coarser sketches are sums of the finer ones."""
-    return _fences(sketch, ["lang", "source"], rules), _fences(sketch, ["lang"], rules), _fences(sketch, [], rules)
+    """The fences by (lang, source), by lang, and of everything. The coarser ones serve groups of which no document passes the base rules."""
+    everything = _blended(sketch, None, [], rules)
+    by_lang = materialize(_blended(sketch, everything, ["lang"], rules), "sketches_by_lang")
+    return _fences(_blended(sketch, by_lang, ["lang", "source"], rules), ["lang", "source"], rules), _fences(by_lang, ["lang"], rules), _fences(everything, [], rules)
 
 
 def judge(counted: DataFrame, rules: Rules = Rules(), lang: str = "lang", source: str = "source") -> DataFrame:
@@ -165,11 +185,10 @@ def judge(counted: DataFrame, rules: Rules = Rules(), lang: str = "lang", source
     t = counted
     for n, (side, keys) in enumerate(((fine, {"lang": lang, "source": source}), (by_lang, {"lang": lang}))):
         side = side.select(*[F.col(k).alias(f"_q_key_{k}") for k in keys], F.col("fences").alias(f"_q_fences_{n}"))
-        on = [F.col(f"_q_key_{k}").eqNullSafe(F.col(c)) for k, c in keys.items()]
+        on = [F.col(f"_q_key_{k}").eqNullSafe(F.col("row")[c]) for k, c in keys.items()]
         t = t.join(checked_broadcast(side, rules.broadcast_rows), on, "left").drop(*[f"_q_key_{k}" for k in keys])
     t = t.join(F.broadcast(overall.select(F.col("fences").alias("_q_fences_2"))), F.lit(True), "left")  # one row at most
-    fences = F.coalesce("_q_fences_0", "_q_fences_1", "_q_fences_2")
-    t = t.withColumn("_q_fences", fences)
+    t = t.withColumn("_q_fences", F.coalesce("_q_fences_0", "_q_fences_1", "_q_fences_2"))
     outside = F.lit(False)
     for i, r in enumerate(RATIOS):
         fence = F.element_at(F.col("_q_fences"), F.lit(i))
@@ -183,13 +202,13 @@ def judge(counted: DataFrame, rules: Rules = Rules(), lang: str = "lang", source
 
 def score(docs: DataFrame, rules: Rules = Rules(), key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """A row for each row of docs: its key, its counts, `base_failed` and `kept`."""
-    slim = docs.select(F.col(key).alias("_q_key"), F.col(text).alias("_q_of"), F.col(lang).alias("_q_lang"), F.col(source).alias("_q_source"))
-    counted = materialize(features(slim, "_q_of").drop("_q_of"), "counts")
-    judged = judge(counted, rules, "_q_lang", "_q_source")
-    return judged.select(F.col("_q_key").alias(key), *[F.col(f"_q_{c}").alias(c) for c in COUNTS], F.col("_q_base_failed").alias("base_failed"), F.col("_q_kept").alias("kept"))
+    slim = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source"))
+    counted = materialize(features(slim).withColumn("row", F.col("row").dropFields("text")), "counts")
+    judged = judge(counted, rules)
+    return judged.select(F.col("row.key").alias(key), *[F.col(f"_q_{c}").alias(c) for c in COUNTS], F.col("_q_base_failed").alias("base_failed"), F.col("_q_kept").alias("kept"))
 
 
 def filter_documents(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The rows of docs that are kept, with their own columns."""
     counted = materialize(features(docs, text), "counted")
-    return judge(counted, rules, lang, source).filter("_q_kept").select(*docs.columns)
+    return judge(counted, rules, lang, source).filter("_q_kept").select("row.*")

@@ -38,17 +38,28 @@ def op7(rules: quality.Rules = quality.Rules()) -> str:
     slack = "[" + ", ".join(f"{r.slack}::DOUBLE" for r in quality.RATIOS) + "]"
     low = "[" + ", ".join(str(r.low).lower() for r in quality.RATIOS) + "]"
 
+    def blended(name: str, keys: list[str], coarser: str) -> str:
+        """The weights of the groups that keys tell apart, with `prior` documents' worth of the coarser ones."""
+        k, up = "".join(f"{x}, " for x in keys), keys[:-1]
+        own = f"SELECT {k}ratio, bucket, {rules.unit} * sum(n) AS w FROM sketch GROUP BY {k}ratio, bucket"
+        if not coarser:
+            return f"{name}_m AS ({own})"
+        of = "".join(f"{x}, " for x in up)
+        on = " AND ".join(f"g.{x} IS NOT DISTINCT FROM s.{x}" for x in up) or "TRUE"
+        return f"""
+{name}_o AS ({own}),
+{name}_s AS (SELECT {of}ratio, bucket, ({rules.prior * rules.unit} * w) // sum(w) OVER (PARTITION BY {of}ratio) AS w FROM {coarser}_m),
+{name}_g AS (SELECT DISTINCT {", ".join(keys)} FROM {name}_o),
+{name}_m AS (SELECT {k}ratio, bucket, sum(w) AS w FROM (
+    SELECT * FROM {name}_o UNION ALL SELECT {"".join(f"g.{x}, " for x in keys)}s.ratio, s.bucket, s.w FROM {name}_g AS g JOIN {name}_s AS s ON {on}) GROUP BY {k}ratio, bucket)"""
+
     def fences(name: str, keys: list[str]) -> str:
         k = "".join(f"{x}, " for x in keys)
-        having = f"HAVING max(docs) >= {rules.min_docs}" if keys else ""
         return f"""
-{name}_m AS (SELECT {k}ratio, bucket, sum(n) AS n FROM sketch GROUP BY {k}ratio, bucket),
-{name}_c AS (SELECT *, sum(n) OVER (PARTITION BY {k}ratio ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {k}ratio) AS docs,
+{name}_c AS (SELECT *, sum(w) OVER (PARTITION BY {k}ratio ORDER BY bucket) AS upto, sum(w) OVER (PARTITION BY {k}ratio) AS whole,
     CASE WHEN bucket = 0 THEN 0.0::DOUBLE ELSE {rules.smallest}::DOUBLE * pow({gamma!r}::DOUBLE, bucket) END AS v FROM {name}_m),
-{name}_q AS (SELECT {k}ratio, min(v) FILTER (upto >= 0.25 * docs) AS q1, min(v) FILTER (upto >= 0.75 * docs) AS q3, max(docs) AS docs FROM {name}_c GROUP BY {k}ratio),
-{name}_b AS (SELECT {k}max(docs) AS d FROM {name}_q {f"GROUP BY {', '.join(keys)}" if keys else ""} {having}),
-{name} AS (SELECT {", ".join([f"q.{x}" for x in keys] + ["ratio"])}, q1 - {rules.reach}::DOUBLE * greatest(q3 - q1, ({slack})[ratio + 1]) AS lo, q3 + {rules.reach}::DOUBLE * greatest(q3 - q1, ({slack})[ratio + 1]) AS hi
-    FROM {name}_q AS q JOIN {name}_b AS b ON {" AND ".join(f"q.{x} IS NOT DISTINCT FROM b.{x}" for x in keys) or "TRUE"})"""
+{name}_q AS (SELECT {k}ratio, min(v) FILTER (4 * upto >= whole) AS q1, min(v) FILTER (4 * upto >= 3 * whole) AS q3 FROM {name}_c GROUP BY {k}ratio),
+{name} AS (SELECT {k}ratio, q1 - {rules.reach}::DOUBLE * greatest(q3 - q1, ({slack})[ratio + 1]) AS lo, q3 + {rules.reach}::DOUBLE * greatest(q3 - q1, ({slack})[ratio + 1]) AS hi FROM {name}_q)"""
 
     return rf"""
 WITH t AS (
@@ -72,7 +83,8 @@ WITH t AS (
 ), sketch AS (
   SELECT lang, source, r.ratio AS ratio, {bucket("r.v")} AS bucket, count(*) AS n
   FROM (SELECT lang, source, unnest(rs) AS r FROM f WHERE NOT base_failed) GROUP BY 1, 2, 3, 4
-), {fences("fine", ["lang", "source"])}, {fences("mid", ["lang"])}, {fences("whole", [])},
+), {blended("whole", [], "")}, {blended("mid", ["lang"], "whole")}, {blended("fine", ["lang", "source"], "mid")},
+{fences("fine", ["lang", "source"])}, {fences("mid", ["lang"])}, {fences("whole", [])},
 v AS (
   SELECT doc_id, bool_or(r.v > coalesce(fine.hi, mid.hi, whole.hi) OR (({low})[r.ratio + 1] AND r.v < coalesce(fine.lo, mid.lo, whole.lo))) AS outside
   FROM (SELECT doc_id, lang, source, unnest(rs) AS r FROM f) AS d
