@@ -67,11 +67,11 @@ def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP6_SQL = """
 WITH e AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS HUGEINT)) AS v
   FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, e.vec_id, CAST(list_sum(list_transform(list_zip(q.v, e.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  SELECT q.vec_id AS query_id, e.vec_id, CAST(coalesce(list_sum(list_transform(list_zip(q.v, e.v), lambda z: z[1] * z[2])), 0) AS BIGINT) AS score
   FROM e AS q, e WHERE q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id
 ), r AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
