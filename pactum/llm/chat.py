@@ -9,6 +9,7 @@ without a mark of its own is written as a segment between two reserved ids.
 
 The loss mask covers the ids of assistants' texts. It is derived from the segments'
 lengths by prefix sums: plus one where a masked segment begins, minus one after it.
+Ids are stored as little-endian unsigned 32-bit integers, the mask as a byte for each.
 
 Turns are rows: a conversation of any length is formatted and read in a stream, in
 order of conversation and turn, and no conversation is gathered in one row.
@@ -24,7 +25,8 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -42,10 +44,16 @@ LOSS_ROLE = "assistant"
 CONTROL = r"(?:###[ \t\r\n]*(?:System|User|Assistant|Tool|Role)|</turn>)"
 SLICE = 256
 
-FORMATTED = "conv_id long, turn_no long, position long, ids array<int>, loss array<byte>"
+FORMATTED = "conv_id long, turn_no long, position long, ids binary, loss binary"
 READ = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
+@lru_cache(maxsize=2)
+def _spelling(path: str) -> list[bytes]:
+    """The bytes of each id, the reserved ones included."""
+    return [*Encoder.of(path, special=False).bytes_of_ids(), *(m.encode() for m in MARKS)]
+
+
 def escape(text: str) -> str:
     """text with one more backslash before each mark. A run of backslashes counts as a whole."""
     return re.sub(rf"(?<!\\)(\\*)({CONTROL})", r"\1\\\2", text)
@@ -55,42 +63,50 @@ def unescape(text: str) -> str:
     return re.sub(rf"(?<!\\)\\(\\*)({CONTROL})", r"\1\2", text)
 
 
-def assemble(segments: list[tuple[np.ndarray, bool]]) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all segments and the mask of those that are marked, by prefix sums over the segments' bounds."""
-    sizes = np.array([len(ids) for ids, _ in segments], np.int64)
-    ends = np.cumsum(sizes)
-    change = np.zeros(int(ends[-1]) + 1, np.int64)
-    for (_, marked), start, end in zip(segments, (ends - sizes).tolist(), ends.tolist(), strict=True):
-        if marked:
-            change[start] += 1
-            change[end] -= 1
-    return np.concatenate([ids for ids, _ in segments]), np.cumsum(change)[:-1].astype(np.int8)
+def assemble(segments: list[np.ndarray], marked: list[bool]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ids of all segments, the mask of those that are marked, by prefix sums over the segments' bounds, and the segments' ends."""
+    ends = np.cumsum(np.fromiter(map(len, segments), np.int64, len(segments)))
+    of = np.array(marked, np.int8)
+    change = np.zeros(int(ends[-1]) + 1, np.int8)
+    # Empty segments may share a bound, so changes are added up.
+    np.add.at(change, np.concatenate([[0], ends[:-1]]), of)
+    np.subtract.at(change, ends, of)
+    return np.concatenate(segments), np.cumsum(change[:-1], dtype=np.int8), ends
 
 
 def _format(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     encoder = Encoder.of(path, special=False)
-    reserved = [np.array([encoder.size + i], np.int32) for i in range(len(MARKS))]
+    reserved = [np.array([encoder.size + i], "<u4") for i in range(len(MARKS))]
     now: tuple = ()
     turn = position = 0
     for batch in batches:
         for first in range(0, batch.num_rows, SLICE):
             piece = batch.slice(first, SLICE)
             convs, roles, texts = (c.to_pylist() for c in piece.columns)
-            encoded = encoder.ids_of_many([escape(t or "") for t in texts])
-            out: tuple[list, ...] = ([], [], [], [], [])
-            for conv, role, ids in zip(convs, roles, encoded, strict=True):
-                if now != (conv,):
-                    now, turn, position = (conv,), 0, 0
+            segments: list[np.ndarray] = []
+            marked: list[bool] = []
+            last = []  # the number of segments up to each turn's end
+            for role, text in zip(roles, texts, strict=True):
                 role = role or ""
                 if role in ROLES:
-                    head = [(reserved[ROLES.index(role)], False)]
+                    segments.append(reserved[ROLES.index(role)])
                 else:
-                    head = [(reserved[OPEN_ROLE], False), (encoder.ids(escape(role)).astype(np.int32), False), (reserved[CLOSE_ROLE], False)]
-                whole, loss = assemble([*head, (ids.astype(np.int32), role == LOSS_ROLE), (reserved[END], False)])
-                for column, value in zip(out, (conv, turn, position, whole, loss), strict=True):
-                    column.append(value)
-                turn, position = turn + 1, position + len(whole)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int8()))
+                    segments += [reserved[OPEN_ROLE], encoder.ids(escape(role)).astype("<u4"), reserved[CLOSE_ROLE]]
+                segments += [encoder.ids(escape(text or "")).astype("<u4"), reserved[END]]
+                marked += [False] * (len(segments) - len(marked) - 2) + [role == LOSS_ROLE, False]
+                last.append(len(segments) - 1)
+            ids, loss, ends = assemble(segments, marked)
+            bounds = [0, *ends[last].tolist()]
+            held, mask = ids.tobytes(), loss.tobytes()
+            turns, positions = [], []
+            for conv, a, b in zip(convs, bounds, bounds[1:], strict=False):
+                if now != (conv,):
+                    now, turn, position = (conv,), 0, 0
+                turns.append(turn)
+                positions.append(position)
+                turn, position = turn + 1, position + b - a
+            out = (convs, turns, positions, [held[4 * a : 4 * b] for a, b in zip(bounds, bounds[1:], strict=False)], [mask[a:b] for a, b in zip(bounds, bounds[1:], strict=False)])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["conv_id", "turn_no", "position", "ids", "loss"])
 
 
@@ -112,8 +128,8 @@ class _Conversation:
 
 def _read(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     encoder = Encoder.of(path, special=False)
-    of_id = [*encoder.bytes_of_ids(), *(m.encode() for m in MARKS)]
-    text_of = lambda ids: b"".join([of_id[i] for i in ids]).decode("utf-8")
+    spell = _spelling(path).__getitem__
+    text_of = lambda ids: b"".join(map(spell, ids)).decode("utf-8")
     now: _Conversation | None = None
     done: list[tuple] = []
 
@@ -128,7 +144,8 @@ def _read(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         for first in range(0, batch.num_rows, SLICE):
             piece = batch.slice(first, SLICE)
             convs, all_ids, masks = (c.to_pylist() for c in piece.columns)
-            for conv, ids, mask in zip(convs, all_ids, masks, strict=True):
+            for conv, held, mask in zip(convs, all_ids, masks, strict=True):
+                ids = memoryview(held).cast("I").tolist()
                 if now is None or now.conv != conv:
                     if now is not None:
                         done.append(now.row())
@@ -140,12 +157,16 @@ def _read(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                     role = unescape(text_of(ids[1 : start - 1]))
                 else:
                     role = ROLES[mark]
+                body = text_of(ids[start:-1])
+                text = unescape(body)
                 now.turns += 1
-                now.chars += len(text_of(ids))
-                now.all.update(f"{role}\n{unescape(text_of(ids[start:-1]))}\n".encode())
-                under = unescape(text_of([i for i, m in zip(ids, mask, strict=True) if m]))
-                now.loss_chars += len(under)
-                now.loss.update(under.encode())
+                now.chars += len(text_of(ids[:start])) + len(body) + len(text_of(ids[-1:]))
+                now.all.update(f"{role}\n{text}\n".encode())
+                if 1 in mask:
+                    under = list(compress(ids, mask))
+                    covered = text if under == ids[start:-1] else unescape(text_of(under))
+                    now.loss_chars += len(covered)
+                    now.loss.update(covered.encode())
             if done:
                 yield flush()
     if now is not None:
@@ -159,8 +180,6 @@ def read_back(formatted: DataFrame, vocabulary: str) -> DataFrame:
     return ordered.select("conv_id", "ids", "loss").mapInArrow(partial(_read, vocabulary), READ)
 
 
-def render(ids: list[int], vocabulary: str) -> str:
+def render(ids: bytes, vocabulary: str) -> str:
     """The formatted text of a turn's ids."""
-    encoder = Encoder.of(vocabulary, special=False)
-    of_id = [*encoder.bytes_of_ids(), *(m.encode() for m in MARKS)]
-    return b"".join(of_id[i] for i in ids).decode("utf-8")
+    return b"".join(map(_spelling(vocabulary).__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8")

@@ -44,11 +44,11 @@ def test_conversations(spark):
     got = {r.conv_id: r for r in chat.read_back(formatted, VOCABULARY).collect()}
     assert {k: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for k, r in got.items()} == expected(rows)
     one = formatted.filter("conv_id = 1").orderBy("turn_no").collect()
-    assert [r.position for r in one] == [0, len(one[0].ids), len(one[0].ids) + len(one[1].ids)]
+    assert [r.position for r in one] == [0, len(one[0].loss), len(one[0].loss) + len(one[1].loss)]
     text = "".join(chat.render(r.ids, VOCABULARY) for r in one)
     assert text == "### System:\nBe brief.\n</turn>\n### User:\nHi \\</turn>\n\\### Assistant:\nno\n</turn>\n### Assistant:\nÉh 漢字 🙂\n\n</turn>\n"
     assert got[1].formatted_chars == len(text)
-    assert all(len(r.ids) == len(r.loss) for r in one) and sum(one[2].loss) == len(one[2].ids) - 2 and not any(one[1].loss)
+    assert all(len(r.ids) == 4 * len(r.loss) for r in one) and sum(one[2].loss) == len(one[2].loss) - 2 and not any(one[1].loss)
 
 
 def test_empty(spark):
