@@ -19,8 +19,7 @@ probability 1 - exp(-exp(log p - kappa)).
 All random numbers are hashes of (seed, row key, sample, place), so a row's samples
 are the same wherever and however often it is run.
 
-Characters without a piece are written as their UTF-8 bytes' pieces. Lattices are
-cut after `longest_word` characters without a blank.
+Characters without a piece are written as their UTF-8 bytes' pieces.
 
 Defined results: null text is empty; an empty text has one segmentation, without
 pieces; a text with fewer segmentations than k has them all; U+2581 reads back as a
@@ -41,11 +40,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLANK = "▁"
-WORD = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
-#: Characters that are handled at once, about, and states of words that a worker remembers.
-SLICE_CHARS, ROOM = 300_000, 800_000
-#: Below this a set's probability given its state is rounding.
-LEAST = 1e-6
+WORD = re.compile(" *[^ ]+| +")
+#: Characters that are handled at once, about, and states and arcs of words that a worker remembers.
+SLICE_CHARS, STATES, ARCS = 300_000, 1_200_000, 3_600_000
+#: Leading bits of a hash that address the table of begins of pieces.
+SLOT_BITS = 20
+#: Where an arc leaves less than this to its state's others, what it leaves is summed from them.
+SCARCE = 1e-5
 SCHEMA = "doc_id long, sample int, n_pieces long, log_prob double, score double, inclusion double, ids binary"
 _U = np.uint64
 
@@ -55,7 +56,6 @@ class Sampling:
     k: int = 3
     alpha: float = 1.0
     seed: int = 1
-    longest_word: int = 128
 
 
 class Vocabulary:
@@ -75,22 +75,17 @@ class Vocabulary:
         used = [i for i in range(self.size) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i)) and BLANK not in self.pieces[i].lstrip(BLANK)]
         self.longest = max(len(self.pieces[i]) for i in used)
         rng = np.random.default_rng(97)
-        self.mix = rng.integers(1, 1 << 63, 2, dtype=np.uint64) * _U(2) + _U(1)
-        hashes = np.array([self._hash(self.pieces[i]) for i in used], np.uint64)
-        order = np.argsort(hashes)
-        self.hashes, self.ids = hashes[order], np.array(used, np.int32)[order]
-        assert (self.hashes[1:] != self.hashes[:-1]).all(), "two pieces share a hash"
-        rank = np.minimum(np.abs([model.get_score(int(i)) for i in self.ids]), self.size)
-        self.weight = -alpha * np.log1p(rank)
+        self.mix = rng.integers(1, 1 << 63, dtype=np.uint64) * _U(2) + _U(1)
+        ids = np.array(used, np.int32)
+        rank = np.minimum(np.abs([model.get_score(i) for i in used]), self.size)
         self.lost = -alpha * np.log1p(4.0 * self.size)  # a character that becomes bytes
-        self.weight_of = np.full(self.size + 1, self.lost)  # the last, and bytes: a character that is lost
-        self.weight_of[self.ids] = self.weight
+        self.weight_of = np.full(self.size, self.lost)
+        self.weight_of[ids] = -alpha * np.log1p(rank)
+        self._tabulate(used)
         spelt = [bytes([self.byte_of[i]]) if i in self.byte_of else p.replace(BLANK, " ").encode() for i, p in enumerate(self.pieces)]
         self.sizes = np.fromiter(map(len, spelt), np.int64, self.size)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.spelt = np.frombuffer(b"".join(spelt), np.uint8)
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[(self.hashes >> _U(44)).astype(np.int64)] = True
         self.lattices = Lattices(self)
 
     @classmethod
@@ -99,12 +94,44 @@ class Vocabulary:
             cls._open[path, alpha] = cls(path, alpha)
         return cls._open[path, alpha]
 
-    def _hash(self, piece: str) -> int:
-        h = 0
-        for c in piece:
-            h = ((h + ord(c) + 1) * int(self.mix[0])) & (1 << 64) - 1
-            h ^= h >> 31
-        return h
+    def _tabulate(self, used: list[int]) -> None:
+        """hashes: of all begins of pieces, ascending; known: the piece that each is, or -1; slot: the first hash with some leading bits, or -1."""
+        of: dict[int, int] = {}
+        begins: set[str] = set()
+        for i in used:
+            h, piece = 0, self.pieces[i]
+            for n, c in enumerate(piece, 1):
+                h = ((h + ord(c) + 1) * int(self.mix)) & (1 << 64) - 1
+                h ^= h >> 31
+                begins.add(piece[:n])
+                of.setdefault(h, -1)
+            of[h] = i
+        assert len(of) == len(begins), "two begins of pieces share a hash"
+        hashes, known = np.array(list(of), np.uint64), np.array(list(of.values()), np.int32)
+        order = np.argsort(hashes)
+        self.hashes, self.known = hashes[order], known[order]
+        lead = (self.hashes >> _U(64 - SLOT_BITS)).astype(np.int64)
+        first = np.flatnonzero(np.append(True, lead[1:] != lead[:-1]))
+        self.slot = np.full(1 << SLOT_BITS, -1, np.int32)
+        self.slot[lead[first]] = first
+        self.most = int(np.diff(np.append(first, len(lead))).max())
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of the hashes are begins of pieces, their places among them)."""
+        place = self.slot[(h >> _U(64 - SLOT_BITS)).astype(np.int64)]
+        hit = np.flatnonzero(place >= 0)
+        place, h = place[hit], h[hit]
+        off = np.flatnonzero(self.hashes[place] != h)
+        for _ in range(self.most - 1):
+            if not len(off):
+                break
+            place[off] = np.minimum(place[off] + 1, len(self.hashes) - 1)
+            off = off[self.hashes[place[off]] != h[off]]
+        if len(off):
+            real = np.ones(len(hit), bool)
+            real[off] = False
+            hit, place = hit[real], place[real]
+        return hit, place
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of pieces: their bytes, gathered from a table; the first blank is the encoder's own."""
@@ -115,103 +142,144 @@ class Vocabulary:
         return self.spelt[place].tobytes().decode("utf-8", "replace").removeprefix(" ")
 
 
-def words_of(text: str, longest: int) -> list[str]:
-    if not text:
-        return []
-    found = WORD.findall(BLANK + text.replace(" ", BLANK))
-    if max(map(len, found)) <= longest:
-        return found
-    return [w[i : i + longest] for w in found for i in range(0, len(w), longest)]
+def words_of(text: str) -> list[str]:
+    """The words, in which a blank stands for the pieces' own character."""
+    return WORD.findall(" " + text.replace(BLANK, " ")) if text else []
 
 
 class Lattices:
-    """The lattices of words, laid one after the other. A word of n characters has n + 1 states; the last is its end.
-
-    first: each known word's first state. left[state]: the characters to the word's
-    end. chance[state, l]: the probability that a path at the state takes an arc of at
-    most l + 1 characters. piece[state, l]: that arc's piece, or -1 for a character
-    that becomes several bytes, which is then in points. When the room is used up, all words
-    are forgotten, and those in use are built again.
+    """The lattices of words. A word of n characters has n + 1 states; those of its end have no arcs.
+
+    first: each known word's first state. start[state], count[state]: a state's arcs,
+    longest first. chance[arc]: the probability that a path at the state takes this arc
+    or one before it; log[arc]: the log probability of this one; others[arc]: that of
+    its state's others; target[arc]: the state that it leads to; piece[arc]: its piece,
+    or -1 - c for a character c that becomes several bytes. When the room is used up,
+    all words are forgotten, and those in use are built again.
     """
 
     def __init__(self, v: Vocabulary):
         self.v = v
-        self._clear(ROOM)
+        self._clear(STATES, ARCS)
 
-    def _clear(self, room: int) -> None:
+    def _clear(self, states: int, arcs: int) -> None:
         self.first: dict[str, int] = {}
-        self.used, self.room = 0, room
-        self.left, self.after, self.points = np.zeros(room, np.int32), np.zeros(room), np.zeros(room, np.int32)
-        self.chance = np.empty((room, self.v.longest), np.float32)
-        self.piece = np.empty((room, self.v.longest), np.int16 if self.v.size < 1 << 15 else np.int32)
+        self.used, self.used_arcs = 0, 0
+        self.start, self.count = np.zeros(states, np.int32), np.zeros(states, np.uint8)
+        self.chance, self.others = np.empty(arcs, np.float32), np.empty(arcs, np.float32)
+        self.log, self.target, self.piece = np.empty(arcs), np.empty(arcs, np.int32), np.empty(arcs, np.int32)
 
     def learn(self, words: list[str]) -> None:
         """Build what is missing of the words."""
         new = [w for w in words if w not in self.first]
-        size = sum(map(len, new)) + len(new)
-        if self.used + size > self.room:
-            new = words
-            size = sum(map(len, new)) + len(new)
-            self._clear(max(ROOM, size))
-        if new:
-            self._build(new, slice(self.used, self.used + size))
-            self.used += size
-
-    def _build(self, words: list[str], room: slice) -> None:
-        v = self.v
-        left, after, piece = self.left[room], self.after[room], self.piece[room]
-        weight = np.full(piece.shape, -np.inf, np.float32)
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        first = np.cumsum(sizes + 1) - sizes - 1
-        self.first.update(zip(words, (first + room.start).tolist(), strict=True))
-        points = np.zeros(len(left), np.int64)
-        inside = np.ones(len(left), bool)
-        inside[first + sizes] = False
-        points[inside] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
-        left[:] = np.repeat(first + sizes, sizes + 1) - np.arange(len(left))
-        self.points[room] = points
-        at = np.flatnonzero(inside)
+        if new and not self._build(new):
+            self._clear(STATES, ARCS)
+            self._build(words, room_for_all=True)
+
+    def state_of(self, arc: int) -> int:
+        """Starts ascend, and a state without arcs has the start of the next."""
+        return int(np.searchsorted(self.start[: self.used], np.int32(arc), "right")) - 1
+
+    def _arcs(self, points: np.ndarray, left: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each length, the places where arcs of it begin, their pieces and weights. points: characters, and left: those to the word's end."""
+        v, found = self.v, []
+        at = np.flatnonzero(left)
         h = np.zeros(len(at), np.uint64)
         for n in range(v.longest):
-            stay = left[at] > n
-            at, h = at[stay], h[stay]
+            if n:
+                stay = left[at] > n
+                at, h = at[stay], h[stay]
             if not len(at):
                 break
-            h = (h + points[at + n].astype(np.uint64) + _U(1)) * v.mix[0]
+            h = (h + points[at + n].astype(np.uint64) + _U(1)) * v.mix
             h ^= h >> _U(31)
-            hit = np.flatnonzero(v.maybe[(h >> _U(44)).astype(np.int64)])
-            place = np.minimum(np.searchsorted(v.hashes, h[hit]), len(v.hashes) - 1)
-            real = v.hashes[place] == h[hit]
-            hit, place = hit[real], place[real]
-            weight[at[hit], n] = v.weight[place]
-            piece[at[hit], n] = v.ids[place]
+            hit, place = v.find(h)
+            known = v.known[place]
+            real = known >= 0
+            begins, ids = at[hit[real]], known[real]
+            weights = v.weight_of[ids]
             if n == 0:
                 none = np.ones(len(at), bool)
-                none[hit] = False
-                weight[at[none], 0] = v.lost
+                none[hit[real]] = False
                 lost = points[at[none]]
-                piece[at[none], 0] = np.where(lost < 128, v.byte_ids[np.minimum(lost, 127)], -1)
-        self._sum_backward(left, after, weight, self.chance[room])
+                begins, ids = np.concatenate([begins, at[none]]), np.concatenate([ids, np.where(lost < 128, v.byte_ids[np.minimum(lost, 127)], -1 - lost)])
+                weights = np.concatenate([weights, np.full(len(lost), v.lost)])
+            found.append((begins, ids, weights))
+            at, h = at[hit], h[hit]
+        return found
+
+    def _build(self, words: list[str], room_for_all: bool = False) -> bool:
+        """Whether there was room. States are numbered by the characters to the word's end, so that a state's arcs lead to smaller numbers."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        n = int(sizes.sum()) + len(words)
+        begin = np.cumsum(sizes + 1) - sizes - 1
+        points = np.zeros(n, np.int64)
+        inside = np.ones(n, bool)
+        inside[begin + sizes] = False
+        points[inside] = np.frombuffer("".join(words).replace(" ", BLANK).encode("utf-32-le", "surrogatepass"), "<u4")
+        left = np.repeat(begin + sizes, sizes + 1) - np.arange(n)
+        found = self._arcs(points, left)
+        count = np.zeros(n, np.int64)
+        for begins, _, _ in found:
+            count[begins] += 1
+        total = int(count.sum())
+        if self.used + n > len(self.start) or self.used_arcs + total > len(self.log):
+            if not room_for_all:
+                return False
+            self._clear(max(STATES, n), max(ARCS, total))
+        order = np.argsort(left.astype(np.uint16) if len(left) and left.max() < 1 << 16 else left, kind="stable")
+        number = np.empty(n, np.int64)
+        number[order] = np.arange(n)
+        count = count[order]
+        start = np.cumsum(count) - count
+        arcs = slice(self.used_arcs, self.used_arcs + total)
+        piece, target, weight = self.piece[arcs], np.empty(total, np.int64), np.empty(total)
+        free = start.copy()
+        for length in range(len(found), 0, -1):
+            begins, ids, weights = found[length - 1]
+            of = number[begins]
+            place = free[of]
+            free[of] += 1
+            piece[place], target[place], weight[place] = ids, number[begins + length], weights
+        after = self._sum_backward(left[order], start, count, target, weight)
+
+        at = len(words)  # the ends of words have no arcs and come first
+        log = weight + after[target] - np.repeat(after[at:], count[at:])
+        p = np.exp(log)
+        upto = np.cumsum(p)
+        chance = upto - np.repeat(upto[start[at:]] - p[start[at:]], count[at:])
+        last = start[at:] + count[at:] - 1
+        chance[last] = 1.0
+        alone = np.repeat(count[at:] == 1, count[at:])
+        others = np.maximum(1.0 - p, 0.0)
+        scarce = np.flatnonzero((others < SCARCE) & ~alone)  # one of a state's arcs at most
+        if len(scarce):
+            rest = p.copy()
+            rest[scarce] = 0.0
+            others[scarce] = np.repeat(np.add.reduceat(rest, start[at:]), count[at:])[scarce]
+        others[alone] = 0.0
+        log[alone] = 0.0
+        with np.errstate(divide="ignore"):
+            self.others[arcs] = np.log(others)
+        self.chance[arcs], self.log[arcs], self.target[arcs] = chance, np.minimum(log, 0.0), target + self.used
+        states = slice(self.used, self.used + n)
+        self.start[states], self.count[states] = start + self.used_arcs, count
+        self.first.update(zip(words, (number[begin] + self.used).tolist(), strict=True))
+        self.used, self.used_arcs = self.used + n, self.used_arcs + total
+        return True
 
     @staticmethod
-    def _sum_backward(left, after, weight, chance) -> None:
-        after[:], chance[:] = 0.0, 1.0
-        order = np.argsort(left.astype(np.uint16), kind="stable")
-        bounds = np.searchsorted(left[order], np.arange(1, int(left.max(initial=0)) + 2))
-        for d, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False), 1):
-            at = order[a:b]
-            n = min(d, weight.shape[1])
-            s = after[at[:, None] + np.arange(1, n + 1)]
-            s += weight[at, :n]
-            top = s.max(axis=1)
-            s -= top[:, None]
-            c = np.cumsum(np.exp(s.astype(np.float32)), axis=1)
-            after[at] = top + np.log(c[:, -1])
-            chance[at, :n] = c / c[:, -1:]
-
-    def logs(self, state: np.ndarray, arc: np.ndarray) -> np.ndarray:
-        """The log probabilities of arcs, each given its state."""
-        return np.minimum(self.v.weight_of[self.piece[state, arc]] + self.after[state + arc + 1] - self.after[state], 0.0)
+    def _sum_backward(left: np.ndarray, start: np.ndarray, count: np.ndarray, target: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """The log of the weight of all paths from each state to its word's end. left ascends."""
+        after = np.zeros(len(left))
+        bounds = np.searchsorted(left, np.arange(1, int(left[-1]) + 2 if len(left) else 2)).tolist()
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            first, end = int(start[a]), int(start[b - 1] + count[b - 1])
+            s = weight[first:end] + after[target[first:end]]
+            cut = start[a:b] - first
+            top = np.maximum.reduceat(s, cut)
+            after[a:b] = top + np.log(np.add.reduceat(np.exp(s - np.repeat(top, count[a:b])), cut))
+        return after
 
 
 def _times(r: int, odd: int) -> np.uint64:
@@ -249,59 +317,56 @@ class _Walk:
         steps = []
         active, now, k = np.arange(n), state.copy(), step.astype(np.uint64)
         while True:
-            going = lattices.left[now] > 0
+            going = lattices.count[now] > 0
             if not going.all():
                 active, now, k = active[going], now[going], k[going]
             if not len(active):
                 break
-            x = salt[active] + k * _U(0x9E3779B97F4A7C15)
-            row = lattices.chance[now]
-            arc = (row >= _uniform(x).astype(np.float32)[:, None]).argmax(axis=1)
-            steps.append((active, now, arc, x))
-            now, k = now + arc + 1, k + _U(1)
+            u = _uniform(salt[active] + k * _U(0x9E3779B97F4A7C15)).astype(np.float32)
+            arc = lattices.start[now]
+            short = np.flatnonzero(lattices.chance[arc] < u)
+            while len(short):
+                arc[short] += 1
+                short = short[lattices.chance[arc[short]] < u[short]]
+            steps.append((active, arc))
+            now, k = lattices.target[arc], k + _U(1)
         count = np.zeros(n, np.int64)
-        for a, *_ in steps:
+        for a, _ in steps:
             count[a] += 1
         begin = np.cumsum(count) - count
         size = int(count.sum())
-        self.state, self.arc, self.part = np.empty(size, np.int64), np.empty(size, np.int64), np.repeat(np.arange(n), count)
-        x = np.empty(size, np.uint64)
-        for j, (a, s, arc, own) in enumerate(steps):
-            to = begin[a] + j
-            self.state[to], self.arc[to], x[to] = s, arc, own
-        self.logs = lattices.logs(self.state, self.arc)
-        self.within = np.arange(size) - begin[self.part] + step[self.part]
+        self.arc, self.part = np.empty(size, np.int32), np.repeat(np.arange(n), count)
+        for j, (a, arc) in enumerate(steps):
+            self.arc[begin[a] + j] = arc
+        self.logs, self.others = lattices.log[self.arc], lattices.others[self.arc]
+        self.within = np.arange(size) + (step - begin)[self.part]
         self.begin = np.searchsorted(owner[self.part], np.arange(n_owners + 1)) if size else np.zeros(n_owners + 1, np.int64)
-        self.x = x
+        self.x = salt[self.part] + self.within.astype(np.uint64) * _U(0x9E3779B97F4A7C15)
 
     def scores(self, start_log: np.ndarray, bound: np.ndarray) -> None:
         """log: the log probability after each arc; rest: the perturbed maximum of what leaves the path at it."""
-        logs = self.logs
-        run = np.cumsum(logs)
+        run = np.cumsum(self.logs)
         sizes = np.diff(self.begin)
         base = np.repeat(np.concatenate([[0.0], run])[self.begin[:-1]], sizes)
         self.log = run - base + np.repeat(start_log, sizes)
-        others = -np.expm1(logs)
-        others[others < LEAST] = 0.0
-        with np.errstate(divide="ignore"):
-            mu = self.log - logs + np.log(others)
+        mu = self.log - self.logs + self.others
         self.rest = _gumbel_below(mu, np.repeat(bound, sizes), _uniform(self.x ^ _U(0xD6E8FEB86659FD93)))
 
 
 class _Path:
     """One sample: its arcs, and at which of them sets of the agenda leave it."""
 
-    __slots__ = ("arcs", "log", "log_after", "rest", "score", "shared", "states", "taken", "within", "word")
+    __slots__ = ("arcs", "log", "log_after", "rest", "score", "taken", "within", "word")
 
-    def __init__(self, states, arcs, word, within, log_after, rest, shared, score):
-        self.states, self.arcs, self.word, self.within, self.log_after, self.rest, self.shared, self.score = states, arcs, word, within, log_after, rest, shared, score
+    def __init__(self, arcs, word, within, log_after, rest, score):
+        self.arcs, self.word, self.within, self.log_after, self.rest, self.score = arcs, word, within, log_after, rest, score
         self.log = float(log_after[-1]) if len(log_after) else 0.0
         self.taken: dict[int, list[int]] = {}
 
 
 def sample_texts(keys: list[int], texts: list[str | None], v: Vocabulary, s: Sampling) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text its samples, best first: (ids, log probability, perturbed score, inclusion probability)."""
-    split = [words_of(t or "", s.longest_word) for t in texts]
+    split = [words_of(t or "") for t in texts]
     if not any(split):
         return [[(np.empty(0, np.int32), 0.0, 0.0, 1.0)] for _ in texts]
     lattices = v.lattices
@@ -332,7 +397,7 @@ def sample_texts(keys: list[int], texts: list[str | None], v: Vocabulary, s: Sam
     roots = -np.log(-np.log(_uniform(seeds ^ _U(0x2545F4914F6CDD1D))))
     w = walk(0, [(d, 0, -1, 0) for d in range(n)], np.zeros(n), roots)
     cut = lambda w, k: slice(int(w.begin[k]), int(w.begin[k + 1]))
-    paths: list[list[_Path]] = [[_Path(w.state[c], w.arc[c], w.word[c], w.within[c], w.log[c], w.rest[c], 0, float(roots[d]))] for d in range(n) for c in [cut(w, d)]]
+    paths: list[list[_Path]] = [[_Path(w.arc[c], w.word[c], w.within[c], w.log[c], w.rest[c], float(roots[d]))] for d in range(n) for c in [cut(w, d)]]
     kappa = np.full(n, -np.inf)
     for r in range(1, s.k + 1):
         starts, logs, bounds, pending = [], [], [], []
@@ -350,41 +415,40 @@ def sample_texts(keys: list[int], texts: list[str | None], v: Vocabulary, s: Sam
             if r == s.k:
                 kappa[d] = best
                 continue
-            state = int(of.states[at])
-            width = min(lattices.chance.shape[1], int(lattices.left[state]))
-            arcs = np.flatnonzero(np.diff(lattices.chance[state, :width], prepend=0.0) > 0)
-            row = np.zeros(width)
-            row[arcs] = np.exp(lattices.logs(np.full(len(arcs), state), arcs))
-            gone = of.taken.setdefault(at, [int(of.arcs[at])])
+            state = lattices.state_of(int(of.arcs[at]))
+            first = int(lattices.start[state])
+            row = np.exp(lattices.log[first : first + int(lattices.count[state])])
+            gone = of.taken.setdefault(at, [int(of.arcs[at]) - first])
             row[gone] = 0.0
-            left = row.sum()
             u = float(_uniform(seeds[d : d + 1] + _times(r, 0x8CB92BA72F3D8DD7))[0])
-            arc = min(int((np.cumsum(row) <= u * left).sum()), len(row) - 1)
-            gone.append(arc)
+            upto = np.cumsum(row)
+            place = int((upto < u * upto[-1]).sum())
+            gone.append(place)
+            arc, chosen = first + place, float(lattices.log[first + place])
+            row[place] = 0.0
             before = float(of.log_after[at - 1]) if at else 0.0
-            others = left - row[arc]
             u2 = float(_uniform(seeds[d : d + 1] + _times(r, 0xC2B2AE3D27D4EB4F))[0])
-            of.rest[at] = _gumbel_below(before + np.log(others), best, u2) if others > LEAST else -np.inf
-            starts.append((d, int(of.word[at]), state + arc + 1, int(of.within[at]) + 1))
-            logs.append(before + float(np.log(row[arc])))
+            of.rest[at] = _gumbel_below(before + np.log(row.sum()), best, u2) if row.any() else -np.inf
+            starts.append((d, int(of.word[at]), int(lattices.target[arc]), int(of.within[at]) + 1))
+            logs.append(before + chosen)
             bounds.append(best)
-            pending.append((d, of, at, state, arc))
+            pending.append((d, of, at, arc))
         if r == s.k or not starts:
             break
         w = walk(r, starts, logs, bounds)
-        for k, (d, of, at, state, arc) in enumerate(pending):
+        for k, (d, of, at, arc) in enumerate(pending):
             c = cut(w, k)
             join = lambda old, one, new: np.concatenate([old[:at], [one], new])  # noqa: B023, E731
             never = np.full(at + 1, -np.inf)  # what leaves the shared part belongs to the path it is shared with
-            paths[d].append(_Path(join(of.states, state, w.state[c]), join(of.arcs, arc, w.arc[c]), join(of.word, of.word[at], w.word[c]), join(of.within, of.within[at], w.within[c]), join(of.log_after, logs[k], w.log[c]), np.concatenate([never, w.rest[c]]), at + 1, bounds[k]))
+            paths[d].append(_Path(join(of.arcs, arc, w.arc[c]), join(of.word, of.word[at], w.word[c]), join(of.within, of.within[at], w.within[c]), join(of.log_after, logs[k], w.log[c]), np.concatenate([never, w.rest[c]]), bounds[k]))
     out = []
     for d in range(n):
         rows = []
         for p in paths[d]:
-            found = lattices.piece[p.states, p.arcs].astype(np.int32)
+            found = lattices.piece[p.arcs]
             if (found < 0).any():
                 lost = np.flatnonzero(found < 0)
-                spelt = [[v.byte_id[b] for b in chr(x).encode("utf-8", "surrogatepass")] for x in lattices.points[p.states[lost]].tolist()]
+                spelt = [[v.byte_id[b] for b in chr(x).encode("utf-8", "surrogatepass")] for x in (-1 - found[lost]).tolist()]
                 pieces = np.split(found, lost)
                 found = np.concatenate([pieces[0], *[x for one, rest in zip(spelt, pieces[1:], strict=True) for x in (one, rest[1:])]])
             gap = p.log - kappa[d]
