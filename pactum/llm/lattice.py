@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 BLANK = "▁"
 WORD = re.compile(" *[^ ]+| +")
 #: Characters that are handled at once, about, and states and arcs of words that a worker remembers.
-SLICE_CHARS, STATES, ARCS = 300_000, 1_200_000, 3_600_000
+SLICE_CHARS, STATES, ARCS = 200_000, 600_000, 1_300_000
 #: Leading bits of a hash that address the table of begins of pieces.
 SLOT_BITS = 20
 #: Where an arc leaves less than this to its state's others, what it leaves is summed from them.
