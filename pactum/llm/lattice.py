@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 BLANK = "▁"
 WORD = re.compile(" *[^ ]+| +")
 #: Characters that are handled at once, about, and states and arcs of words that a worker remembers.
-SLICE_CHARS, STATES, ARCS = 200_000, 600_000, 1_300_000
+SLICE_CHARS, STATES, ARCS = 200_000, 1_600_000, 3_400_000
 #: Leading bits of a hash that address the table of begins of pieces.
 SLOT_BITS = 20
 #: Where an arc leaves less than this to its state's others, what it leaves is summed from them.
@@ -150,10 +150,11 @@ def words_of(text: str) -> list[str]:
 class Lattices:
     """The lattices of words. A word of n characters has n + 1 states; those of its end have no arcs.
 
-    first: each known word's first state. start[state], count[state]: a state's arcs,
-    longest first. chance[arc]: the probability that a path at the state takes this arc
-    or one before it; log[arc]: the log probability of this one; others[arc]: that of
-    its state's others; target[arc]: the state that it leads to; piece[arc]: its piece,
+    start[state], count[state]: a state's arcs, longest first; a state is known by the
+    first of them. first: that of each known word's first state. chance[arc]: the
+    probability that a path at the state takes this arc or one before it; log[arc]: the
+    log probability of this one, and that of its state's others; target[arc]: the first
+    arc of the state that it leads to, or -1 at the word's end; piece[arc]: its piece,
     or -1 - c for a character c that becomes several bytes. When the room is used up,
     all words are forgotten, and those in use are built again.
     """
@@ -166,8 +167,8 @@ class Lattices:
         self.first: dict[str, int] = {}
         self.used, self.used_arcs = 0, 0
         self.start, self.count = np.zeros(states, np.int32), np.zeros(states, np.uint8)
-        self.chance, self.others = np.empty(arcs, np.float32), np.empty(arcs, np.float32)
-        self.log, self.target, self.piece = np.empty(arcs), np.empty(arcs, np.int32), np.empty(arcs, np.int32)
+        self.chance, self.log = np.empty(arcs, np.float32), np.empty((arcs, 2))
+        self.target, self.piece = np.empty(arcs, np.int32), np.empty(arcs, np.int32)
 
     def learn(self, words: list[str]) -> None:
         """Build what is missing of the words."""
@@ -260,11 +261,12 @@ class Lattices:
         others[alone] = 0.0
         log[alone] = 0.0
         with np.errstate(divide="ignore"):
-            self.others[arcs] = np.log(others)
-        self.chance[arcs], self.log[arcs], self.target[arcs] = chance, np.minimum(log, 0.0), target + self.used
+            self.log[arcs, 0], self.log[arcs, 1] = np.minimum(log, 0.0), np.log(others)
+        starts = start + self.used_arcs
+        self.chance[arcs], self.target[arcs] = chance, np.where(target < at, -1, starts[target])
         states = slice(self.used, self.used + n)
-        self.start[states], self.count[states] = start + self.used_arcs, count
-        self.first.update(zip(words, (number[begin] + self.used).tolist(), strict=True))
+        self.start[states], self.count[states] = starts, count
+        self.first.update(zip(words, starts[number[begin]].tolist(), strict=True))
         self.used, self.used_arcs = self.used + n, self.used_arcs + total
         return True
 
@@ -286,6 +288,9 @@ def _times(r: int, odd: int) -> np.uint64:
     return _U(r * odd & (1 << 64) - 1)
 
 
+STEP = _U(0x9E3779B97F4A7C15)
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     """The finishing steps of a 64-bit hash (splitmix64's constants)."""
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
@@ -307,7 +312,7 @@ def _gumbel_below(mu, bound, u):
 class _Walk:
     """Paths for many starts at once: for each, from its first state through the rest of its words.
 
-    state: the first state of each part (a word, or the rest of one), step: the steps
+    state: the first arc of the first state of each part (a word, or the rest of one, or -1), step: the steps
     that its path has taken in the word before; owner: the number of the start that a
     part belongs to, ascending; salt: what the random numbers of a part are hashed from.
     """
@@ -315,21 +320,21 @@ class _Walk:
     def __init__(self, lattices: Lattices, state, step, owner, salt, n_owners: int):
         n = len(state)
         steps = []
-        active, now, k = np.arange(n), state.copy(), step.astype(np.uint64)
+        active, now, x = np.arange(n), state.copy(), salt + step.astype(np.uint64) * STEP
         while True:
-            going = lattices.count[now] > 0
+            going = now >= 0
             if not going.all():
-                active, now, k = active[going], now[going], k[going]
+                active, now, x = active[going], now[going], x[going]
             if not len(active):
                 break
-            u = _uniform(salt[active] + k * _U(0x9E3779B97F4A7C15)).astype(np.float32)
-            arc = lattices.start[now]
-            short = np.flatnonzero(lattices.chance[arc] < u)
+            u = (_mixed(x) >> _U(40)).astype(np.float32) * np.float32(2.0**-24)
+            short = np.flatnonzero(lattices.chance[now] < u)
             while len(short):
-                arc[short] += 1
-                short = short[lattices.chance[arc[short]] < u[short]]
-            steps.append((active, arc))
-            now, k = lattices.target[arc], k + _U(1)
+                now[short] += 1
+                short = short[lattices.chance[now[short]] < u[short]]
+            steps.append((active, now))
+            now = lattices.target[now]
+            x = x + STEP
         count = np.zeros(n, np.int64)
         for a, _ in steps:
             count[a] += 1
@@ -338,10 +343,11 @@ class _Walk:
         self.arc, self.part = np.empty(size, np.int32), np.repeat(np.arange(n), count)
         for j, (a, arc) in enumerate(steps):
             self.arc[begin[a] + j] = arc
-        self.logs, self.others = lattices.log[self.arc], lattices.others[self.arc]
+        both = lattices.log[self.arc]
+        self.logs, self.others = both[:, 0], both[:, 1]
         self.within = np.arange(size) + (step - begin)[self.part]
         self.begin = np.searchsorted(owner[self.part], np.arange(n_owners + 1)) if size else np.zeros(n_owners + 1, np.int64)
-        self.x = salt[self.part] + self.within.astype(np.uint64) * _U(0x9E3779B97F4A7C15)
+        self.x = salt[self.part] + self.within.astype(np.uint64) * STEP
 
     def scores(self, start_log: np.ndarray, bound: np.ndarray) -> None:
         """log: the log probability after each arc; rest: the perturbed maximum of what leaves the path at it."""
@@ -376,12 +382,12 @@ def sample_texts(keys: list[int], texts: list[str | None], v: Vocabulary, s: Sam
     n = len(texts)
 
     def walk(r: int, starts: list[tuple[int, int, int, int]], logs, bounds) -> list[_Walk]:
-        """starts: (document, word, state in it or -1 for its first, steps before)."""
+        """starts: (document, word, state in it, steps before: 0 at the word's begin)."""
         state, step, owner, word, salt = [], [], [], [], []
         for k, (doc, w, at, before) in enumerate(starts):
             own = firsts[doc][w:].copy()
             taken = np.zeros(len(own), np.int64)
-            if at >= 0 and len(own):
+            if before and len(own):
                 own[0], taken[0] = at, before
             state.append(own)
             step.append(taken)
@@ -417,14 +423,14 @@ def sample_texts(keys: list[int], texts: list[str | None], v: Vocabulary, s: Sam
                 continue
             state = lattices.state_of(int(of.arcs[at]))
             first = int(lattices.start[state])
-            row = np.exp(lattices.log[first : first + int(lattices.count[state])])
+            row = np.exp(lattices.log[first : first + int(lattices.count[state]), 0])
             gone = of.taken.setdefault(at, [int(of.arcs[at]) - first])
             row[gone] = 0.0
             u = float(_uniform(seeds[d : d + 1] + _times(r, 0x8CB92BA72F3D8DD7))[0])
             upto = np.cumsum(row)
             place = int((upto < u * upto[-1]).sum())
             gone.append(place)
-            arc, chosen = first + place, float(lattices.log[first + place])
+            arc, chosen = first + place, float(lattices.log[first + place, 0])
             row[place] = 0.0
             before = float(of.log_after[at - 1]) if at else 0.0
             u2 = float(_uniform(seeds[d : d + 1] + _times(r, 0xC2B2AE3D27D4EB4F))[0])
