@@ -54,7 +54,7 @@ class Tree:
     queries, and a query once for each `largest_shard` vectors that it is not kept from.
     """
 
-    page: int = 64
+    page: int = 256
     shard: int = 4096
     block: int = 4096
     largest_shard: int = 1 << 17
@@ -83,9 +83,13 @@ def _square(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
 
 
-def exact_scores(v: np.ndarray, q: np.ndarray) -> list[int]:
+def _greatest(v: np.ndarray) -> float:
+    return float(np.abs(v.astype(np.float64)).max(initial=0))
+
+
+def exact_scores(v: np.ndarray, q: np.ndarray, fits: bool) -> list[int]:
     """Inner products of rows with q: in 64 bits where they are sure to fit, else in integers of any size, cut to 64 bits."""
-    if v.shape[1] * float(np.abs(v.astype(np.float64)).max(initial=0)) * float(np.abs(q.astype(np.float64)).max(initial=0)) < 2.0**62:
+    if fits:
         return (v @ q).tolist()
     big = [int(x) for x in q]
     return [min(HIGHEST, max(LOWEST, sum(int(a) * b for a, b in zip(row, big, strict=True)))) for row in v.tolist()]
@@ -115,6 +119,7 @@ class MTree:
     def _place(self) -> None:
         real = self.v.astype(np.float64)
         self.points = np.column_stack([real, np.sqrt(np.maximum(0.0, self.squared_length - (real**2).sum(axis=1)))])
+        self.greatest = _greatest(self.v)
         self.distances = 0  # worked out in searches
 
     def __getstate__(self) -> tuple:
@@ -153,6 +158,7 @@ class MTree:
     def search(self, query_id: int, q: np.ndarray, k: int, least: int | None = None) -> list[tuple[int, int]]:
         """The k best (score, id), best first. least: a score below which candidates may be left out."""
         q = np.concatenate([q, np.zeros(self.v.shape[1], np.int64)])[: self.v.shape[1]]
+        fits = len(q) * self.greatest * _greatest(q) < 2.0**62
         point = np.append(q.astype(np.float64), 0.0)
         at_once = float((point**2).sum()) + self.squared_length
         slack = SLACK * np.sqrt(at_once)
@@ -169,7 +175,7 @@ class MTree:
             self.distances += len(near)
             rows = page.entries[near]
             if page.children is None:
-                for score, i in zip(exact_scores(self.v[rows], q), self.ids[rows].tolist(), strict=True):
+                for score, i in zip(exact_scores(self.v[rows], q, fits), self.ids[rows].tolist(), strict=True):
                     if i == query_id:
                         continue
                     if len(best) < k:
