@@ -225,6 +225,13 @@ def merge(base: dict[str, E | dict], patch: dict[str, E | dict]) -> dict[str, E
     return out
 
 
+def concat(*parts) -> E:
+    """[...a, x]: arrays are spliced, other values become elements."""
+    es = [lift(p) for p in parts]
+    arrays = [e.v if e.kind == "array" else F.array(e.v) for e in es]
+    return es[0]._with(F.concat(*arrays), "array", *es[1:])
+
+
 def spread(*parts: dict[str, E]) -> dict[str, E]:
     """{...a, ...b}: a member given twice is an error of the plan."""
     out: dict[str, E] = {}

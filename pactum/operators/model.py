@@ -34,6 +34,7 @@ class Type:
     nullable: bool = False
     message: str | None = None  # an else clause: in place of the general message
     facts: tuple = ()  # what subsumption knows of it, see pactum.plans.subsume
+    predicates: tuple[str, ...] = ()  # the names of those among the conditions that facts do not tell
 
     def refuses(self, v: Column) -> Column:
         out = F.lit(False) if self.nullable else v.isNull()
@@ -50,7 +51,7 @@ class Type:
 
     def where(self, name: str, predicate: Callable[[E], E]) -> Type:
         """T(p): a predicate that fails or errs refuses the value."""
-        return replace(self, name=f"{self.name}({name})", checks=(*self.checks, lambda v: ~F.coalesce(predicate(E(v, self.kind)).v, F.lit(False))))
+        return replace(self, name=f"{self.name}({name})", predicates=(*self.predicates, name), checks=(*self.checks, lambda v: ~F.coalesce(predicate(E(v, self.kind)).v, F.lit(False))))
 
     def __and__(self, other: Type) -> Type:
         if self.kind != other.kind:
@@ -107,6 +108,25 @@ def map_of(key: Type, value: Type) -> Type:
     return Type(f"{{ [{key.name}]: {value.name} }}", "map", (lambda v: F.exists(F.map_entries(v), lambda e: key.refuses(e["key"]) | value.refuses(e["value"])),), facts=("map", key.facts, value.facts))
 
 
+def generic(name: str, bounds: dict[str, Type | None], build: Callable[..., Type]) -> Callable[..., Type]:
+    """A type with parameters: equal arguments give one type, and an argument must lie within its parameter's bound (E4027). Values are arguments, too."""
+    made: dict[tuple, Type] = {}
+
+    def apply(**args) -> Type:
+        if args.keys() != bounds.keys():
+            raise TypeError(f"E4026: {name} takes {sorted(bounds)}")
+        for n, bound in bounds.items():
+            given = args[n] if isinstance(args[n], Type) else literal(args[n])
+            if bound is not None and not narrows(given, bound):
+                raise TypeError(f"E4027: {given.name} is not within {bound.name}")
+        key = tuple((n, x.name if isinstance(x, Type) else x) for n, x in sorted(args.items()))
+        if key not in made:
+            made[key] = build(**args)
+        return made[key]
+
+    return apply
+
+
 def one_of(subject: Column, arms: dict[object, Column], default: Column | None = None) -> Column:
     """A discriminated union's routing: by the subject's literal, the arm's condition; no arm refuses."""
     out = F.lit(True) if default is None else default
@@ -131,12 +151,24 @@ class Member:
 
 @dataclass(frozen=True)
 class Assert:
+    """A constraint. What its message or its template's arguments read is worked out only where it fails."""
+
     name: str
     holds: Callable[[dict[str, E]], E]
     message: object = None  # text, or a function of the members giving an expression
     severity: str = "error"
     when: Callable[[dict[str, E]], E] | None = None
-    template: str | None = None
+    template: Diagnostic | None = None  # in place of message and severity
+    args: Callable[[dict[str, E]], Sequence] = lambda m: ()
+
+
+@dataclass(frozen=True)
+class Diagnostic:
+    """A declared diagnostic: its severity, and a text of which only its parameters are in scope."""
+
+    name: str
+    text: Callable[..., E]
+    severity: str = "error"
 
 
 REPORT = T.StructType([T.StructField(n, T.StringType()) for n in ("code", "id", "severity", "message", "path")])
@@ -151,11 +183,16 @@ class Record:
     doc: dict = field(default_factory=dict)
 
     def extend(self, name: str, members: dict[str, Member] | None = None, asserts: Sequence[Assert] = ()) -> Record:
-        """P { … }: members are narrowed or added; a kind may only become stricter."""
+        """P { … }: members are narrowed or added; a kind may only become stricter, and a type must lie below the one that it narrows."""
         order = ["optional", "defaulted", "required", "derived", "hidden"]
         for m, new in (members or {}).items():
-            if m in self.members and order.index(new.kind) < order.index(self.members[m].kind):
-                raise TypeError(f"E4032: {name}.{m} weakens {self.members[m].kind} to {new.kind}")
+            if m not in self.members:
+                continue
+            old = self.members[m]
+            if order.index(new.kind) < order.index(old.kind):
+                raise TypeError(f"E4032: {name}.{m} weakens {old.kind} to {new.kind}")
+            if old.type is not None and (new.type is None or not narrows(new.type, old.type)):
+                raise TypeError(f"E4031: {name}.{m}: {new.type.name if new.type else 'any'} is not within {old.type.name}")
         return Record(name, {**self.members, **(members or {})}, (*self.asserts, *asserts), self.open)
 
     def __and__(self, other: Record) -> Record:
@@ -171,33 +208,56 @@ class Record:
 
     def order(self) -> list[str]:
         """Members after what they read; a cycle is E4113."""
-        probe = {n: E(F.col(n), m.type.kind if m.type else "any", reads=frozenset({n})) for n, m in self.members.items()}
-        needs = {n: set() if m.expr is None else _reads(m.expr, probe) & self.members.keys() for n, m in self.members.items()}
-        done: list[str] = []
-        path: list[str] = []
+        return list(self.needs())
 
-        def visit(n: str) -> None:
-            if n in done:
-                return
-            if n in path:
-                raise ValueError(f"E4113: {' -> '.join([*path[path.index(n):], n])}")
-            path.append(n)
-            for other in sorted(needs[n]):
-                visit(other)
-            path.pop()
-            done.append(n)
+    def needs(self) -> dict[str, set[str]]:
+        """What each member reads, members after what they read.
 
+        A member is worked out when another one asks for it, so all that it reads is found, whatever it does with it.
+        """
+        done: dict[str, set[str]] = {}
+        path: list[str] = []
+        reads: dict[str, set[str]] = {n: set() for n in self.members}
+        record = self
+
+        class Asked(dict):
+            def __getitem__(self, n: str) -> E:
+                if path and n in record.members:
+                    reads[path[-1]].add(n)
+                return super().__getitem__(n)
+
+            def __missing__(self, n: str) -> E:
+                if n not in record.members:
+                    raise KeyError(n)
+                if n in path:
+                    raise ValueError(f"E4113: {' -> '.join([*path[path.index(n) :], n])}")
+                path.append(n)
+                m = record.members[n]
+                kind, dim = m.type.kind if m.type else "any", ()
+                if m.expr is not None:
+                    e = lift(m.expr(self))
+                    kind, dim = e.kind if kind == "any" else kind, e.dim
+                path.pop()
+                done[n] = reads[n]
+                self[n] = E(F.col(f"`{n}`"), kind, F.lit(False) if m.kind == "optional" else None, None, (), dim, frozenset({n}))
+                return self[n]
+
+        asked = Asked(self._scope())
         for n in self.members:
-            visit(n)
+            asked[n]
         return done
 
+    def _scope(self) -> dict[str, E]:
+        """Names that members may read beside each other: text that stands for the place of the instance."""
+        return {n: E(F.lit(""), "string") for n in ("$path", "$key")}
+
     def compile(self, df: DataFrame, path: Column) -> tuple[DataFrame, dict[str, E], list[Column]]:
         """df with a column for each member that is worked out, the members' expressions, and the reports of binding and evaluation.
 
         A member that others read is a column of its own, so that its expression is worked out once.
         """
         columns = df.columns
-        values: dict[str, E] = {}
+        values: dict[str, E] = {"$path": E(path, "string")}
         reports: list[Column] = []
         own = lambda n: F.concat(path, F.lit(f".{n}"))
 
@@ -252,6 +312,20 @@ class Record:
         df, values, _ = self.compile(df, path)
         return df.select(*keep, *[values[n].v.alias(n) for n, m in self.members.items() if m.kind != "hidden"])
 
+    def update(self, df: DataFrame, changes: dict[str, object], path: Column, keep: Sequence[str] = ()) -> DataFrame:
+        """base with { … }: the instances of df with settable members replaced; derived and hidden ones are worked out again.
+
+        changes: for each member a value, or a function of the base's members.
+        """
+        settable = [n for n, m in self.members.items() if m.kind in ("required", "optional", "defaulted")]
+        if wrong := sorted(changes.keys() - set(settable)):
+            raise TypeError(f"E4034: {wrong} cannot be set")
+        done, values, _ = self.compile(df, path)
+        new = {n: lift(f(values) if callable(f) else f) for n, f in changes.items()}
+        base = done.select(*keep, path.alias("_path"), *[new.get(n, values[n]).v.alias(n) for n in settable])
+        plain = replace(self, members={n: replace(m, supplied=None, is_absent=None) for n, m in self.members.items()})
+        return plain.evaluate(base, F.col("_path"), keep)
+
     def diagnostics(self, df: DataFrame, path: Column, unknown: Column | None = None, keep: Sequence[str] = ()) -> DataFrame:
         """A row for each report. unknown: an array of undeclared member names, refused by a closed record."""
         df, values, reports = self.compile(df, path)
@@ -262,9 +336,13 @@ class Record:
             ready = F.lit(True)
             if guard is not None:
                 ready = ~guard.is_bad & F.coalesce(guard.v, F.lit(False))
-            text = a.message(values).v if callable(a.message) else F.lit(a.message or f"{a.name} does not hold")
+            severity = a.template.severity if a.template else a.severity
+            if a.template:
+                text = a.template.text(*[lift(x) for x in a.args(values)]).v
+            else:
+                text = a.message(values).v if callable(a.message) else F.lit(a.message or f"{a.name} does not hold")
             entry = lambda code, t, sev: F.struct(F.lit(code).alias("code"), F.lit(f"{self.name}.{a.name}").alias("id"), F.lit(sev).alias("severity"), t.alias("message"), path.alias("path"))  # noqa: B023, E731
-            reports.append(F.when(F.coalesce(ready & fires, F.lit(False)), entry(CODES[a.severity], text, a.severity)))
+            reports.append(F.when(F.coalesce(ready & fires, F.lit(False)), entry(CODES[severity], text, severity)))
             if cond.errors:
                 reports.append(F.coalesce(*[F.when(F.coalesce(ready & x.when, F.lit(False)), entry(x.code, x.message, "error").cast(REPORT)) for x in cond.errors]))
         found = F.filter(F.array(*[r.cast(REPORT) for r in reports]), lambda r: r.isNotNull())
@@ -274,19 +352,13 @@ class Record:
         return df.select(*keep, F.posexplode(found).alias("seq", "r")).select(*keep, "r.*", "seq")
 
 
-def _reads(expr: Callable, probe: dict[str, E]) -> frozenset[str]:
-    seen: set[str] = set()
+def narrows(new: Type, old: Type) -> bool:
+    """Whether every value of new is one of old, by their facts; where those do not tell, by kind and by the checks that new has kept."""
+    from pactum.plans import subsume
 
-    class Watched(dict):
-        def __getitem__(self, n):
-            seen.add(n)
-            return super().__getitem__(n)
-
-    try:
-        expr(Watched(probe))
-    except TypeError:  # kinds are only known once the members it reads have been compiled
-        pass
-    return frozenset(seen)
+    if new.facts and old.facts:
+        return subsume.subsumes(new.facts, old.facts) and set(old.predicates) <= set(new.predicates)
+    return new.kind == old.kind and (new.nullable <= old.nullable) and set(old.checks) <= set(new.checks)
 
 
 def in_order(diagnostics: DataFrame) -> DataFrame:
@@ -296,4 +368,25 @@ def in_order(diagnostics: DataFrame) -> DataFrame:
     return diagnostics.orderBy(path_key(F.col("path")), F.col("id").asc_nulls_first(), "seq")
 
 
-__all__ = ["Assert", "Member", "Range", "Record", "Type", "array", "in_order", "interpolate", "literal", "map_of", "one_of", "pattern", "prim", "rng", "template", "width"]
+def numbered(diagnostics: DataFrame, name: str = "n") -> DataFrame:
+    """Reports in order, with their place from 1 on: ranges are sorted side by side, and each adds the number of reports in those before it."""
+    from pactum.storage import materialize
+
+    local = in_order(diagnostics).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    done = materialize(local, "reports")
+    sizes = sorted((r._part, r["count"]) for r in done.groupBy("_part").count().collect())  # one for each range
+    starts, total = [], 0
+    for part, n in sizes:
+        starts.append((part, total))
+        total += n
+    before = done.sparkSession.createDataFrame(starts, "_part int, _before long")
+    return done.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")
+
+
+def unique(df: DataFrame, by: Sequence[str], id_: str, path: Column) -> DataFrame:
+    """A report for each value of `by` that several rows have: by, n, code, id, severity, message and the path that stands first."""
+    found = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(path).alias("path")).filter("n > 1")
+    return found.withColumns({"code": F.lit("E6001"), "id": F.lit(id_), "severity": F.lit("error"), "message": F.concat(F.col("n").cast("string"), F.lit(f" values of {', '.join(by)}"))})
+
+
+__all__ = ["Assert", "Diagnostic", "Member", "Range", "Record", "Type", "array", "generic", "in_order", "interpolate", "literal", "map_of", "narrows", "numbered", "one_of", "pattern", "prim", "rng", "template", "unique", "width"]

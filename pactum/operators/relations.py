@@ -71,6 +71,31 @@ def settle(start: DataFrame, step: Callable[[DataFrame], DataFrame], most: int =
     return now, most, "E5009"
 
 
+def grow(start: DataFrame, step: Callable[[DataFrame], DataFrame], key: str, most: int | None = None) -> tuple[DataFrame, int, str | None]:
+    """Rows that follow from start, a round at a time, each key once: where it is found first.
+
+    step gives what follows from the rows that the last round added; only those are
+    looked at again. Gives all rows, the number of rounds, and E5009 if rows are still
+    added after `most` rounds.
+    """
+    new = materialize(start, "round")
+    rounds, found = 0, [new]
+    while most is None or rounds < most:
+        known = found[0].select(key)
+        for part in found[1:]:
+            known = known.unionByName(part.select(key))
+        new = materialize(step(new).dropDuplicates([key]).join(known, key, "left_anti").select(*start.columns), "round")
+        if not new.limit(1).count():
+            break
+        rounds += 1
+        found.append(new)
+    every = found[0]
+    for part in found[1:]:
+        every = every.unionByName(part)
+    still = most is not None and rounds == most and step(new).join(every.select(key), key, "left_anti").limit(1).count() > 0
+    return every, rounds, "E5009" if still else None
+
+
 def on_cycles(waits: DataFrame, place: str, ref: str) -> DataFrame:
     """The places that are reached again from themselves, where each place refers to one other at most.
 

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from pactum.functions import std
 from pactum.functions import units as U
 from pactum.operators import model as M
+from pactum.operators import nested as N
 from pactum.operators import paths
 from pactum.plans import emit
-from pactum.plans.expr import E, col, lift, template
+from pactum.plans.expr import E, col, float_text, lift, template
 from pactum.queries.registry import query
 from pactum.sources import jsondoc
 
@@ -91,29 +92,35 @@ def props(t) -> DataFrame:
     return jsondoc.nodes(t.events, "props", ["event_id"], "props")
 
 
-@query("typ_record_closed", "SELECT event_id, 'E4003' AS code, 'props.k' AS path FROM events WHERE event_id % 10 = 3")
+@query("typ_record_closed", "SELECT event_id, 'E4003' AS code, 'props.' || key AS path FROM (SELECT event_id, unnest(json_keys(props)) AS key FROM events) WHERE key <> 'j'")
 def _(t):
-    names = F.when(F.col("event_id") % 10 == 3, F.array(F.lit("j"), F.lit("k"))).otherwise(F.array(F.lit("j")))
     r = M.Record("Props", {"j": M.Member("optional", M.prim("int"))})
-    return r.diagnostics(t.events, F.lit("props"), unknown=names, keep=["event_id"]).select("event_id", "code", "path")
+    return N.reports(N.bind_text(t.events, "props", r, "props"), ["event_id"]).select("event_id", "code", "path")
 
 
-@query("typ_record_open", "SELECT event_id, props AS extras FROM events")
+@query("typ_record_open", "SELECT event_id, replace(props, ' ', '') AS extras, FALSE AS bad FROM events")
 def _(t):
-    text = F.concat(F.lit('{"'), F.col("key"), F.lit('": '), F.col("lexeme"), F.lit("}"))
-    return props(t).filter("parent = 'props'").select("event_id", text.alias("extras"))
+    r = M.Record("Props", {"j": M.Member("optional", M.prim("int"))}, open=True)
+    return N.bind_text(t.events, "props", r).select("event_id", F.to_json("bound.value.extras").alias("extras"), F.col("bound.bad").alias("bad"))
 
 
 @query("typ_union_kind", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_size > 40 ELSE length(p_name) > 20 END AS refused FROM part")
 def _(t):
-    return t.part.select("p_partkey", M.one_of(F.when(F.col("p_size") % 2 == 0, "int").otherwise("string"), {"int": M.rng(0, 40).refuses(F.col("p_size")), "string": M.pattern(".{0,20}").refuses(F.col("p_name"))}).alias("refused"))
+    either = F.when(F.col("p_size") % 2 == 0, F.col("p_size").cast("string")).otherwise(emit.json_string(F.col("p_name")))
+    docs = t.part.select("p_partkey", either.alias("doc"))
+    return N.bind_text(docs, "doc", N.Union((N.Value(M.rng(0, 40)), N.Value(M.pattern(".{0,20}"))))).select("p_partkey", F.col("bound.bad").alias("refused"))
+
+
+def event_arm(kind: str, value: M.Type) -> M.Record:
+    return M.Record(kind, {"kind": M.Member("required", M.literal(kind)), "value": M.Member("required", value)})
 
 
 @query("typ_union_discriminated", "SELECT event_id, CASE event_type WHEN 'purchase' THEN value < 50 WHEN 'click' THEN value > 90 ELSE event_type NOT IN ('view', 'signup') END AS refused FROM events")
 def _(t):
-    value = F.col("value")
-    arms = {"purchase": value < 50, "click": value > 90, "view": F.lit(False), "signup": F.lit(False)}
-    return t.events.select("event_id", M.one_of(F.col("event_type"), arms).alias("refused"))
+    quiet = N.Union((event_arm("view", M.prim("float")), event_arm("signup", M.prim("float"))), "Quiet")
+    event = N.Union((event_arm("purchase", M.rng(50.0, 1e300, kind="float")), event_arm("click", M.rng(-1e300, 90.0, kind="float")), quiet), "Event")
+    docs = t.events.select("event_id", emit.canonical({"kind": col("event_type", "string"), "value": col("value", "float")}).alias("doc"))
+    return N.bind_text(docs, "doc", event).select("event_id", F.col("bound.bad").alias("refused"))
 
 
 @query("typ_intersection", "SELECT p_partkey FROM part WHERE p_size NOT BETWEEN 5 AND 40 OR p_size NOT IN (1, 6, 12, 18, 45)")
@@ -130,10 +137,12 @@ def _(t):
     return small.diagnostics(t.part, PART(), keep=["p_partkey"]).select("p_partkey", "code", "path")
 
 
+BOUNDED = M.generic("Bounded", {"element": M.prim("int"), "n": M.rng(0, 100)}, lambda element, n: M.array(element & M.rng(0, n), 1, 2))
+
+
 @query("typ_generic", "SELECT p_partkey FROM part WHERE p_size > 30")
 def _(t):
-    bounded = lambda element, n: element & M.rng(0, n)
-    return refused(t.part, "p_partkey", "p_size", bounded(M.prim("int"), 30))
+    return refused(t.part, "p_partkey", F.array("p_size"), BOUNDED(element=M.prim("int"), n=30))
 
 
 @query("typ_quantity_bind", "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN CAST(p_size AS DOUBLE) * 0.001::DOUBLE WHEN 1 THEN CAST(p_size AS DOUBLE) END AS v, CASE WHEN p_size % 3 = 2 THEN 'E4001' END AS code FROM part")
@@ -143,35 +152,31 @@ def _(t):
     return t.part.select("p_partkey", q.v.alias("v"), q.code.alias("code"))
 
 
-@query("typ_ref_bind", "SELECT o_orderkey, CASE WHEN o_custkey % 7 = 0 THEN 'E6002' END AS code FROM orders")
+@query("typ_ref_bind", "SELECT o_orderkey, CASE WHEN o_custkey % 11 = 0 OR o_custkey % 7 = 0 THEN 'E6002' END AS code FROM orders")
 def _(t):
     from pactum.operators import relations
 
+    order = M.Record("Order", {"customer": M.Member("required", N.Ref(("doc.customers",)))})
+    text = F.concat(F.lit('{"customer":"$.customers['), F.when(F.col("o_custkey") % 11 == 0, F.lit("x")).otherwise(F.col("o_custkey").cast("string")), F.lit(']"}'))
+    bound = N.bind_text(t.orders.select("o_orderkey", text.alias("doc")), "doc", order)
     there = t.customer.filter("c_custkey % 7 <> 0").select(paths.index(F.lit("doc.customers"), F.col("c_custkey")).alias("path"))
-    refs = t.orders.withColumn("ref", paths.index(F.lit("doc.customers"), F.col("o_custkey")))
-    return relations.deref(refs, "ref", there, "path").select("o_orderkey", F.when(F.col("path").isNull(), "E6002").alias("code"))
+    refs = bound.select("o_orderkey", F.col("bound.value.customer").alias("ref"), F.get("bound.reports", 0)["code"].alias("own"))
+    return relations.deref(refs, "ref", there, "path").select("o_orderkey", F.coalesce("own", F.when(F.col("path").isNull(), "E6002")).alias("code"))
 
 
 TREE = """
 WITH RECURSIVE t(id, depth) AS (
   SELECT p_partkey, 0 FROM part WHERE p_partkey = 1
-  UNION ALL SELECT p_partkey, depth + 1 FROM t JOIN part ON p_partkey // 3 = id AND p_partkey > 1 WHERE depth < 12
+  UNION ALL SELECT p_partkey, depth + 1 FROM t JOIN part ON p_partkey // 3 = id AND p_partkey > 1 
 ) SELECT id, depth::BIGINT AS depth FROM t
 """
 
 
 @query("typ_recursive_tree", TREE)
 def _(t):
-    from pactum.operators import relations
-
-    edges = t.part.filter("p_partkey > 1").select(F.col("p_partkey").alias("child"), F.floor(F.col("p_partkey") / 3).alias("parent"))
-    start = t.part.filter("p_partkey = 1").select(F.col("p_partkey").alias("id"), F.lit(0).cast("long").alias("depth"))
-
-    def step(found):
-        below = found.join(edges, found["id"] == edges["parent"]).select(F.col("child").alias("id"), (F.col("depth") + 1).alias("depth"))
-        return found.unionByName(below).distinct()
-
-    return relations.settle(start, step, most=24)[0]
+    nodes = t.part.filter("p_partkey > 1").select(F.col("p_partkey").alias("id"), F.floor(F.col("p_partkey") / 3).alias("parent"))
+    root = t.part.filter("p_partkey = 1").select(F.col("p_partkey").alias("id"), F.lit(0).cast("long").alias("depth"))
+    return N.check_tree(nodes, root, "id", "parent", lambda level: level.select(F.col("child_id").alias("id"), (F.col("depth") + 1).alias("depth")))[0]
 
 
 @query("typ_else_message", "SELECT p_partkey, 'size must be small' AS message FROM part WHERE p_size > 40")
@@ -180,18 +185,19 @@ def _(t):
     return small.diagnostics(t.part, PART(), keep=["p_partkey"]).select("p_partkey", "message")
 
 
-@query("typ_map_to_record", "SELECT p_partkey, p_brand AS brand, p_size::BIGINT AS size, CASE WHEN p_size % 6 = 0 THEN 'E4002' END AS code FROM part WHERE p_size % 6 <> 0 UNION ALL SELECT p_partkey, p_brand, NULL, 'E4002' FROM part WHERE p_size % 6 = 0")
+@query("typ_map_to_record", "SELECT p_partkey, p_brand AS brand, CASE WHEN p_size % 6 <> 0 THEN p_size::BIGINT END AS size, CASE WHEN p_size % 6 = 0 THEN 'E4002' END AS code FROM part")
 def _(t):
+    sized = M.Record("Sized", {"brand": M.Member("required", M.prim("string")), "size": M.Member("required", M.pattern("[0-9]+"))})
     m = F.when(F.col("p_size") % 6 == 0, F.create_map(F.lit("brand"), F.col("p_brand"))).otherwise(F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("size"), F.col("p_size").cast("string")))
-    size = F.try_element_at(m, F.lit("size"))
-    return t.part.select("p_partkey", F.try_element_at(m, F.lit("brand")).alias("brand"), size.cast("bigint").alias("size"), F.when(size.isNull(), "E4002").alias("code"))
+    bound = t.part.withColumn("b", N.bind_map(m, sized, F.lit("doc")))
+    return bound.select("p_partkey", "b.value.brand", F.col("b.value.size").cast("bigint").alias("size"), F.get("b.reports", 0)["code"].alias("code"))
 
 
 @query("typ_record_to_map", "SELECT p_partkey, unnest(['p_brand', 'p_type']) AS key, unnest([p_brand, p_type]) AS value FROM part")
 def _(t):
-    rec = {"p_brand": col("p_brand", "string"), "p_type": col("p_type", "string")}
-    m = F.map_from_arrays(F.array(*[F.lit(k) for k in rec]), F.array(*[e.v for e in rec.values()]))
-    return t.part.select("p_partkey", F.explode(m))
+    r = M.Record("R", {"p_brand": M.Member("required", M.prim("string")), "p_type": M.Member("required", M.prim("string")), "none": M.Member("optional", M.prim("string"))})
+    values = r.evaluate(t.part, PART(), ["p_partkey"]).select("p_partkey", F.struct(*r.members).alias("r"))
+    return values.select("p_partkey", F.explode(N.to_map(F.col("r"), list(r.members))))
 
 
 # -- members -----------------------------------------------------------------------
@@ -250,10 +256,11 @@ def _(t):
     return r.diagnostics(df, PART(), keep=["p_partkey"]).select("p_partkey", "code")
 
 
-@query("mem_hidden", "SELECT p_partkey, p_size::BIGINT * 4 AS four FROM part")
+@query("mem_hidden", "SELECT p_partkey, p_size::BIGINT * 4 AS four, CASE WHEN p_size % 5 <> 0 THEN 'E4006' END AS code FROM part")
 def _(t):
-    r = M.Record("P", {"p_size": M.Member("hidden", None, lambda m: col("p_size", "int") * 2, supplied="_none"), "four": M.Member("derived", None, lambda m: m["p_size"] * 2)})
-    return r.evaluate(t.part, PART(), ["p_partkey"])
+    r = M.Record("P", {"p_size": M.Member("required", M.prim("int")), "size": M.Member("hidden", None, lambda m: m["p_size"] * 2), "four": M.Member("derived", None, lambda m: m["size"] * 2)})
+    found = r.diagnostics(given(t), PART(), keep=["p_partkey"]).select("p_partkey", "code")
+    return r.evaluate(given(t), PART(), ["p_partkey"]).select("p_partkey", "four").join(found, "p_partkey", "left")
 
 
 @query("mem_access", "SELECT p_partkey, p_brand AS brand FROM part")
@@ -289,15 +296,14 @@ def _(t):
 
 @query("mem_array_spread", "SELECT p_partkey, '1,2,' || p_size AS v FROM part")
 def _(t):
-    xs = F.concat(F.array(F.lit(1), F.lit(2)), F.array("p_size"))
-    return t.part.select("p_partkey", F.array_join(F.transform(xs, lambda x: x.cast("string")), ",").alias("v"))
+    xs = std.concat([1, 2], E(F.col("p_size").cast("long"), "int"))
+    return t.part.select("p_partkey", F.array_join(F.transform(xs.v, lambda x: x.cast("string")), ",").alias("v"))
 
 
 @query("mem_with", "SELECT p_partkey, p_size::BIGINT + 100 AS size, (p_size::BIGINT + 100) * 2 AS twice FROM part")
 def _(t):
-    r = M.Record("P", {"size": M.Member("required", M.prim("int")), "twice": M.Member("derived", None, lambda m: m["size"] * 2)})
-    changed = t.part.withColumn("size", F.col("p_size").cast("long") + 100)  # base with { size: size + 100 }
-    return r.evaluate(changed, PART(), ["p_partkey"])
+    r = M.Record("P", {"size": M.Member("required", M.prim("int"), supplied="p_size"), "twice": M.Member("derived", None, lambda m: m["size"] * 2)})
+    return r.update(t.part, {"size": lambda m: m["size"] + 100}, PART(), ["p_partkey"])
 
 
 @query("mem_merge", "SELECT p_partkey, CASE WHEN p_size % 5 <> 0 THEN 'patch' ELSE p_brand END AS brand, p_type AS type, 'z' AS deep FROM part")
@@ -308,20 +314,32 @@ def _(t):
     return t.part.select("p_partkey", out["brand"].v.alias("brand"), out["type"].v.alias("type"), out["in"]["deep"].v.alias("deep"))
 
 
-@query("mem_enclosing_scope", "SELECT l_orderkey, l_linenumber, o_orderpriority FROM lineitem JOIN orders ON o_orderkey = l_orderkey")
-def _(t):
-    from pactum.operators import relations
+def with_lines(t, line: M.Record) -> DataFrame:
+    """Orders as documents with their lines in them, bound, and a row for each line."""
+    member = lambda name, x: F.concat(F.lit(f'"{name}":'), x)
+    one = F.concat(F.lit("{"), F.concat_ws(",", member("number", F.col("l_linenumber").cast("string")), member("price", float_text(F.col("l_extendedprice")))), F.lit("}"))
+    lines = t.lineitem.groupBy("l_orderkey").agg(F.concat_ws(",", F.collect_list(one)).alias("lines"))
+    joined = t.orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    doc = F.concat(F.lit("{"), F.concat_ws(",", member("o_orderpriority", emit.json_string(F.col("o_orderpriority"))), member("total", float_text(F.col("o_totalprice"))), member("lines", F.concat(F.lit("["), F.col("lines"), F.lit("]")))), F.lit("}"))
+    order = M.Record("Order", {"o_orderpriority": M.Member("required", M.prim("string")), "total": M.Member("required", M.prim("float")), "lines": M.Member("required", N.Arr(line, 1))})
+    bound = N.bind_text(joined.select("l_orderkey", doc.alias("doc")), "doc", order)
+    return bound.select("l_orderkey", F.explode("bound.value.lines").alias("line"))
+
 
-    return relations.deref(t.lineitem, "l_orderkey", t.orders, "o_orderkey").select("l_orderkey", "l_linenumber", "o_orderpriority")
+def line_record(**derived) -> M.Record:
+    return M.Record("Line", {"number": M.Member("required", M.prim("int")), "price": M.Member("required", M.prim("float")), **{n: M.Member("derived", None, f) for n, f in derived.items()}})
 
 
-@query("mem_parent", "SELECT l_orderkey, l_linenumber, o_totalprice > l_extendedprice AS below FROM lineitem JOIN orders ON o_orderkey = l_orderkey")
+@query("mem_enclosing_scope", "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, o_orderpriority FROM lineitem JOIN orders ON o_orderkey = l_orderkey")
 def _(t):
-    from pactum.operators import relations
+    rows = with_lines(t, line_record(priority=lambda m: m["o_orderpriority"]))  # the order's, as a line has none
+    return rows.select("l_orderkey", F.col("line.number").alias("l_linenumber"), F.col("line.priority").alias("o_orderpriority"))
+
 
-    parent = t.orders.select(ORDER().alias("path"), "o_totalprice")
-    child = t.lineitem.withColumn("_parent", paths.index(F.lit("doc.orders"), F.col("l_orderkey")))
-    return relations.deref(child, "_parent", parent, "path").select("l_orderkey", "l_linenumber", (F.col("o_totalprice") > F.col("l_extendedprice")).alias("below"))
+@query("mem_parent", "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, o_totalprice > l_extendedprice AS below FROM lineitem JOIN orders ON o_orderkey = l_orderkey")
+def _(t):
+    rows = with_lines(t, line_record(below=lambda m: m["$parent"]["total"] > m["price"]))
+    return rows.select("l_orderkey", F.col("line.number").alias("l_linenumber"), F.col("line.below").alias("below"))
 
 
 @query("mem_key", "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS key FROM orders")
@@ -339,11 +357,57 @@ def _(t):
 # -- sources -----------------------------------------------------------------------
 
 
-@query("src_json_bind", "SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k FROM events")
+@query("src_json_bind", "SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN CAST(props->>'$.k' AS BIGINT) END AS k, CASE WHEN event_id % 7 = 0 THEN 'E6004' END AS code FROM events")
+def _(t):
+    texts = t.events.select("event_id", F.when(F.col("event_id") % 7 == 0, F.concat(F.col("props"), F.lit(","))).otherwise(F.col("props")).alias("doc"))
+    bound = N.bind_text(texts, "doc", M.Record("Props", {"k": M.Member("required", M.prim("int"))}, open=True))
+    return bound.select("event_id", "bound.value.k", F.get("bound.reports", 0)["code"].alias("code"))
+
+
+@query("src_json_nodes", "SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k FROM events")
 def _(t):
     return props(t).filter("parent = 'props' and key = 'k'").select("event_id", jsondoc.typed("int").alias("k"))
 
 
+def machines(t) -> tuple[N.Model, dict[str, DataFrame]]:
+    """Two inputs, parts and suppliers, as documents."""
+    part = M.Record("Part", {"size": M.Member("required", M.rng(1, 45)), "twice": M.Member("derived", None, lambda m: m["size"] * 2)}, [M.Assert("even", lambda m: m["size"] % 2 == 0, severity="info")])
+    supplier = M.Record("Supplier", {"name": M.Member("required", M.prim("string")), "balance": M.Member("defaulted", M.rng(0.0, 1e9, kind="float"), lambda m: 0.0)})
+    model = N.Model({"parts": part, "suppliers": supplier}, {"parts": lambda: paths.index(F.lit("parts"), F.col("id")), "suppliers": lambda: paths.index(F.lit("suppliers"), F.col("id"))})
+    parts = t.part.select(F.col("p_partkey").alias("id"), emit.canonical({"size": col("p_size", "int")}).alias("text"))
+    balance = E(F.col("s_acctbal"), "float", F.col("s_suppkey") % 10 == 0)
+    suppliers = t.supplier.select(F.col("s_suppkey").alias("id"), emit.canonical({"name": col("s_name", "string"), "balance": balance}).alias("text"))
+    return model, {"parts": parts, "suppliers": suppliers}
+
+
+@query("api_evaluate", "SELECT s_suppkey AS id, s_name AS name, CASE WHEN s_suppkey % 10 = 0 THEN 0.0::DOUBLE WHEN s_acctbal >= 0 THEN s_acctbal END AS balance, s_acctbal < 0 AND s_suppkey % 10 <> 0 AS bad FROM supplier")
+def _(t):
+    model, inputs = machines(t)
+    assert model.check() == []
+    return model.evaluate(inputs)[0]["suppliers"].select("id", "value.name", "value.balance", "bad")
+
+
+API_REPORT = """
+SELECT row_number() OVER (ORDER BY root, id, code)::BIGINT AS n, root || '[' || id || ']' || member AS path, code FROM (
+  SELECT 'parts' AS root, p_partkey AS id, '.size' AS member, 'E4001' AS code FROM part WHERE p_size > 45
+  UNION ALL SELECT 'parts', p_partkey, '', 'I6001' FROM part WHERE p_size <= 45 AND p_size % 2 = 1
+  UNION ALL SELECT 'suppliers', s_suppkey, '.balance', 'E4001' FROM supplier WHERE s_acctbal < 0 AND s_suppkey % 10 <> 0
+)
+"""
+
+
+@query("api_validate", API_REPORT)
+def _(t):
+    model, inputs = machines(t)
+    return M.numbered(model.validate(inputs)).select("n", "path", "code")
+
+
+@query("api_render", "SELECT p_partkey AS id, '{\"size\":' || p_size || ',\"twice\":' || (p_size * 2) || '}' AS rendered FROM part WHERE p_size <= 45")
+def _(t):
+    model, inputs = machines(t)
+    return model.render(inputs, "parts").select("id", "rendered")
+
+
 @query("src_table_bind", "SELECT c_custkey, c_name FROM customer WHERE c_acctbal >= 0")
 def _(t):
     r = M.Record("C", {"c_name": M.Member("required", M.prim("string")), "c_acctbal": M.Member("required", M.rng(0.0, 1e9, kind="float"))})
@@ -376,7 +440,7 @@ def _(t):
 # -- sinks -------------------------------------------------------------------------
 
 
-@query("snk_canonical_json", """SELECT p_partkey, '{"name":"' || p_name || '","size":' || p_size || ',"half":' || (p_size // 2) || CASE WHEN p_size % 2 = 1 THEN '.5' ELSE '.0' END || CASE WHEN p_size % 5 <> 0 THEN ',"odd":' || (p_size % 5) ELSE '' END || ',"none":null,"in":{"brand":"' || p_brand || '"}}' AS doc FROM part""")
+@query("snk_canonical_json", """SELECT p_partkey, '{"name":"' || p_name || '","size":' || p_size || ',"half":' || (p_size // 2) || CASE WHEN p_size % 2 = 1 THEN '.5' ELSE '.0' END || CASE WHEN p_size % 5 <> 0 THEN ',"odd":' || (p_size % 5) ELSE '' END || ',"none":null,"in":{"brand":"' || p_brand || '"},"texts":["' || p_type || '","q\\"",null],"floats":[1e+21,0.5,' || p_size || '.0],"map":{"' || p_brand || '":[' || p_size || ']},"record":{"a":' || CASE WHEN p_size > 25 THEN 'true' ELSE 'false' END || '}}' AS doc FROM part""")
 def _(t):
     doc = {
         "name": col("p_name", "string"),
@@ -385,8 +449,12 @@ def _(t):
         "odd": E(F.col("p_size") % 5, "int", FIFTH()),
         "none": lift(None),
         "in": {"brand": col("p_brand", "string")},
+        "texts": E(F.array(F.col("p_type"), F.lit('q"'), F.lit(None)), "array"),
+        "floats": E(F.array(F.lit(1e21), F.lit(0.5), F.col("p_size").cast("double")), "array"),
+        "map": E(F.create_map("p_brand", F.array("p_size")), "map"),
+        "record": E(F.struct((F.col("p_size") > 25).alias("a"), F.lit(None).cast("int").alias("b")), "record"),
     }
-    return t.part.select("p_partkey", emit.canonical(doc).alias("doc"))
+    return t.part.select("p_partkey", emit.canonical(doc, t.part).alias("doc"))
 
 
 @query("snk_fanout_paths", "SELECT p_partkey, p_brand || '/' || p_size || '.json' AS file_path, CASE WHEN count(*) OVER (PARTITION BY p_brand, p_size) > 1 THEN 'E7005' END AS code FROM part")
@@ -396,11 +464,8 @@ def _(t):
 
 @query("snk_diagnostics", "SELECT row_number() OVER (ORDER BY p_partkey)::BIGINT AS n, 'E4001' AS code, 'doc.parts[' || p_partkey || '].p_size' AS path FROM part WHERE p_size > 45")
 def _(t):
-    from pyspark.sql.window import Window
-
     found = M.Record("P", {"p_size": M.Member("required", M.rng(1, 45))}).diagnostics(t.part, PART())
-    ordered = Window.orderBy(paths.path_key(F.col("path")), F.col("id").asc_nulls_first(), "seq")
-    return found.select(F.row_number().over(ordered).cast("long").alias("n"), "code", "path")
+    return M.numbered(found).select("n", "code", "path")
 
 
 @query("snk_settable_projection", "SELECT p_partkey, p_name FROM part")
@@ -497,14 +562,12 @@ def _(t):
     return asserting(t.part, "p_partkey", PART(), a, p_size=M.Member("required", M.prim("int")), p_type=M.Member("required", M.prim("string"))).select("p_partkey", "message")
 
 
-def too_large(size: E, limit: int) -> E:
-    """A diagnostic template: only its parameters are in scope."""
-    return template(size, " exceeds ", limit)
+TOO_LARGE = M.Diagnostic("too_large", lambda size, limit: template(size, " exceeds ", limit), "warn")
 
 
 @query("dia_template", "SELECT p_partkey, p_size || ' exceeds 45' AS message, 'W6001' AS code FROM part WHERE p_size > 45")
 def _(t):
-    a = M.Assert("small", lambda m: m["p_size"] <= 45, lambda m: too_large(m["p_size"], 45), "warn", template="too_large")
+    a = M.Assert("small", lambda m: m["p_size"] <= 45, template=TOO_LARGE, args=lambda m: (m["p_size"], 45))
     return asserting(t.part, "p_partkey", PART(), a, p_size=M.Member("required", M.prim("int"))).select("p_partkey", "message", "code")
 
 
@@ -541,9 +604,9 @@ def _(t):
     return relations.on_cycles(waits, "a", "b").select("a", F.lit("E5007").alias("code"))
 
 
-@query("dia_unique", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+@query("dia_unique", "SELECT l_orderkey, l_linenumber, count(*) AS n, 'E6001' AS code, 'Line.once' AS id FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
 def _(t):
-    return t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return M.unique(t.lineitem, ["l_orderkey", "l_linenumber"], "Line.once", LINE()).select("l_orderkey", "l_linenumber", "n", "code", "id")
 
 
 @query("dia_cross_entity", "SELECT o_orderkey, 'E6001' AS code FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_totalprice > 300000 AND c_acctbal < 0")

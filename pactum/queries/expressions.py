@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pactum.functions import std
 from pactum.functions import units as U
-from pactum.plans.expr import E, Range, col, if_, lift, match, optional, template
+from pactum.plans.expr import E, Range, col, if_, lift, match, template
 from pactum.queries.registry import query
 
 
@@ -298,7 +298,28 @@ def _(t):
 # -- units -------------------------------------------------------------------------
 
 
-@query("unt_catalogue")
+def _catalogue_sql() -> str:
+    """The prefixes' rule in SQL: base and named symbols first, then each with each prefix, then the units of data."""
+    quoted = lambda d: " ".join(f"{x}^{n}" for x, n in d)
+    plain = [(s, quoted(((d, 1),)), 1.0) for s, d in U.BASE.items()] + [("g", "Mass^1", 1e-3)] + [(s, quoted(U.dimension(**p)), 1.0) for s, p in U.NAMED.items()]
+    rows = ", ".join(f"({i}, '{s}', '{d}', {f!r}::DOUBLE)" for i, (s, d, f) in enumerate(plain))
+    prefixes = ", ".join(f"({i}, '{p}', {float(f'1e{n}')!r}::DOUBLE)" for i, (p, n) in enumerate(U.PREFIXES.items()))
+    data = ", ".join(f"('{s}', {f!r}::DOUBLE)" for s, f in (("bit", 1.0), ("B", 8.0)))
+    steps = ", ".join([f"('{p}', {1024.0**n!r}::DOUBLE)" for p, n in U.BINARY.items()] + [f"('{p}', {10.0**n!r}::DOUBLE)" for p, n in U.BYTES.items()] + ["('', 1.0::DOUBLE)"])
+    return f"""
+WITH plain(i, symbol, dimension, factor) AS (VALUES {rows}),
+prefix(j, p, times) AS (VALUES {prefixes}),
+data(symbol, bits) AS (VALUES {data}), step(p, times) AS (VALUES {steps}),
+units AS (
+  SELECT step.p || symbol AS symbol, 'DataSize^1' AS dimension, bits * times AS factor, 0 AS first, 0 AS i, 0 AS j FROM data, step
+  UNION ALL SELECT symbol, dimension, factor, 1, i, 0 FROM plain
+  UNION ALL SELECT p || symbol, dimension, times * factor, 2, i, j FROM plain, prefix WHERE symbol <> 'kg'
+)
+SELECT symbol, dimension, factor FROM units QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY first, i, j) = 1
+"""
+
+
+@query("unt_catalogue", _catalogue_sql())
 def _(t):
     return U.table(t.spark)
 
@@ -312,5 +333,3 @@ def _(t):
 def _(t):
     return part(t, same=U.quantity(SIZE() * 3, "m") == U.quantity(SIZE(), "km"), km=U.in_unit(U.quantity(SIZE(), "km"), "km"))
 
-
-__all__ = ["optional"]

@@ -54,16 +54,14 @@ def _(t):
     return relations.fan_in(t.nation, "n_nationkey", t.customer, "c_nationkey").select("n_nationkey", "n_name", "fan_in")
 
 
-# A customer is reached if it has a large order, or if a reached customer is the one before it in its nation.
+# A customer is reached if it has a large order, or if the customer whose number is a hundredth of its own is reached.
 ROUNDS = """
-WITH RECURSIVE seq AS (
-  SELECT c_custkey, lag(c_custkey) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS prev FROM customer
-), r0 AS (
+WITH RECURSIVE r0 AS (
   SELECT DISTINCT o_custkey AS k FROM orders WHERE o_totalprice > 400000
 ), step(k, n) AS (
   SELECT k, 0 FROM r0
   UNION ALL
-  SELECT c_custkey, n + 1 FROM step JOIN seq ON prev = k WHERE n < 3
+  SELECT c_custkey, n + 1 FROM step JOIN customer ON c_custkey // 100 = k AND c_custkey <> k
 )
 SELECT k, min(n)::BIGINT AS n FROM step GROUP BY 1
 """
@@ -71,18 +69,13 @@ SELECT k, min(n)::BIGINT AS n FROM step GROUP BY 1
 
 @query("rel_rounds_fixpoint", ROUNDS)
 def _(t):
-    from pyspark.sql.window import Window
-
-    seq = t.customer.select(F.col("c_custkey").alias("own"), F.lag("c_custkey").over(Window.partitionBy("c_nationkey").orderBy("c_custkey")).alias("prev"))
+    above = t.customer.select(F.col("c_custkey").alias("own"), F.floor(F.col("c_custkey") / 100).alias("above")).filter("own <> above")
     start = t.orders.filter("o_totalprice > 400000").select(F.col("o_custkey").alias("k")).distinct().withColumn("n", F.lit(0).cast("long"))
-
-    def step(edges):
-        further = edges.filter("n < 3").join(seq, edges["k"] == seq["prev"]).select(F.col("own").alias("k"), (F.col("n") + 1).alias("n"))
-        return edges.unionByName(further).groupBy("k").agg(F.min("n").alias("n"))
-
-    settled, _, code = relations.settle(start, step)
-    assert code is None
-    return settled
+    step = lambda found: found.join(above, found["k"] == above["above"]).select(F.col("own").alias("k"), (F.col("n") + 1).alias("n"))
+    reached, _, code = relations.grow(start, step, "k", relations.MOST_ROUNDS)
+    if code:
+        raise RuntimeError(f"{code}: the relationship still grows after {relations.MOST_ROUNDS} rounds")
+    return reached
 
 
 @query("rel_ref_path", "SELECT o_orderkey, 'doc.customers[' || o_custkey || ']' AS path FROM orders")

@@ -6,12 +6,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Where spark.checkpoint.dir is not set, as in tests.
+#: Where spark.checkpoint.dir is not set and one machine runs all, as in tests.
 OWN = "/tmp/pactum-shared"
 
 
 def shared(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or OWN).rstrip("/")
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (found or OWN).rstrip("/")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
