@@ -2,8 +2,9 @@
 
 Documents, in order of their key, make one stream of token ids. A window is a
 sequence of at most `length` ids; cuts may fall at the ends of documents (free),
-at the ends of sentences (`sentence_penalty`), or, where neither is near, anywhere
-(`hard_penalty`). Over the candidate cuts, with stream positions p, the least cost is
+at the ends of all sentences (`sentence_penalty`), or, where neither is near, anywhere
+(`hard_penalty`). A sentence ends with a line, with a mark before white space, or with
+an ideographic mark. Over the candidate cuts, with stream positions p, the least cost is
 
     f[j] = penalty[j] + min over i of f[i] + padding of the windows from p[i] to p[j]
 
@@ -40,12 +41,11 @@ SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id lon
 
 @dataclass(frozen=True)
 class Packing:
-    """spacing: of sentence ends closer than this, the last counts; shard_bits: bits of sequence_id below the shard's number."""
+    """shard_bits: bits of sequence_id below the shard's number."""
 
     length: int = 2048
     sentence_penalty: int = 4
     hard_penalty: int = 24
-    spacing: int = 64
     buffer: int = 1 << 20
     shard_bits: int = 32
 
@@ -90,12 +90,10 @@ def best_cuts(at: np.ndarray, penalty: np.ndarray, length: int, hard_penalty: in
     return cuts[::-1]
 
 
-def candidates(ids: np.ndarray, doc_ends: np.ndarray, ends: np.ndarray, starts: np.ndarray, k: Packing) -> tuple[np.ndarray, np.ndarray]:
+def candidates(ids: np.ndarray, doc_ends: np.ndarray, ends: np.ndarray, starts: np.ndarray, alone: np.ndarray, k: Packing) -> tuple[np.ndarray, np.ndarray]:
     """Positions where the stream may be cut, and their penalties."""
     total = len(ids)
-    sentence = np.flatnonzero(ends[ids[:-1]] & starts[ids[1:]]) + 1
-    cell = sentence // k.spacing
-    sentence = sentence[np.append(cell[1:] != cell[:-1], True)] if len(sentence) else sentence
+    sentence = np.flatnonzero(ends[ids[:-1]] & starts[ids[1:]] | alone[ids[:-1]]) + 1
     known = np.unique(np.concatenate([[0], sentence, doc_ends, [total]]))
     gaps = np.diff(known)
     wide = np.flatnonzero(gaps > k.length)
@@ -108,23 +106,24 @@ def candidates(ids: np.ndarray, doc_ends: np.ndarray, ends: np.ndarray, starts:
     return at, penalty
 
 
-def sentence_marks(encoder: Encoder) -> tuple[np.ndarray, np.ndarray]:
-    """For each id: whether its text can end a sentence, and whether it can begin what follows one."""
-    ends, starts = np.zeros(encoder.size + 1, bool), np.zeros(encoder.size + 1, bool)
+def sentence_marks(encoder: Encoder) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each id: whether its text can end a sentence, whether it can begin what follows one, and whether it ends one whatever follows."""
+    ends, starts, alone = (np.zeros(encoder.size + 1, bool) for _ in range(3))
     for i in range(encoder.size):
         text = encoder.decode([i])
-        ends[i] = text.endswith("\n") or text.rstrip().endswith((".", "!", "?", "…", "。"))
+        ends[i] = text.endswith("\n") or text.rstrip().endswith((".", "!", "?", "…"))
         starts[i] = text[:1].isspace() or ends[i] and text.startswith("\n")
-    return ends, starts
+        alone[i] = text.endswith(("。", "！", "？"))
+    return ends, starts, alone
 
 
-_marks: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+_marks: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
 
 class _Stream:
     """The ids that are held, and which document each belongs to."""
 
-    def __init__(self, shard: int, k: Packing, marks: tuple[np.ndarray, np.ndarray]):
+    def __init__(self, shard: int, k: Packing, marks: tuple[np.ndarray, np.ndarray, np.ndarray]):
         self.k, self.marks = k, marks
         self.next_sequence = shard << k.shard_bits
         self.parts: list[np.ndarray] = []

@@ -63,7 +63,7 @@ def test_every_id_once_and_little_padding(spark):
     rows = [(i, " ".join("word" if rng.random() < 0.9 else "end." for _ in range(int(rng.integers(0, 900))))) for i in range(600)]
     rows += [(1000, "x1 " * 40_000), (1001, ""), (1002, None), (1003, "One. Two.\nThree!")]
     frame = spark.createDataFrame([(k, t, "") for k, t in rows], SCHEMA)
-    for k in (packing.Packing(), packing.Packing(length=64, buffer=500, spacing=8)):
+    for k in (packing.Packing(), packing.Packing(length=64, buffer=500)):
         pieces = packing.pack(frame, VOCABULARY, packing=k).collect()
         n = check(rows, pieces, k)
         used = sum(r.length for r in pieces)
