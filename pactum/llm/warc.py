@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from pactum.llm.common import new_path
 
 MIN_REVISIT = 1000
+#: The date of records of pages that have none.
+NO_DATE = "1970-01-01T00:00:00Z"
 CRLF = "\r\n"
 
 
@@ -36,7 +38,7 @@ def _with_payload(pages: DataFrame, page_id: str, url: str, html: str) -> DataFr
     )
 
 
-def _header(kind: Column) -> Column:
+def _header(kind: Column, date: str) -> Column:
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
     record = lambda page: F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("none")), F.lit(">"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}"), line("Content-Length", F.col("payload_bytes").cast("string")), F.lit(CRLF))
@@ -45,6 +47,7 @@ def _header(kind: Column) -> Column:
         F.lit(f"WARC/1.1{CRLF}"),
         line("WARC-Type", kind),
         line("WARC-Record-ID", record(F.col("page_id"))),
+        line("WARC-Date", F.lit(date)),
         line("WARC-Target-URI", F.regexp_replace("url", "[\\r\\n]", "")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_sha1"))),
         F.when(kind == "revisit", F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", record(F.col("response_id"))))).otherwise(F.lit("")),
@@ -56,7 +59,7 @@ def _header(kind: Column) -> Column:
     return F.encode(head, "UTF-8")
 
 
-def write(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT, page_id: str = "page_id", url: str = "url", html: str = "html") -> None:
+def write(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT, page_id: str = "page_id", url: str = "url", html: str = "html", date: str = NO_DATE) -> None:
     """Write the archive of pages below path, as the tables `payloads` and `headers`."""
     spark = pages.sparkSession
     rows = _with_payload(pages, page_id, url, html)
@@ -67,7 +70,7 @@ def write(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT, page_id:
     keys = spark.read.parquet(f"{path}/payloads").select("payload_sha256", "payload_bytes", "payload_sha1", "response_id")
     kind = F.when((F.col("payload_bytes") >= min_revisit) & (F.col("page_id").eqNullSafe(F.col("response_id")) == F.lit(False)), F.lit("revisit")).otherwise(F.lit("response"))
     small = rows.drop("payload").join(keys, ["payload_sha256", "payload_bytes"])
-    small.select("page_id", "payload_sha256", "payload_bytes", _header(kind).alias("header")).write.parquet(f"{path}/headers")
+    small.select("page_id", "payload_sha256", "payload_bytes", _header(kind, date).alias("header")).write.parquet(f"{path}/headers")
 
 
 def payloads(spark: SparkSession, path: str) -> DataFrame:
