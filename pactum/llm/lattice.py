@@ -33,6 +33,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,10 @@ SLICE_CHARS, STATES, ARCS = 200_000, 1_600_000, 3_400_000
 SLOT_BITS = 20
 #: Where an arc leaves less than this to its state's others, what it leaves is summed from them.
 SCARCE = 1e-5
+#: A Gumbel variable made from a uniform of 52 bits stays below this above its location (53 log 2 is 36.8).
+MOST_GUMBEL = 37.0
+#: Arcs at the begin of a path whose sets are scored at first; twice as many, and so on, where those may not be enough.
+HEAD = 32
 SCHEMA = "doc_id long, sample int, n_pieces long, log_prob double, score double, inclusion double, ids binary"
 _U = np.uint64
 
@@ -83,9 +88,7 @@ class Vocabulary:
         self.weight_of[ids] = -alpha * np.log1p(rank)
         self._tabulate(used)
         spelt = [bytes([self.byte_of[i]]) if i in self.byte_of else p.replace(BLANK, " ").encode() for i, p in enumerate(self.pieces)]
-        self.sizes = np.fromiter(map(len, spelt), np.int64, self.size)
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        self.spelt = np.frombuffer(b"".join(spelt), np.uint8)
+        self.spelt = pa.array([*spelt, *[b.removeprefix(b" ") for b in spelt]], pa.large_binary())
         self.lattices = Lattices(self)
 
     @classmethod
@@ -134,31 +137,53 @@ class Vocabulary:
         return hit, place
 
     def decode(self, ids: np.ndarray) -> str:
-        """The text of pieces: their bytes, gathered from a table; the first blank is the encoder's own."""
-        size = self.sizes[ids]
-        end = np.cumsum(size)
-        total = int(end[-1]) if len(end) else 0
-        place = np.repeat(self.starts[ids] - (end - size), size) + np.arange(total)
-        return self.spelt[place].tobytes().decode("utf-8", "replace").removeprefix(" ")
+        return self.decode_rows([np.asarray(ids).astype("<u4").tobytes()])[0].as_py()
+
+    def decode_rows(self, rows: list[bytes]) -> pa.Array:
+        """The texts of rows of ids: their pieces' bytes one after the other; a row's first blank is the encoder's own."""
+        sizes = np.fromiter(map(len, rows), np.int64, len(rows)) // 4
+        ends = np.cumsum(sizes)
+        ids = np.frombuffer(b"".join(rows), "<u4").astype(np.int64)
+        ids[(ends - sizes)[sizes > 0]] += self.size  # the same pieces without a blank
+        bytes_ = self.spelt.take(pa.array(ids))
+        offsets = np.frombuffer(bytes_.buffers()[1], np.int64, len(ids) + 1)[np.concatenate([[0], ends])]
+        out = pa.LargeStringArray.from_buffers(len(rows), pa.py_buffer(offsets.tobytes()), bytes_.buffers()[2])
+        try:
+            out.validate(full=True)
+        except pa.ArrowInvalid:  # bytes that are no text; in single rows, as a sequence may end within a row
+            data = bytes_.buffers()[2].to_pybytes()
+            return pa.array([data[a:b].decode("utf-8", "replace") for a, b in zip(offsets, offsets[1:], strict=False)], pa.string())
+        return out.cast(pa.string())
 
 
 def words_of(text: str) -> list[str]:
     """The words, in which a blank stands for the pieces' own character."""
-    return WORD.findall(" " + text.replace(BLANK, " ")) if text else []
+    return [" " + w for w in bare_words(text)]
+
+
+def bare_words(text: str) -> list[str]:
+    """The words without their first blank, which each of them has."""
+    text = text.replace(BLANK, " ")
+    if "  " in text or text[:1] == " " or text[-1:] == " ":
+        return [w[1:] for w in WORD.findall(" " + text)]
+    return text.split(" ") if text else []
 
 
 class Lattices:
-    """The lattices of words. A word of n characters has n + 1 states; those of its end have no arcs.
+    """The lattices of words. A word of n characters, its first blank included, has n + 1 states; those of its end have no arcs.
 
     start[state], count[state]: a state's arcs, longest first; a state is known by the
-    first of them. first: that of each known word's first state. chance[arc]: the
-    probability that a path at the state takes this arc or one before it; log[arc]: the
-    log probability of this one, and that of its state's others; target[arc]: the first
-    arc of the state that it leads to, or -1 at the word's end; piece[arc]: its piece,
-    or -1 - c for a character c that becomes several bytes. When the room is used up,
-    all words are forgotten, and those in use are built again.
+    first of them. first: that of each known word's first state. way[arc]: above 32 bits
+    the probability that a path at the state takes this arc or one before it, in units
+    of 2 to the power of -24, and in 32 bits the first arc of the state that it leads
+    to, or END at the word's end; log[arc]: its log probability; others[arc]: that of
+    its state's others; piece[arc]: its piece, or -1 - c for a character c that becomes
+    several bytes. When the room is used up, all words are forgotten, and those in use
+    are built again.
     """
 
+    END = (1 << 32) - 1
+
     def __init__(self, v: Vocabulary):
         self.v = v
         self._clear(STATES, ARCS)
@@ -167,15 +192,23 @@ class Lattices:
         self.first: dict[str, int] = {}
         self.used, self.used_arcs = 0, 0
         self.start, self.count = np.zeros(states, np.int32), np.zeros(states, np.uint8)
-        self.chance, self.log = np.empty(arcs, np.float32), np.empty((arcs, 2))
-        self.target, self.piece = np.empty(arcs, np.int32), np.empty(arcs, np.int32)
-
-    def learn(self, words: list[str]) -> None:
-        """Build what is missing of the words."""
-        new = [w for w in words if w not in self.first]
-        if new and not self._build(new):
+        self.log, self.others = np.empty(arcs), np.empty(arcs)
+        self.way, self.piece = np.empty(arcs, np.int64), np.empty(arcs, np.int32)
+
+    def firsts(self, words: list[str]) -> np.ndarray:
+        """The first state of each word; those that are not known are built."""
+        known = lambda: np.fromiter(map(self.first.get, words, repeat(-1)), np.int64, len(words))
+        found = known()
+        new = list({words[i] for i in np.flatnonzero(found < 0).tolist()})
+        if not new:
+            return found
+        if not self._build(new):
             self._clear(STATES, ARCS)
-            self._build(words, room_for_all=True)
+            self._build(list(set(words)), room_for_all=True)
+            return known()
+        lost = np.flatnonzero(found < 0)
+        found[lost] = [self.first[words[i]] for i in lost.tolist()]
+        return found
 
     def state_of(self, arc: int) -> int:
         """Starts ascend, and a state without arcs has the start of the next."""
@@ -211,13 +244,13 @@ class Lattices:
 
     def _build(self, words: list[str], room_for_all: bool = False) -> bool:
         """Whether there was room. States are numbered by the characters to the word's end, so that a state's arcs lead to smaller numbers."""
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
         n = int(sizes.sum()) + len(words)
         begin = np.cumsum(sizes + 1) - sizes - 1
         points = np.zeros(n, np.int64)
         inside = np.ones(n, bool)
         inside[begin + sizes] = False
-        points[inside] = np.frombuffer("".join(words).replace(" ", BLANK).encode("utf-32-le", "surrogatepass"), "<u4")
+        points[inside] = np.frombuffer(f" {' '.join(words)}".replace(" ", BLANK).encode("utf-32-le", "surrogatepass"), "<u4")
         left = np.repeat(begin + sizes, sizes + 1) - np.arange(n)
         found = self._arcs(points, left)
         count = np.zeros(n, np.int64)
@@ -261,9 +294,9 @@ class Lattices:
         others[alone] = 0.0
         log[alone] = 0.0
         with np.errstate(divide="ignore"):
-            self.log[arcs, 0], self.log[arcs, 1] = np.minimum(log, 0.0), np.log(others)
+            self.log[arcs], self.others[arcs] = np.minimum(log, 0.0), np.log(others)
         starts = start + self.used_arcs
-        self.chance[arcs], self.target[arcs] = chance, np.where(target < at, -1, starts[target])
+        self.way[arcs] = (chance * (1 << 24)).astype(np.int64) << 32 | np.where(target < at, self.END, starts[target])
         states = slice(self.used, self.used + n)
         self.start[states], self.count[states] = starts, count
         self.first.update(zip(words, starts[number[begin]].tolist(), strict=True))
@@ -312,98 +345,155 @@ def _gumbel_below(mu, bound, u):
 class _Walk:
     """Paths for many starts at once: for each, from its first state through the rest of its words.
 
-    state: the first arc of the first state of each part (a word, or the rest of one, or -1), step: the steps
-    that its path has taken in the word before; owner: the number of the start that a
-    part belongs to, ascending; salt: what the random numbers of a part are hashed from.
+    state: the first arc of the first state of each part (a word, or the rest of one, or END), step: the steps
+    that its path has taken in the word before; begin: each start's first part, and the number of parts;
+    salt: what the random numbers of a part are hashed from; word: each part's place in its text.
+    arc: all paths' arcs, those of a start from cut[start]; total: the log probability of each start's path.
     """
 
-    def __init__(self, lattices: Lattices, state, step, owner, salt, n_owners: int):
+    def __init__(self, lattices: Lattices, state, step, begin, salt, word):
         n = len(state)
         steps = []
-        active, now, x = np.arange(n), state.copy(), salt + step.astype(np.uint64) * STEP
+        active, now, x = np.arange(n), state, salt + step.astype(np.uint64) * STEP
+        going = now != lattices.END
         while True:
-            going = now >= 0
             if not going.all():
                 active, now, x = active[going], now[going], x[going]
             if not len(active):
                 break
-            u = (_mixed(x) >> _U(40)).astype(np.float32) * np.float32(2.0**-24)
-            short = np.flatnonzero(lattices.chance[now] < u)
-            while len(short):
-                now[short] += 1
-                short = short[lattices.chance[now[short]] < u[short]]
+            u = (_mixed(x) >> _U(40)).view(np.int64)
+            way = lattices.way[now]
+            short = np.flatnonzero(way >> 32 < u)
+            if len(short):
+                now = now.copy()
+                while len(short):
+                    now[short] += 1
+                    found = lattices.way[now[short]]
+                    way[short] = found
+                    short = short[found >> 32 < u[short]]
             steps.append((active, now))
-            now = lattices.target[now]
+            now = way & lattices.END
+            going = now != lattices.END
             x = x + STEP
         count = np.zeros(n, np.int64)
         for a, _ in steps:
             count[a] += 1
-        begin = np.cumsum(count) - count
-        size = int(count.sum())
-        self.arc, self.part = np.empty(size, np.int32), np.repeat(np.arange(n), count)
+        self.part_begin = np.concatenate([[0], np.cumsum(count)])
+        self.arc = np.empty(int(self.part_begin[-1]), np.int32)
         for j, (a, arc) in enumerate(steps):
-            self.arc[begin[a] + j] = arc
-        both = lattices.log[self.arc]
-        self.logs, self.others = both[:, 0], both[:, 1]
-        self.within = np.arange(size) + (step - begin)[self.part]
-        self.begin = np.searchsorted(owner[self.part], np.arange(n_owners + 1)) if size else np.zeros(n_owners + 1, np.int64)
-        self.x = salt[self.part] + self.within.astype(np.uint64) * STEP
-
-    def scores(self, start_log: np.ndarray, bound: np.ndarray) -> None:
-        """log: the log probability after each arc; rest: the perturbed maximum of what leaves the path at it."""
-        run = np.cumsum(self.logs)
-        sizes = np.diff(self.begin)
-        base = np.repeat(np.concatenate([[0.0], run])[self.begin[:-1]], sizes)
-        self.log = run - base + np.repeat(start_log, sizes)
-        mu = self.log - self.logs + self.others
-        self.rest = _gumbel_below(mu, np.repeat(bound, sizes), _uniform(self.x ^ _U(0xD6E8FEB86659FD93)))
+            self.arc[self.part_begin[a] + j] = arc
+        self.lattices, self.step, self.salt, self.word = lattices, step, salt, word
+        self.cut = self.part_begin[begin]
+        self.total = np.zeros(len(begin) - 1)
+        real = np.flatnonzero(self.cut[1:] > self.cut[:-1])
+        if len(real):
+            self.total[real] = np.add.reduceat(lattices.log[self.arc], self.cut[real])
+
+    def place(self, arcs: np.ndarray | int) -> tuple:
+        """The parts that arcs are in, and the steps before them in their words."""
+        part = np.searchsorted(self.part_begin, arcs, "right") - 1
+        return part, arcs - self.part_begin[part] + self.step[part]
+
+    def heads(self, start_log: np.ndarray, bound: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each start the begin of its path, as far as a set that leaves it can be among the k best: the log probability after each arc, and the score of the set that leaves at it.
+
+        A score is less than the log probability of its set and MOST_GUMBEL. The path's
+        own only falls; so where that bound is below the k-th best score, neither this
+        set nor, beyond, any other is ever taken, and none is scored.
+        """
+        out: list = [None] * len(self.total)
+        size = np.diff(self.cut)
+        todo, low, high = np.arange(len(out)), 0, HEAD
+        after, rest = start_log[:, None], np.empty((len(out), 0))
+        while len(todo):
+            high = max(min(high, int(size[todo].max())), low)
+            at = np.arange(low, high)
+            inside = at < size[todo, None]
+            arc = self.arc[(self.cut[todo, None] + at)[inside]]
+            logs, mu = np.zeros(inside.shape), np.full(inside.shape, -np.inf)
+            logs[inside], mu[inside] = self.lattices.log[arc], self.lattices.others[arc]
+            run = np.cumsum(np.concatenate([after[:, -1:], logs], 1), 1)
+            mu += run[:, :-1]
+            least = np.partition(rest, low - k, 1)[:, low - k] if low >= k else np.full(len(todo), -np.inf)
+            row, column = np.nonzero((mu > -np.inf) & (mu + MOST_GUMBEL >= least[:, None]))
+            part, within = self.place(self.cut[todo[row]] + low + column)
+            u = _uniform((self.salt[part] + within.astype(np.uint64) * STEP) ^ _U(0xD6E8FEB86659FD93))
+            new = np.full(inside.shape, -np.inf)
+            new[row, column] = _gumbel_below(mu[row, column], bound[todo[row]], u)
+            after, rest = np.concatenate([after, run[:, 1:]], 1), np.concatenate([rest, new], 1)
+            if high >= k:
+                least = np.partition(rest, high - k, 1)[:, high - k]
+            done = (size[todo] <= high) | (after[:, -1] + MOST_GUMBEL < least)
+            for i in np.flatnonzero(done).tolist():
+                m = min(int(size[todo[i]]), high)
+                out[todo[i]] = after[i, 1 : m + 1], rest[i, :m]
+            more = ~done
+            todo, after, rest, low, high = todo[more], after[more], rest[more], high, 2 * high
+        return out
 
 
 class _Path:
-    """One sample: its arcs, and at which of them sets of the agenda leave it."""
+    """One sample: its arcs, and those of its begin at which sets of the agenda leave it.
 
-    __slots__ = ("arcs", "log", "log_after", "rest", "score", "taken", "within", "word")
+    It was walked as one start of a walk; or up to an arc it is its parent's, by another
+    arc it leaves that one there, and the rest was walked.
+    """
 
-    def __init__(self, arcs, word, within, log_after, rest, score):
-        self.arcs, self.word, self.within, self.log_after, self.rest, self.score = arcs, word, within, log_after, rest, score
-        self.log = float(log_after[-1]) if len(log_after) else 0.0
+    __slots__ = ("after", "arcs", "log", "parent", "rest", "score", "shared", "start", "taken", "walk")
+
+    def __init__(self, walk: _Walk, start: int, head: tuple[np.ndarray, np.ndarray], log: float, score: float, parent: _Path | None = None, shared: int = -1, arc: int = -1):
+        self.walk, self.start, self.parent, self.shared, self.score = walk, start, parent, shared, score
+        self.arcs, self.log = walk.arc[walk.cut[start] : walk.cut[start + 1]], log + float(walk.total[start])
+        self.after, self.rest = head
+        if parent is not None:
+            self.arcs = np.concatenate([parent.arcs[:shared], [arc], self.arcs])
+            self.after = np.concatenate([parent.after[:shared], [log], self.after])
+            # What leaves the shared part belongs to the path it is shared with.
+            self.rest = np.concatenate([np.full(shared + 1, -np.inf), self.rest])
         self.taken: dict[int, list[int]] = {}
 
+    def place(self, at: int) -> tuple[int, int]:
+        """The word of an arc, and the steps before it in that word."""
+        if at <= self.shared:
+            return self.parent.place(at)
+        part, within = self.walk.place(int(self.walk.cut[self.start]) + at - self.shared - 1)
+        return int(self.walk.word[part]), int(within)
+
 
 def sample_texts(keys: list[int], texts: list[str | None], v: Vocabulary, s: Sampling) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text its samples, best first: (ids, log probability, perturbed score, inclusion probability)."""
-    split = [words_of(t or "") for t in texts]
+    split = [bare_words(t or "") for t in texts]
     if not any(split):
         return [[(np.empty(0, np.int32), 0.0, 0.0, 1.0)] for _ in texts]
     lattices = v.lattices
-    lattices.learn(list(set().union(*split)))
+    ends = np.cumsum([len(words) for words in split])
+    firsts = np.split(lattices.firsts(list(chain.from_iterable(split))), ends[:-1])
     seeds = _mixed(np.array(keys, np.int64).view(np.uint64) + _times(s.seed, 0x9E3779B97F4A7C15))
-    firsts = [np.fromiter(map(lattices.first.__getitem__, words), np.int64, len(words)) for words in split]
     n = len(texts)
 
-    def walk(r: int, starts: list[tuple[int, int, int, int]], logs, bounds) -> list[_Walk]:
-        """starts: (document, word, state in it, steps before: 0 at the word's begin)."""
-        state, step, owner, word, salt = [], [], [], [], []
-        for k, (doc, w, at, before) in enumerate(starts):
-            own = firsts[doc][w:].copy()
+    def walk(r: int, starts: list[tuple[int, int, int, int]], logs, bounds) -> tuple[_Walk, list]:
+        """starts: (document, word, state in it, steps before: 0 at the word's begin). Also the heads."""
+        state, step, word, seed = [], [], [], []
+        seeded = seeds + _times(r, 0xA24BAED4963EE407)
+        for doc, w, at, before in starts:
+            own = firsts[doc][w:]
             taken = np.zeros(len(own), np.int64)
             if before and len(own):
+                own = own.copy()
                 own[0], taken[0] = at, before
             state.append(own)
             step.append(taken)
-            owner.append(np.full(len(own), k))
             word.append(np.arange(w, w + len(own)))
-            salt.append(word[-1].astype(np.uint64) * _U(0x9FB21C651E98DF25) + seeds[doc : doc + 1] + _times(r, 0xA24BAED4963EE407))
-        flat = lambda x, t: np.concatenate(x).astype(t, copy=False) if x else np.empty(0, t)
-        out = _Walk(lattices, flat(state, np.int64), flat(step, np.int64), flat(owner, np.int64), _mixed(flat(salt, np.uint64)), len(starts))
-        out.word = flat(word, np.int64)[out.part]
-        out.scores(np.asarray(logs, float), np.asarray(bounds, float))
-        return out
+            seed.append(np.full(len(own), seeded[doc]))
+        begin = np.concatenate([[0], np.cumsum([len(x) for x in state])])
+        words = np.concatenate(word)
+        salt = _mixed(words.astype(np.uint64) * _U(0x9FB21C651E98DF25) + np.concatenate(seed))
+        out = _Walk(lattices, np.concatenate(state), np.concatenate(step), begin, salt, words)
+        return out, out.heads(np.asarray(logs, float), np.asarray(bounds, float), s.k)
 
     roots = -np.log(-np.log(_uniform(seeds ^ _U(0x2545F4914F6CDD1D))))
-    w = walk(0, [(d, 0, -1, 0) for d in range(n)], np.zeros(n), roots)
-    cut = lambda w, k: slice(int(w.begin[k]), int(w.begin[k + 1]))
-    paths: list[list[_Path]] = [[_Path(w.arc[c], w.word[c], w.within[c], w.log[c], w.rest[c], float(roots[d]))] for d in range(n) for c in [cut(w, d)]]
+    w, heads = walk(0, [(d, 0, -1, 0) for d in range(n)], np.zeros(n), roots)
+    paths: list[list[_Path]] = [[_Path(w, d, heads[d], 0.0, float(roots[d]))] for d in range(n)]
     kappa = np.full(n, -np.inf)
     for r in range(1, s.k + 1):
         starts, logs, bounds, pending = [], [], [], []
@@ -412,10 +502,11 @@ def sample_texts(keys: list[int], texts: list[str | None], v: Vocabulary, s: Sam
             if len(paths[d]) < r:
                 continue  # all segmentations are out
             for p in paths[d]:
-                if len(p.rest):
-                    j = int(p.rest.argmax())
-                    if p.rest[j] > best:
-                        best, of, at = float(p.rest[j]), p, j
+                rest = p.rest
+                if len(rest):
+                    j = int(rest.argmax())
+                    if rest[j] > best:
+                        best, of, at = float(rest[j]), p, j
             if of is None or best == -np.inf:
                 continue
             if r == s.k:
@@ -423,30 +514,28 @@ def sample_texts(keys: list[int], texts: list[str | None], v: Vocabulary, s: Sam
                 continue
             state = lattices.state_of(int(of.arcs[at]))
             first = int(lattices.start[state])
-            row = np.exp(lattices.log[first : first + int(lattices.count[state]), 0])
+            row = np.exp(lattices.log[first : first + int(lattices.count[state])])
             gone = of.taken.setdefault(at, [int(of.arcs[at]) - first])
             row[gone] = 0.0
             u = float(_uniform(seeds[d : d + 1] + _times(r, 0x8CB92BA72F3D8DD7))[0])
             upto = np.cumsum(row)
             place = int((upto < u * upto[-1]).sum())
             gone.append(place)
-            arc, chosen = first + place, float(lattices.log[first + place, 0])
+            arc, chosen = first + place, float(lattices.log[first + place])
             row[place] = 0.0
-            before = float(of.log_after[at - 1]) if at else 0.0
+            before = float(of.after[at - 1]) if at else 0.0
             u2 = float(_uniform(seeds[d : d + 1] + _times(r, 0xC2B2AE3D27D4EB4F))[0])
             of.rest[at] = _gumbel_below(before + np.log(row.sum()), best, u2) if row.any() else -np.inf
-            starts.append((d, int(of.word[at]), int(lattices.target[arc]), int(of.within[at]) + 1))
+            word, steps = of.place(at)
+            starts.append((d, word, int(lattices.way[arc]) & lattices.END, steps + 1))
             logs.append(before + chosen)
             bounds.append(best)
             pending.append((d, of, at, arc))
         if r == s.k or not starts:
             break
-        w = walk(r, starts, logs, bounds)
+        w, heads = walk(r, starts, logs, bounds)
         for k, (d, of, at, arc) in enumerate(pending):
-            c = cut(w, k)
-            join = lambda old, one, new: np.concatenate([old[:at], [one], new])  # noqa: B023, E731
-            never = np.full(at + 1, -np.inf)  # what leaves the shared part belongs to the path it is shared with
-            paths[d].append(_Path(join(of.arcs, arc, w.arc[c]), join(of.word, of.word[at], w.word[c]), join(of.within, of.within[at], w.within[c]), join(of.log_after, logs[k], w.log[c]), np.concatenate([never, w.rest[c]]), bounds[k]))
+            paths[d].append(_Path(w, k, heads[k], logs[k], bounds[k], of, at, arc))
     out = []
     for d in range(n):
         rows = []
@@ -502,7 +591,7 @@ def _decode(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
     for batch in batches:
         for first in range(0, batch.num_rows, 256):
             piece = batch.slice(first, 256)
-            texts = pa.array([v.decode(np.frombuffer(ids or b"", "<u4")) for ids in piece.column("ids").to_pylist()], pa.string())
+            texts = v.decode_rows([ids or b"" for ids in piece.column("ids").to_pylist()])
             yield pa.RecordBatch.from_arrays([*piece.columns, texts], names=[*piece.schema.names, "decoded"])
 
 

@@ -105,3 +105,25 @@ def test_long_words_have_no_boundaries(monkeypatch):
         got = lattice.sample_texts(list(range(60))[part], texts[part], small, lattice.Sampling())
         for a, b in zip(got, want[part], strict=True):
             assert [x[0].tolist() for x in a] == [x[0].tolist() for x in b] and np.allclose([x[1:] for x in a], [x[1:] for x in b])
+
+
+def test_heads_hold_every_set_that_can_win():
+    """A head ends only where no later set can be among the k best; scoring whole paths gives the same samples."""
+    texts = ["".join(f"w{i * j % 97} " for i in range(700)) for j in range(1, 5)] + ["a", "", " ", "x  y "]
+    keys = list(range(len(texts)))
+    short = lattice.sample_texts(keys, texts, V, lattice.Sampling())
+    head = lattice.HEAD
+    try:
+        lattice.HEAD = 1 << 20
+        whole = lattice.sample_texts(keys, texts, V, lattice.Sampling())
+    finally:
+        lattice.HEAD = head
+    for a, b in zip(short, whole, strict=True):
+        assert [(x[0].tolist(), *x[1:]) for x in a] == [(x[0].tolist(), *x[1:]) for x in b]
+
+
+def test_bytes_that_are_no_text_read_back_as_replacements():
+    broken = V.byte_id[0xE3]
+    assert V.decode([broken, broken]) == "��"
+    rows = [np.array(x, "<u4").tobytes() for x in ([broken], [], [V.byte_id[0xC3], V.byte_id[0xA9]])]
+    assert V.decode_rows(rows).to_pylist() == ["�", "", "é"]
