@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 BLANK = "▁"
 WORD = re.compile(" *[^ ]+| +")
 #: Characters that are handled at once, about, and states and arcs of words that a worker remembers.
-SLICE_CHARS, STATES, ARCS = 200_000, 1_600_000, 3_400_000
+SLICE_CHARS, STATES, ARCS = 200_000, 1_200_000, 2_500_000
 #: Leading bits of a hash that address the table of begins of pieces.
 SLOT_BITS = 20
 #: Where an arc leaves less than this to its state's others, what it leaves is summed from them.
@@ -497,6 +497,7 @@ def sample_texts(keys: list[int], texts: list[str | None], v: Vocabulary, s: Sam
     kappa = np.full(n, -np.inf)
     for r in range(1, s.k + 1):
         starts, logs, bounds, pending = [], [], [], []
+        chosen_by, next_by = (_uniform(seeds + _times(r, odd)).tolist() for odd in (0x8CB92BA72F3D8DD7, 0xC2B2AE3D27D4EB4F))
         for d in range(n):
             best, of, at = -np.inf, None, -1
             if len(paths[d]) < r:
@@ -517,15 +518,13 @@ def sample_texts(keys: list[int], texts: list[str | None], v: Vocabulary, s: Sam
             row = np.exp(lattices.log[first : first + int(lattices.count[state])])
             gone = of.taken.setdefault(at, [int(of.arcs[at]) - first])
             row[gone] = 0.0
-            u = float(_uniform(seeds[d : d + 1] + _times(r, 0x8CB92BA72F3D8DD7))[0])
             upto = np.cumsum(row)
-            place = int((upto < u * upto[-1]).sum())
+            place = int((upto < chosen_by[d] * upto[-1]).sum())
             gone.append(place)
             arc, chosen = first + place, float(lattices.log[first + place])
             row[place] = 0.0
             before = float(of.after[at - 1]) if at else 0.0
-            u2 = float(_uniform(seeds[d : d + 1] + _times(r, 0xC2B2AE3D27D4EB4F))[0])
-            of.rest[at] = _gumbel_below(before + np.log(row.sum()), best, u2) if row.any() else -np.inf
+            of.rest[at] = _gumbel_below(before + np.log(row.sum()), best, next_by[d]) if row.any() else -np.inf
             word, steps = of.place(at)
             starts.append((d, word, int(lattices.way[arc]) & lattices.END, steps + 1))
             logs.append(before + chosen)
