@@ -1,5 +1,6 @@
 """A stream is judged by the rules of a batch; a session judges what has changed."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from pactum.operators import model as M
@@ -38,3 +39,47 @@ def test_session(spark):
     assert show(s.validate()) == show(before)
     s.redo()
     assert s.evaluate().count() == 4
+
+
+def _session(spark, rows):
+    return R.Session(RECORD, spark.createDataFrame(rows, "key long, n long"), "key", F.concat(F.lit("items["), F.col("key").cast("string"), F.lit("]")))
+
+
+def test_edits_that_do_not_fit_are_refused(spark):
+    s = _session(spark, [(1, 10), (2, 90)])
+    one = lambda *rows: spark.createDataFrame(list(rows), "key long, n long")
+    for edit, rows in ((s.create, one((1, 5))), (s.update, one((7, 5))), (s.remove, one((7, 5))), (s.create, one((8, 1), (8, 2))), (s.create, one((None, 1)))):
+        with pytest.raises(R.SessionError):
+            edit(rows)
+    assert s.history() == [] and s.at == 0
+    s.create(one((3, 30)))
+    s.update(one((3, 31), (1, 11)))
+    s.remove(one((2, 0)))
+    s.create(one((2, 22)))
+    rows = lambda: sorted(map(tuple, s.now.collect()))
+    assert rows() == [(1, 11), (2, 22), (3, 31)]
+    s.undo(2)
+    assert rows() == [(1, 11), (2, 90), (3, 31)]
+    assert s.history() == [("create", 1, True), ("update", 2, True), ("remove", 1, False), ("create", 1, False)]
+    s.bind(one((9, 9)))
+    assert rows() == [(9, 9)] and [x[0] for x in s.history()] == ["create", "update", "bind"]
+    s.create(spark.createDataFrame([], "key long, n long"))
+    assert rows() == [(9, 9)]
+    s.reset()
+    assert rows() == [(1, 10), (2, 90)] and s.history() == []
+
+
+def test_plans_do_not_grow_with_edits(spark):
+    s = _session(spark, [(i, i) for i in range(10)])
+    sizes = []
+    for i in range(4):
+        s.update(spark.createDataFrame([(i, 50 + i)], "key long, n long"))
+        sizes.append(s.now._jdf.queryExecution().optimizedPlan().toString().count("Join"))
+    assert len(set(sizes)) == 1
+
+
+def test_partial_evaluation_and_trace(spark):
+    s = _session(spark, [(1, 10), (2, 500)])
+    assert sorted(map(tuple, s.evaluate(["twice"]).collect())) == [(1, 20), (2, None)]
+    got = sorted(tuple(r) for r in s.trace("twice").collect())
+    assert got == [(1, 0, 0, "twice", "derived", "20", False), (1, 1, 1, "n", "required", "10", False), (2, 0, 0, "twice", "derived", None, True), (2, 1, 1, "n", "required", None, True)]
