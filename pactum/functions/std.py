@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pactum.plans.expr import E, finite, lift, text_of
+from pactum.plans.expr import BEYOND, LIMIT, E, finite, lift, text_of
 
 Fn = Callable[[E], E]
 
@@ -43,7 +43,7 @@ def sum_(xs: E, kind: str) -> E:
         v = F.aggregate(xs.v, F.lit(0.0), lambda a, x: a + x)
         return xs._with(v, "float", fail=[("E5002", ~finite(v), "not finite")])
     v = F.aggregate(xs.v, F.lit(0).cast("long"), lambda a, x: F.try_add(a, x.cast("long")))
-    return xs._with(v, "int", fail=[("E5002", v.isNull(), "integer beyond 64 bits")])
+    return xs._with(v, "int", fail=[(LIMIT, v.isNull(), BEYOND)])
 
 
 def fold(xs: E, init, f: Callable[[E, E], E], kind: str = "any", acc: str | None = None) -> E:
@@ -90,7 +90,7 @@ def reverse(xs: E) -> E:
 def abs_(x: E) -> E:
     if x.kind == "int":
         least = x.v.cast("long") == F.lit(-(1 << 63))
-        return x._with(F.when(~least, F.abs(F.when(~least, x.v.cast("long")))), "int", fail=[("E5002", least, "integer beyond 64 bits")])
+        return x._with(F.when(~least, F.abs(F.when(~least, x.v.cast("long")))), "int", fail=[(LIMIT, least, BEYOND)])
     return x._with(F.abs(x.v), x.kind)
 
 
@@ -122,7 +122,7 @@ _MOST = float(1 << 63)
 
 def _whole(x: E, c: Column) -> E:
     fits = (c < _MOST) & (c >= -_MOST)
-    return x._with(F.when(fits, c).cast("long"), "int", fail=[("E5002", ~fits, "integer beyond 64 bits")])
+    return x._with(F.when(fits, c).cast("long"), "int", fail=[(LIMIT, ~fits, BEYOND)])
 
 
 def floor(x: E) -> E:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pactum.plans.expr import E, Range, lift, template, whole
+from pactum.plans.expr import E, Range, lift, template, whole, wide_literal
 
 Check = Callable[[E], list[tuple[str, Column, object]]]
 
@@ -71,7 +71,11 @@ def literal(*values) -> Type:
 
 
 def rng(lo, hi, open: bool = False, kind: str = "int") -> Type:
-    """lo..hi, or lo..<hi. Also integers of a width: int<N> and uint<N> are ranges."""
+    """lo..hi, or lo..<hi. Also integers of a width: int<N> and uint<N> are ranges. Values beyond 64 bits are of the kind wide, with 38 digits at most."""
+    top = hi - 1 if open and kind == "int" else hi
+    if kind == "int" and not (-(1 << 63) <= lo and top < 1 << 63):
+        least, most = wide_literal(lo), wide_literal(top)
+        return Type(f"{lo}..{'<' if open else ''}{hi}", "wide", (lambda v: (v < least) | (v > most),), facts=("range", lo, hi, open, kind))
     return Type(f"{lo}..{'<' if open else ''}{hi}", kind, (lambda v: (v < lo) | ((v >= hi) if open else (v > hi)),), facts=("range", lo, hi, open, kind))
 
 

@@ -17,6 +17,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: A result that this engine cannot hold. It is no code of the language, whose integers have no bound.
+LIMIT = "LIMIT"
+BEYOND = "integer beyond 64 bits: declare a range that needs more"
+#: Columns of integers by kind. A wide one is an int of up to 38 digits; int and wide give wide.
+INTEGERS = {"int": "bigint", "wide": "decimal(38,0)"}
+
+
 @dataclass(frozen=True)
 class Error:
     code: str
@@ -42,7 +49,7 @@ def _false(c: Column | None) -> Column:
 
 @dataclass(frozen=True)
 class E:
-    """kind: int, float, string, bool, array, map, record, range, quantity or any; dim: a quantity's exponents."""
+    """kind: int, wide, float, string, bool, array, map, record, range, quantity or any; dim: a quantity's exponents."""
 
     v: Column
     kind: str = "any"
@@ -92,12 +99,12 @@ class E:
             return _quantity(self, o, op)
         if self.kind == o.kind == "string" and op == "+":
             return self._with(F.concat(self.v, o.v), "string", o)
-        if self.kind != o.kind or self.kind not in ("int", "float"):
+        if (kind := _integer(self, o)) is not None:
+            a, b = (x.v.cast(INTEGERS[kind]) for x in (self, o))
+            v = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply}[op](a, b).cast(INTEGERS[kind])
+            return self._with(v, kind, o, fail=[(LIMIT, a.isNotNull() & b.isNotNull() & v.isNull(), _beyond(kind))])
+        if self.kind != o.kind or self.kind != "float":
             raise TypeError(f"E4020: {self.kind} {op} {o.kind}")
-        if self.kind == "int":
-            a, b = self.v.cast("long"), o.v.cast("long")
-            v = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply}[op](a, b)
-            return self._with(v, "int", o, fail=[("E5002", a.isNotNull() & b.isNotNull() & v.isNull(), "integer beyond 64 bits")])
         v = {"+": self.v + o.v, "-": self.v - o.v, "*": self.v * o.v}[op]
         return self._with(v, "float", o, fail=[("E5002", ~finite(v), "not finite")])
 
@@ -117,7 +124,11 @@ class E:
         if self.kind == o.kind == "int":
             a, b = self.v.cast("long"), F.nullif(o.v.cast("long"), F.lit(0).cast("long"))
             least = (a == F.lit(-(1 << 63))) & (b == -1)
-            return self._with(F.when(~least, F.call_function("div", a, b)), "int", o, fail=[zero, ("E5002", least, "integer beyond 64 bits")])
+            return self._with(F.when(~least, F.call_function("div", a, b)), "int", o, fail=[zero, (LIMIT, least, BEYOND)])
+        if _integer(self, o):  # what is left without the remainder is divided exactly
+            a, b = self.v.cast(INTEGERS["wide"]), F.nullif(o.v.cast(INTEGERS["wide"]), F.lit(0).cast(INTEGERS["wide"]))
+            v = F.when(F.abs(b) == 1, a * b).otherwise(F.try_divide(a - a % b, b)).cast(INTEGERS["wide"])
+            return self._with(v, "wide", o, fail=[zero, (LIMIT, a.isNotNull() & b.isNotNull() & v.isNull(), _beyond("wide"))])
         if self.kind != o.kind or self.kind != "float":
             raise TypeError(f"E4020: {self.kind} / {o.kind}")
         v = self.v / F.nullif(o.v, F.lit(0.0))
@@ -126,42 +137,56 @@ class E:
     def __mod__(self, other) -> E:
         """The sign of the dividend; integers only."""
         o = lift(other)
-        if not self.kind == o.kind == "int":
+        kind = _integer(self, o)
+        if kind is None:
             raise TypeError(f"E4020: {self.kind} % {o.kind}")
-        return self._with(self.v.cast("long") % F.nullif(o.v.cast("long"), F.lit(0).cast("long")), "int", o, fail=[("E5001", o.v == 0, "division by zero")])
+        t = INTEGERS[kind]
+        return self._with((self.v.cast(t) % F.nullif(o.v.cast(t), F.lit(0).cast(t))).cast(t), kind, o, fail=[("E5001", o.v == 0, "division by zero")])
 
     def __neg__(self) -> E:
-        if self.kind == "int":
+        if self.kind in INTEGERS:
             return lift(0) - self
         return self._with(-self.v, self.kind, dim=self.dim)
 
     def __invert__(self) -> E:
         """! on a bool, ~ on an int."""
+        if self.kind == "wide":
+            return lift(-1) - self
         return self._with(~self.v, "bool") if self.kind == "bool" else self._with(F.bitwise_not(self.v.cast("long")), "int")
 
     def bits(self, op: str, other) -> E:
         o = lift(other)
+        if "wide" in (self.kind, o.kind):
+            raise TypeError(f"{LIMIT}: {op} of integers beyond 64 bits")
         a, b = self.v.cast("long"), o.v.cast("long")
         return self._with({"&": a.bitwiseAND, "|": a.bitwiseOR, "^": a.bitwiseXOR}[op](b), "int", o)
 
     def __lshift__(self, other) -> E:
         """n times two to the power k, exactly."""
         o = lift(other)
+        if "wide" in (self.kind, o.kind):
+            raise TypeError(f"{LIMIT}: a shift of integers beyond 64 bits")
         a, k = self.v.cast("long"), o.v.cast("int")
         v = F.when(a == 0, F.lit(0).cast("long")).when((k >= 0) & (k < 63), F.try_multiply(a, F.element_at(F.array(*[F.lit(1 << i) for i in range(63)]).cast("array<bigint>"), F.least(F.greatest(k, F.lit(0)), F.lit(62)) + 1)))
-        return self._with(v, "int", o, fail=[("E5003", o.v < 0, "negative shift"), ("E5002", (o.v >= 0) & v.isNull(), "integer beyond 64 bits")])
+        return self._with(v, "int", o, fail=[("E5003", o.v < 0, "negative shift"), (LIMIT, (o.v >= 0) & v.isNull(), BEYOND)])
 
     def __rshift__(self, other) -> E:
         """Rounds down."""
         o = lift(other)
+        if "wide" in (self.kind, o.kind):
+            raise TypeError(f"{LIMIT}: a shift of integers beyond 64 bits")
         a, k = self.v.cast("long"), F.least(F.greatest(o.v.cast("int"), F.lit(0)), F.lit(63))
         return self._with(F.call_function("shiftright", a, k), "int", o, fail=[("E5003", o.v < 0, "negative shift")])
 
+    def wide(self) -> E:
+        """An int as one of up to 38 digits."""
+        return self._with(self.v.cast(INTEGERS["wide"]), "wide")
+
     # -- comparison ----------------------------------------------------------
 
     def _compare(self, other, op: str) -> E:
         o = lift(other)
-        if self.kind != o.kind or self.kind not in ("int", "float", "string", "quantity") or self.dim != o.dim:
+        if not _integer(self, o) and (self.kind != o.kind or self.kind not in ("float", "string", "quantity")) or self.dim != o.dim:
             raise TypeError(f"{'E4072' if self.kind == o.kind == 'quantity' else 'E4020'}: {self.kind} {op} {o.kind}")
         v = {"<": self.v < o.v, "<=": self.v <= o.v, ">": self.v > o.v, ">=": self.v >= o.v}[op]
         return self._with(v, "bool", o)
@@ -268,6 +293,22 @@ def whole(pattern: str) -> str:
 _KINDS = {bool: "bool", int: "int", float: "float", str: "string"}
 
 
+def _integer(a: E, b: E) -> str | None:
+    """The kind of integers that a and b give, if both are integers."""
+    kinds = {a.kind, b.kind}
+    return None if not kinds <= INTEGERS.keys() else "wide" if "wide" in kinds else "int"
+
+
+def _beyond(kind: str) -> str:
+    return BEYOND if kind == "int" else "integer beyond 38 digits"
+
+
+def wide_literal(x: int) -> Column:
+    if abs(x) >= 10**38:
+        raise OverflowError(f"{LIMIT}: {x} has more than 38 digits")
+    return F.lit(str(x)).cast(INTEGERS["wide"])
+
+
 def lift(x) -> E:
     """A Python value as an expression."""
     if isinstance(x, E):
@@ -278,6 +319,8 @@ def lift(x) -> E:
         kinds = {_KINDS[type(i)] for i in x}
         return E(F.array(*[F.lit(i) if _KINDS[type(i)] != "int" else F.lit(i).cast("long") for i in x]), "array") if len(kinds) <= 1 else _mixed(kinds)
     kind = _KINDS[type(x)]
+    if kind == "int" and not -(1 << 63) <= x < 1 << 63:
+        return E(wide_literal(x), "wide")
     return E(F.lit(x).cast("long") if kind == "int" else F.lit(x), kind)
 
 

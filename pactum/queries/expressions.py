@@ -44,6 +44,19 @@ def _(t):
     return part(t, a=SIZE() + KEY(), b=SIZE() - KEY(), c=SIZE() * KEY() - 7)
 
 
+WIDE = """
+WITH p AS (SELECT p_partkey, (p_partkey::HUGEINT + 4611686018427387904) * (p_size + 1099511627776) AS n FROM part)
+SELECT p_partkey, CAST(n AS VARCHAR) AS product, CAST(-n // 1000000007 AS VARCHAR) AS quotient, CAST(-n % 1000000007 AS VARCHAR) AS remainder, CAST(NULL AS VARCHAR) AS beyond, 'LIMIT' AS code FROM p
+"""
+
+
+@query("exp_int_wide", WIDE)
+def _(t):
+    n = (KEY() + (1 << 62)).wide() * (SIZE() + (1 << 40))
+    over = n * 10**20
+    return part(t, product=std.string_of(n), quotient=std.string_of(-n / 1000000007), remainder=std.string_of(-n % 1000000007), beyond=std.string_of(over), code=over.code)
+
+
 @query("exp_float_arith", "SELECT p_partkey, p_retailprice + 0.25::DOUBLE AS a, p_retailprice - 1.5::DOUBLE AS b, p_retailprice * p_retailprice AS c, CAST(NULL AS DOUBLE) AS d, 'E5002' AS code FROM part")
 def _(t):
     over = (PRICE() + 1.0) * 1e308 * 1e308

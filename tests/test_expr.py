@@ -1,5 +1,7 @@
 """Values, absence, and errors of expressions, on rows that are written out here."""
 
+from decimal import Decimal
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -23,10 +25,18 @@ def one(spark, e, **values):
         (lambda: lift(7) / 0, None, "E5001"),
         (lambda: lift(1.0) / 0.0, None, "E5001"),
         (lambda: lift(1e308) * 10.0, None, "E5002"),
-        (lambda: lift(1 << 62) * 4, None, "E5002"),
+        (lambda: lift(1 << 62) * 4, None, "LIMIT"),
+        (lambda: lift(1 << 62).wide() * 4, Decimal(1 << 64), None),
+        (lambda: lift(1 << 64) * -(1 << 62) + 1, Decimal(1 - (1 << 126)), "LIMIT" if 1 << 126 >= 10**38 else None),
+        (lambda: lift(10**37) * 100, None, "LIMIT"),
+        (lambda: lift(-(10**30) - 7) / 10, Decimal(-(10**29)), None),
+        (lambda: lift(-(10**30) - 7) % 10, Decimal(-7), None),
+        (lambda: lift(10**37) / -1, Decimal(-(10**37)), None),
+        (lambda: lift(10**30) / 0, None, "E5001"),
+        (lambda: lift(10**30) > 5, True, None),
         (lambda: lift(3) << 4, 48, None),
         (lambda: lift(3) << -1, None, "E5003"),
-        (lambda: lift(1) << 63, None, "E5002"),
+        (lambda: lift(1) << 63, None, "LIMIT"),
         (lambda: lift(-5) >> 1, -3, None),
         (lambda: ~lift(5), -6, None),
         (lambda: std.clog2(lift(1)), 0, None),
@@ -106,3 +116,20 @@ def test_unit_catalogue():
     assert len(c) == 7 + 9 + 3 + 16 * 20 + 24 - 1
     assert c["ms"][1] == 1e-3 and c["GiB"][1] == 8 * 2**30 and c["mg"] == ((("Mass", 1),), 1e-6) and c["daN"][1] == 10.0
     assert "kkg" not in c and "mB" not in c
+
+
+def test_ranges_beyond_64_bits(spark):
+    """A declared range that needs them gives a member 38 digits, in tables and in documents."""
+    from pactum.operators import model as M
+    from pactum.operators import nested
+
+    member = M.rng(0, 1 << 64, open=True)
+    assert member.kind == "wide" and M.width(64, signed=False).kind == "wide" and M.width(64).kind == "int"
+    record = M.Record("R", {"n": M.Member("required", member), "twice": M.Member("derived", None, lambda m: m["n"] * 2)})
+    df = spark.sql("select 1 as k, cast('18446744073709551615' as decimal(38,0)) as n union all select 2, cast('18446744073709551616' as decimal(38,0)) union all select 3, 5")
+    got = {r.k: (r.n, r.twice) for r in record.evaluate(df, F.lit("doc"), ["k"]).collect()}
+    assert got == {1: (Decimal((1 << 64) - 1), Decimal((1 << 65) - 2)), 2: (None, None), 3: (Decimal(5), Decimal(10))}
+    assert [(r.k, r.code, r.path) for r in record.diagnostics(df, F.lit("doc"), keep=["k"]).collect()] == [(2, "E4001", "doc.n")]
+    texts = spark.createDataFrame([('{"n": 18446744073709551615}',), ('{"n": 7}',), ('{"n": 1.5}',)], "text string")
+    bound = nested.bind_text(texts, "text", record).select("bound.value.twice", "bound.bad").collect()
+    assert [tuple(r) for r in bound] == [(Decimal((1 << 65) - 2), False), (Decimal(14), False), (None, True)]
