@@ -63,13 +63,13 @@ class Session:
 
     def __init__(self, record: Record, df: DataFrame, key: str, path: Column):
         self.record, self.key, self.path = record, key, path
-        self.reset(df)
-
-    def reset(self, df: DataFrame | None = None) -> None:
-        """Begin a new log, with df or with the first input."""
-        self.versions = [Version(df if df is not None else self.versions[0].base)]
+        self.versions = [Version(df)]
         self.at = 0
 
+    def reset(self) -> None:
+        """The first input again, without any edit; an operation like others, which undo takes back."""
+        self._next(Version(self.versions[0].base, step="reset"))
+
     def bind(self, df: DataFrame) -> None:
         """Another input in place of this one; the edits stay behind."""
         self._next(Version(df))

@@ -66,7 +66,9 @@ def test_edits_that_do_not_fit_are_refused(spark):
     s.create(spark.createDataFrame([], "key long, n long"))
     assert rows() == [(9, 9)]
     s.reset()
-    assert rows() == [(1, 10), (2, 90)] and s.history() == []
+    assert rows() == [(1, 10), (2, 90)] and s.history()[-1] == ("reset", 0, True)
+    s.undo()
+    assert rows() == [(9, 9)]
 
 
 def test_plans_do_not_grow_with_edits(spark):
