@@ -95,13 +95,13 @@ def props(t) -> DataFrame:
 @query("typ_record_closed", "SELECT event_id, 'E4003' AS code, 'props.' || key AS path FROM (SELECT event_id, unnest(json_keys(props)) AS key FROM events) WHERE key <> 'j'")
 def _(t):
     r = M.Record("Props", {"j": M.Member("optional", M.prim("int"))})
-    return N.reports(N.bind_text(t.events, "props", r, "props"), ["event_id"]).select("event_id", "code", "path")
+    return N.reports(N.bind_text(N.dealt(t.events.select("event_id", "props")), "props", r, "props"), ["event_id"]).select("event_id", "code", "path")
 
 
 @query("typ_record_open", "SELECT event_id, replace(props, ' ', '') AS extras, FALSE AS bad FROM events")
 def _(t):
     r = M.Record("Props", {"j": M.Member("optional", M.prim("int"))}, open=True)
-    return N.bind_text(t.events, "props", r).select("event_id", F.to_json("bound.value.extras").alias("extras"), F.col("bound.bad").alias("bad"))
+    return N.bind_text(N.dealt(t.events.select("event_id", "props")), "props", r).select("event_id", F.to_json("bound.value.extras").alias("extras"), F.col("bound.bad").alias("bad"))
 
 
 @query("typ_union_kind", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_size > 40 ELSE length(p_name) > 20 END AS refused FROM part")
@@ -119,7 +119,7 @@ def event_arm(kind: str, value: M.Type) -> M.Record:
 def _(t):
     quiet = N.Union((event_arm("view", M.prim("float")), event_arm("signup", M.prim("float"))), "Quiet")
     event = N.Union((event_arm("purchase", M.rng(50.0, 1e300, kind="float")), event_arm("click", M.rng(-1e300, 90.0, kind="float")), quiet), "Event")
-    docs = t.events.select("event_id", emit.canonical({"kind": col("event_type", "string"), "value": col("value", "float")}).alias("doc"))
+    docs = N.dealt(t.events.select("event_id", "event_type", "value")).select("event_id", emit.canonical({"kind": col("event_type", "string"), "value": col("value", "float")}).alias("doc"))
     return N.bind_text(docs, "doc", event).select("event_id", F.col("bound.bad").alias("refused"))
 
 
