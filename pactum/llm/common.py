@@ -3,8 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
+import os
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +69,47 @@ def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: What this process keeps between tasks, and for which operator a worker did so last.
+_tables: dict[tuple, object] = {}
+_working: list[str | None] = [None]
+
+
+def kept(key: tuple, make: Callable[[], object]):
+    """What make() gave when this process first asked for key."""
+    if key not in _tables:
+        _tables[key] = make()
+    return _tables[key]
+
+
+def give_back() -> None:
+    """Return to the system what the allocators hold and nobody uses. Where the C library cannot, it stays with them."""
+    pa.default_memory_pool().release_unused()
+    if os.name == "posix" and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)):
+        trim(0)
+
+
+def task(of: str):
+    """For functions of mapInArrow: a worker keeps the tables of one operator, `of`, and between tasks no more than those.
+
+    Workers go from one stage of a pipeline to the next, and idle ones stand beside the JVM's joins: the tables of stages
+    that are over, and the memory that freed objects leave behind, would add up. Results do not depend on what is kept.
+    """
+
+    def wrap(f):
+        @wraps(f)
+        def run(*args) -> Iterator[pa.RecordBatch]:
+            if _working[0] != of:
+                _working[0] = of
+                _tables.clear()
+                gc.collect()
+            yield from f(*args)
+            give_back()
+
+        return run
+
+    return wrap
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, with as many underscores before it as it takes to be no column of df."""
     used = {c.lower() for c in df.columns}

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pactum.llm.common import free_name
+from pactum.llm.common import free_name, kept, task
 
 UNKNOWN = "und"
 SLICE = 256
@@ -62,8 +62,6 @@ def _is_letter() -> np.ndarray:
 class Bundler:
     """Document vectors; one a process and space."""
 
-    _made: dict[Space, Bundler] = {}
-
     def __init__(self, space: Space):
         self.space = space
         self.letters: dict[int, np.ndarray] = {}
@@ -72,9 +70,7 @@ class Bundler:
 
     @classmethod
     def of(cls, space: Space) -> Bundler:
-        if space not in cls._made:
-            cls._made[space] = cls(space)
-        return cls._made[space]
+        return kept((cls, space), lambda: cls(space))
 
     def letter(self, code: int) -> np.ndarray:
         if code not in self.letters:
@@ -135,6 +131,7 @@ class Bundler:
         return v / norm
 
 
+@task("langid")
 def _bundle(space: Space, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     b = Bundler.of(space)
     sums: dict[str, np.ndarray] = {}
@@ -151,6 +148,7 @@ def _bundle(space: Space, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([pa.array([label]), pa.array([total], pa.list_(pa.int64()))], names=["lang", "total"])
 
 
+@task("langid")
 def _own_cosines(space: Space, labels: list[str], sums, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     b, place = Bundler.of(space), {label: i for i, label in enumerate(labels)}
     counts: Counter[tuple[str, int]] = Counter()
@@ -168,8 +166,9 @@ def _own_cosines(space: Space, labels: list[str], sums, batches: Iterator[pa.Rec
     yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.string()), pa.array([v for _, v in keys], pa.int32()), pa.array([counts[k] for k in keys], pa.int64())], names=["lang", "step", "n"])
 
 
+@task("langid")
 def _predict(space: Space, labels: list[str], prototypes, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The columns of each batch, of which the last, a text, gives way to its language and score."""
+    """The columns of each batch, of which the last is a text, and the text's language and score."""
     b = Bundler.of(space)
     p = prototypes.value
     for batch in batches:
@@ -186,7 +185,7 @@ def _predict(space: Space, labels: list[str], prototypes, batches: Iterator[pa.R
                 best = int(cosines.argmax())
                 found.append(labels[best])
                 scores.append(float(min(1.0, max(0.0, cosines[best]))))
-            yield pa.RecordBatch.from_arrays([*piece.columns[:-1], pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=[*piece.schema.names[:-1], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=[*piece.schema.names, "lang_pred", "score"])
 
 
 @dataclass(frozen=True)
@@ -241,10 +240,11 @@ def limits(labelled: DataFrame, model: Model, text: str = "text", lang: str = "l
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with its columns, `lang_pred` and `score`; columns of docs with these names are replaced."""
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    rows = docs.select(*kept, F.col(text).alias(free_name(docs, "of")))  # the last column, as _predict has it
-    schema = docs.select(*kept).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
+    # The text is the last column, as _predict has it, and goes to the workers once.
+    rows = docs.select(*[c for c in kept if c != text], F.col(text).alias(text if text in kept else free_name(docs, "of")))
+    schema = rows.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
     shared = docs.sparkSession.sparkContext.broadcast(model.prototypes)
-    return rows.mapInArrow(partial(_predict, model.space, model.labels, shared), schema)
+    return rows.mapInArrow(partial(_predict, model.space, model.labels, shared), schema).select(*kept, "lang_pred", "score")
 
 
 def held_out(key: str = "doc_id"):
@@ -260,9 +260,11 @@ def filter_documents(docs: DataFrame, min_score: float | None = None, key: str =
     """The rows of docs in a learned language, with their own columns: by a cosine of at least min_score, or of the language's own limit."""
     taught = training_rows(docs, key)
     model = learn(taught, text=text, lang=lang)
-    judged = predict(docs.select(F.struct("*").alias("_row"), F.col(text).alias("_t")), model, "_t")
+    own = [f"_{i}" for i in range(len(docs.columns))]  # no column of docs is taken for a result of predict
+    at = docs.columns.index(text) if text in docs.columns else [c.lower() for c in docs.columns].index(text.lower())
+    judged = predict(docs.toDF(*own), model, own[at])
     least = F.lit(min_score)
     if min_score is None:
         known = limits(taught, model, text, lang)
         least = F.element_at(F.create_map(*[F.lit(x) for pair in known.items() for x in pair]), F.col("lang_pred")) if known else F.lit(0.0)
-    return judged.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("_row.*")
+    return judged.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*[F.col(o).alias(c) for o, c in zip(own, docs.columns, strict=True)])

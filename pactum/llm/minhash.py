@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pactum.llm.common import free_name, materialize
+from pactum.llm.common import free_name, kept, materialize, task
 from pactum.llm.components import components
 
 WORDS = 5
@@ -95,8 +95,6 @@ class _WordHashes(dict):
 class Signer:
     """Signatures of word lists; one a process."""
 
-    _made: dict[MinHash, Signer] = {}
-
     def __init__(self, m: MinHash):
         self.m, self.size = m, m.bands * m.rows
         rng = np.random.default_rng(m.seed)
@@ -107,9 +105,7 @@ class Signer:
 
     @classmethod
     def of(cls, m: MinHash) -> Signer:
-        if m not in cls._made:
-            cls._made[m] = cls(m)
-        return cls._made[m]
+        return kept((cls, m), lambda: cls(m))
 
     def hashes(self, words: list[bytes]) -> np.ndarray:
         """Distinct 64-bit hashes of the shingles."""
@@ -141,6 +137,7 @@ class Signer:
         return (key * self.odd[0]).view(np.int64)
 
 
+@task("minhash signatures")
 def _sign(m: MinHash, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     signer, longs = Signer.of(m), pa.list_(pa.int64())
     for batch in batches:
@@ -167,6 +164,7 @@ def digest_of(words: list[bytes]) -> bytes | None:
     return blake2b(b" ".join(words), digest_size=16).digest() if words else None
 
 
+@task("minhash texts")
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The columns of each batch, of which the last is a text, and the digest of its words."""
     for batch in batches:
@@ -176,6 +174,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*piece.columns, found], names=[*piece.schema.names, "digest"])
 
 
+@task("minhash texts")
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds to each pair the sizes of its sets' intersection and union. Sets of the nodes seen last are kept."""
     kept: OrderedDict[int, set] = OrderedDict()

@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pactum.llm.common import task
 from pactum.llm.tokens import Encoder
 
 SLICE = 256
@@ -175,6 +176,7 @@ class _Stream:
         return batch
 
 
+@task("packing")
 def _pack(path: str, end_id: int, k: Packing, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 

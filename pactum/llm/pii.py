@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pactum.llm.common import free_name
+from pactum.llm.common import free_name, task
 
 KINDS = ("email", "ip", "card", "phone")
 OTHER = len(KINDS)
@@ -187,6 +187,7 @@ def repeated(found: list[tuple[int, int, int]], keys: list[str]) -> dict[str, se
     return out
 
 
+@task("pii")
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter[tuple[str, int]] = Counter()
     for batch in batches:
@@ -325,6 +326,7 @@ def _masked(text: str | None, spans: list[tuple[int, int, int, bool]]) -> str |
     return "".join([*out, text[at:]])
 
 
+@task("pii")
 def _find(field, masked: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The columns of each batch, of which the last, a text, gives way to what is found in it."""
     for batch in batches:

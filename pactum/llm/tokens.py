@@ -16,6 +16,8 @@ from itertools import islice
 
 import numpy as np
 
+from pactum.llm.common import kept
+
 #: The pre-tokenizer pattern of the vocabulary, as its file's ByteLevel step with use_regex has it. Fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The same for texts in which BEYOND_LATIN finds nothing: the classes are written out and the
@@ -63,8 +65,6 @@ class Pieces(dict):
 class Encoder:
     """Encodes with a byte-level BPE vocabulary file. Any other kind of tokenizer file goes to the library whole."""
 
-    _open: dict[tuple[str, bool], Encoder] = {}
-
     def __init__(self, path: str, special: bool = True):
         """special: whether the strings of special tokens in a text become those tokens, as the library has it by default."""
         import regex
@@ -86,9 +86,7 @@ class Encoder:
     @classmethod
     def of(cls, path: str, special: bool = True) -> Encoder:
         """This process's encoder of a vocabulary file."""
-        if (path, special) not in cls._open:
-            cls._open[path, special] = cls(path, special)
-        return cls._open[path, special]
+        return kept((cls, path, special), lambda: cls(path, special))
 
     def cut(self, text: str) -> list[str]:
         return self.cut_any(text) if self.beyond_latin(text) else self.cut_latin(text)

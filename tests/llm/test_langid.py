@@ -86,3 +86,16 @@ def test_clashing_names(spark):
     out = langid.predict(docs, langid.learn(docs))
     assert out.columns == ["doc_id", "text", "lang", "of", "_row", "lang_pred", "score"] and {r.of for r in out.collect()} == {"of"}
     assert langid.filter_documents(docs, 0.0).columns == docs.columns and langid.filter_documents(docs, 0.0).count() == 30
+
+
+def test_workers_get_each_text_once(spark):
+    docs = spark.createDataFrame(corpus(30, 4), SCHEMA)
+
+    def sent(node):
+        found = [sent(node.children().apply(i)) for i in range(node.children().size())]
+        return sum(found) + (node.nodeName() == "MapInArrow" and sum("StringType" in str(node.child().output().apply(i).dataType()) for i in range(node.child().output().size())))
+
+    assert sent(langid.predict(docs, langid.learn(docs))._jdf.queryExecution().analyzed()) == 2  # text and lang, as score is replaced
+    kept = langid.filter_documents(docs, 0.0)
+    assert sent(kept._jdf.queryExecution().analyzed()) == 3
+    assert {tuple(r) for r in kept.collect()} == {tuple(r) for r in docs.collect()}
