@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from pactum.llm.common import materialize, new_path
+from pactum.llm.common import materialize, new_path, task
 from pactum.llm.tokens import Encoder
 
 MAGIC = b"PTK1"
@@ -85,6 +85,7 @@ def unpack_codes(control: bytes, data: bytes, n: int) -> np.ndarray:
 _RAW = T.StructType([T.StructField(n, t) for n, t in (("shard", T.IntegerType()), ("block", T.IntegerType()), ("before", T.LongType()), ("n_ids", T.LongType()), ("doc_ids", T.BinaryType()), ("counts", T.BinaryType()), ("ids", T.BinaryType()), ("seen", T.BinaryType()), ("times", T.BinaryType()))])
 
 
+@task("token ids")
 def _encode_blocks(path: str, end_id: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
@@ -129,6 +130,7 @@ def encode_sorted(docs: DataFrame, path: str, end_id: int, key: str = "doc_id",
 # --- files --------------------------------------------------------------------
 
 
+@task("token files")
 def _count_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A task's sums of its blocks' counts."""
     total = np.zeros(0, np.int64)
@@ -142,10 +144,12 @@ def _count_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
 
 
+@task("token files")
 def _write_blocks(kind: str, rank_of, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ranks = np.frombuffer(rank_of.value, "<u4")
     for batch in batches:
-        for row in batch.to_pylist():
+        for place in range(batch.num_rows):  # a block at a time, as each has some megabytes
+            row = batch.slice(place, 1).to_pylist()[0]
             codes = ranks[np.frombuffer(row["ids"], kind)]
             control, data = pack_codes(codes)
             n_docs = len(row["doc_ids"]) // 8
@@ -172,6 +176,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, key: str
     blocks.select("shard", F.col("bytes").cast("string").alias("value")).write.partitionBy("shard").text(f"{path}/ids")
 
 
+@task("token files")
 def _read_blocks(order: bytes, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     id_of = np.frombuffer(order, "<u4")
     for batch in batches:

@@ -1,11 +1,15 @@
 """Token files against the tokenizers library, and the code against itself."""
 
+import weakref
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark import TaskContext
 from tokenizers import Tokenizer
 
 from pactum.llm import tokenfile
@@ -77,3 +81,37 @@ def test_encoder_forgets_and_cuts_long_texts(monkeypatch):
     for _ in range(2):
         assert e.ids(text).tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
     assert [x.tolist() for x in e.ids_of_many([None, "", "a b"])] == [[], [], e.tokenizer.encode("a b").ids]
+
+
+def test_a_worker_drops_the_encoder_when_texts_are_encoded(monkeypatch):
+    monkeypatch.setattr(TaskContext, "get", classmethod(lambda cls: SimpleNamespace(partitionId=lambda: 3)))
+    monkeypatch.setattr(tokenfile, "BLOCK_IDS", 50)
+    docs = pa.RecordBatch.from_arrays([pa.array([None, *range(1, len(TEXTS))], pa.int64()), pa.array(TEXTS)], names=["doc_id", "text"])
+
+    def encoded():
+        return pa.Table.from_batches(tokenfile._encode_blocks(VOCABULARY, 0, iter([docs])))
+
+    raw = encoded()
+    encoder = weakref.ref(Encoder.of(VOCABULARY))
+    kind = encoder().kind
+    assert raw.num_rows > 1 and encoded() == raw and encoder() is Encoder.of(VOCABULARY)  # from task to task of one stage
+    counted = pa.Table.from_batches(tokenfile._count_ids(iter(raw.select(["seen", "times"]).to_batches())))
+    assert encoder() is None
+
+    order = np.array(counted["id"], "<u4")
+    ranks = np.zeros(order.max() + 1, "<u4")
+    ranks[order] = np.arange(len(order))
+    blocks = raw.append_column("base", pa.array([7] * raw.num_rows, pa.int64())).combine_chunks().to_batches()
+    assert len(blocks) == 1  # the blocks of a batch are written one after the other
+    encoded()
+    encoder = weakref.ref(Encoder.of(VOCABULARY))
+    written = pa.Table.from_batches(tokenfile._write_blocks(kind, SimpleNamespace(value=ranks.tobytes()), iter(blocks)))
+    assert encoder() is None and written["shard"].to_pylist() == [3] * raw.num_rows
+    encoded()
+    encoder = weakref.ref(Encoder.of(VOCABULARY))
+    content = b"".join(x + b"\n" for x in written["bytes"].to_pylist())
+    got = pa.Table.from_batches(tokenfile._read_blocks(order.tobytes(), iter([pa.RecordBatch.from_arrays([pa.array([content])], names=["content"])])))
+    assert encoder() is None
+    assert got["doc_id"].to_pylist() == docs["doc_id"].to_pylist()
+    want = [np.array(ids.tolist() + [0], "<u4").tobytes() for ids in Encoder(VOCABULARY).ids_of_many(TEXTS)]
+    assert got["ids"].to_pylist() == want and got["start"].to_pylist() == [7 + sum(len(x) // 4 for x in want[:i]) for i in range(len(want))]
